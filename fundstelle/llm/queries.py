@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fundstelle.llm import leaks, percentiles, repeated_lines, splitting, token_ids
+from fundstelle.llm import leaks, near_duplicates, percentiles, repeated_lines, scanned, splitting, token_ids
 from fundstelle.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +49,26 @@ def p3_found(s: SparkSession, d: str) -> DataFrame:
     return p3_pieces(s, d).filter("piece_no = 0").select("chunk_id", "cut_at")
 
 
+_SIMILAR = {"shingle": 3, "similarity": 0.5, "least_words": 40}
+
+
+def p4_found(s: SparkSession, d: str) -> DataFrame:
+    found = near_duplicates.similar_pairs(chunks(s, d), "id", "content", **_SIMILAR)
+    return found.select(F.col("key_a").alias("chunk_id_a"), F.col("key_b").alias("chunk_id_b"))
+
+
+def p4_groups(s: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.groups(chunks(s, d), "id", "content", **_SIMILAR).withColumnRenamed("key", "chunk_id")
+
+
+def p5_found(s: SparkSession, d: str) -> DataFrame:
+    return scanned.scan_noise(chunks(s, d))
+
+
+def p5_paragraphs(s: SparkSession, d: str) -> DataFrame:
+    return scanned.paragraphs(chunks(s, d))
+
+
 def p6_ids(s: SparkSession, d: str) -> DataFrame:
     return token_ids.token_ids(documents(s, d))
 
@@ -73,6 +94,10 @@ QUERIES: dict[str, Query] = {
     "p2_by_day": p2_by_day,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
+    "p5_found": p5_found,
+    "p5_paragraphs": p5_paragraphs,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_runs": p7_runs,
