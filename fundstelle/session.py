@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Only settings that change the plan; sizes of executors belong to the cluster.
 SETTINGS = {
@@ -42,3 +43,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="fundstelle-"))
     return df.checkpoint(eager=True)
+
+
+#: Rows of a narrow table that are sent to all executors at most; at some 100 bytes a row, 20 MB.
+SMALL_ROWS = 200_000
+
+
+def small_side(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """``df`` written once, and marked for broadcast only if it has at most ``most`` rows; else Spark joins by shuffling."""
+    written = cut_lineage(df)
+    return F.broadcast(written) if written.limit(most + 1).count() <= most else written
