@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundstelle.llm import leaks, near_duplicates, percentiles, repeated_lines, scanned, splitting, token_ids
+from fundstelle.llm import leaks, near_duplicates, percentiles, personal, repeated_lines, scanned, splitting, token_ids
 from fundstelle.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,14 @@ def p7_runs(s: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_runs(documents(s, d), eval_questions(s, d), _PARTS)
 
 
+def p8_found(s: SparkSession, d: str) -> DataFrame:
+    return personal.personal_information(documents(s, d), person_names(s, d))
+
+
+def p8_redacted(s: SparkSession, d: str) -> DataFrame:
+    return personal.redacted(documents(s, d), person_names(s, d))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_cleaned": p1_cleaned,
@@ -101,6 +109,8 @@ QUERIES: dict[str, Query] = {
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_runs": p7_runs,
+    "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
 }
 
 #: Names of the p2 buckets' constants as in percentiles.py: base 4000000, logarithm of the bucket ratio at accuracy 0.01.
