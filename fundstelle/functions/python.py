@@ -11,11 +11,12 @@ import unicodedata
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _WORD = re.compile(r"[^\W_]+")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
@@ -91,7 +92,7 @@ def stems(text: str | None, keep_stop_words: bool = False) -> list[str]:
     return [stem(w) if keep_stop_words or w not in STOP_WORDS else "" for w in _WORD.findall((text or "").lower())]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def german_stems(text: pd.Series) -> pd.Series:
     return text.map(lambda t: stems(t), na_action="ignore")
 
@@ -146,7 +147,7 @@ def word_similarity(code: str, text: str) -> float:
     return best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def word_similarity_udf(code: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else word_similarity(a, b) for a, b in zip(code, text, strict=True)], dtype="float64")
 
@@ -160,7 +161,7 @@ def hash_embedding(text: str | None, dim: int = 1024) -> np.ndarray:
 
 
 def hash_embed(dim: int = 1024):
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(text: pd.Series) -> pd.Series:
         return pd.Series([hash_embedding(t, dim).astype("float32") for t in text])
 
