@@ -301,7 +301,7 @@ def neutralise_markup(s, d):
 # Codes in SQL: RE2 has ASCII word bounds, so the character before is matched and put back.
 _NORM = r"""trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace({}, '(^|[^\p{{L}}\p{{N}}_])([A-ZÄÖÜ]{{2,4}})[ -]?(\d+(\.\d+)+)\b', '\1\2\3', 'g'),
  '(?i)(^|[^\p{{L}}\p{{N}}_])(UN|ECE)[ -]?R[ -]?(\d+[A-Z]?)\b', '\1\2R\3', 'g'), '(?i)(^|[^\p{{L}}\p{{N}}_])R[ -]?(\d+[A-Z]?)\b', '\1R\2', 'g')), '[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'), ' ')"""
-_CODES = r"""list_distinct(list_transform(regexp_extract_all({}, '(?i)(?:^|[^\p{{L}}\p{{N}}_])([A-ZÄÖÜ]{{1,4}}[ -]?\d+(?:\.\d+)+)\b', 1), lambda x: """ + _NORM.format("x").replace("{{", "{").replace("}}", "}").replace("{", "{{").replace("}", "}}") + "))"
+_CODES = r"""list_distinct(list_transform(regexp_extract_all({}, '(?:^|[^\p{{L}}\p{{N}}_])([A-ZÄÖÜ]{{2,4}}[ -]?\d+(?:\.\d+)+)\b', 1), lambda x: lower(regexp_replace(x, '[ -]', '', 'g'))))"""
 
 
 @query("SELECT id, " + _NORM.format("content") + " AS norm FROM c")
@@ -492,16 +492,14 @@ def insert_ignore_chunks(s, d):
     return ingest.new_rows(c.filter("NOT ocr"), c, keys, [F.col("id")]).select(*keys, "id")
 
 
-@query(""", u AS (SELECT tenant_id, content_hash, row_number() OVER (ORDER BY id, created_at, status) AS upload_no FROM source_documents),
-e AS (SELECT tenant_id, content_hash, min_by(status, id) AS status, min(id) AS id FROM d WHERE status <> 'embedding' AND status <> 'parsing' GROUP BY ALL),
-o AS (SELECT u.*, e.id, e.status, row_number() OVER (PARTITION BY u.tenant_id, u.content_hash ORDER BY upload_no) AS n FROM u LEFT JOIN e ON e.tenant_id = u.tenant_id AND e.content_hash = u.content_hash)
-SELECT CAST(upload_no AS INT) AS upload_no, CASE WHEN id IS NULL THEN CASE WHEN n = 1 THEN 'created' ELSE 'in_progress' END WHEN status = 'ready' THEN 'duplicate' WHEN status = 'failed' THEN 'retrying' ELSE 'in_progress' END AS outcome,
+@query(""", e AS (SELECT tenant_id, content_hash, min_by(status, id) AS status, min(id) AS id FROM d WHERE status <> 'embedding' AND status <> 'parsing' GROUP BY ALL),
+o AS (SELECT u.tenant_id, u.content_hash, u.id AS upload, e.id, e.status, row_number() OVER (PARTITION BY u.tenant_id, u.content_hash ORDER BY u.id, u.created_at, u.status) AS n FROM source_documents u LEFT JOIN e ON e.tenant_id = u.tenant_id AND e.content_hash = u.content_hash)
+SELECT upload, CASE WHEN id IS NULL THEN CASE WHEN n = 1 THEN 'created' ELSE 'in_progress' END WHEN status = 'ready' THEN 'duplicate' WHEN status = 'failed' THEN 'retrying' ELSE 'in_progress' END AS outcome,
 coalesce(id, sha256(tenant_id || chr(0) || content_hash)) AS document_id FROM o""")
 def get_or_create_documents(s, d):
-    raw = table(s, d, "source_documents")
-    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id", "created_at", "status"))  # uploads have a total order in the reference too
-    uploads = raw.select("tenant_id", "content_hash", number.alias("upload_no"))
-    return ingest.get_or_create(uploads, _docs(s, d).filter("status NOT IN ('embedding', 'parsing')")).select("upload_no", "outcome", "document_id")
+    uploads = table(s, d, "source_documents").select("tenant_id", "content_hash", F.col("id").alias("upload"), "created_at", "status")
+    known = _docs(s, d).filter("status NOT IN ('embedding', 'parsing')")
+    return ingest.get_or_create(uploads, known, [F.col("upload"), F.col("created_at"), F.col("status")]).select("upload", "outcome", "document_id")
 
 
 @query("""SELECT c.id, min(p.id) AS parent_id FROM c LEFT JOIN c p ON p.document_id = c.document_id AND p.strategy = c.strategy AND p.ordinal = c.ordinal - 1 GROUP BY c.id""")
@@ -839,12 +837,11 @@ def chunk_counts_map(s, d):
     return counts.select("document_id", F.explode("counts").alias("strategy", "n"))
 
 
-@query(""", n AS (SELECT document_id, count(*) AS n FROM c GROUP BY 1) SELECT d.id, filename, version_label, coalesce(n, 0) AS n_chunks, CAST(row_number() OVER (ORDER BY filename, version_label NULLS LAST, d.id) AS INT) AS place FROM d LEFT JOIN n ON n.document_id = d.id""")
+@query(""", n AS (SELECT document_id, count(*) AS n FROM c GROUP BY 1) SELECT d.id, filename, version_label, coalesce(n, 0) AS n_chunks FROM d LEFT JOIN n ON n.document_id = d.id""")
 def document_listing(s, d):
     rows = operations.listing(_docs(s, d), table(s, d, "chunks").filter("id IS NOT NULL"))
     total = F.aggregate(F.map_values("counts"), F.lit(0).cast("long"), lambda a, v: a + v)
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("filename", F.col("version_label").asc_nulls_last(), "id"))  # the listing has one order over all
-    return rows.select("id", "filename", "version_label", total.alias("n_chunks"), place.alias("place"))
+    return rows.select("id", "filename", "version_label", total.alias("n_chunks"))
 
 
 _SEEDS = ", s AS (SELECT id, document_id, strategy, ordinal FROM c WHERE ordinal % 50 = 0)\n"

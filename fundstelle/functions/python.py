@@ -125,31 +125,53 @@ def _trigrams(word: str) -> list[str]:
     return [padded[k : k + 3] for k in range(len(padded) - 2)]
 
 
+class OrderedTrigrams:
+    """A text's trigrams in order and where each stands, made once for many codes."""
+
+    def __init__(self, text: str):
+        self.ordered = [t for w in _WORD.findall(text.lower()) for t in _trigrams(w)]
+        self.places: dict[str, list[int]] = {}
+        for k, t in enumerate(self.ordered):
+            self.places.setdefault(t, []).append(k)
+
+    def similarity(self, wanted: frozenset[str], threshold: float = 0.0) -> float:
+        """The best Jaccard similarity of ``wanted`` with the set of any run of the trigrams; 0 if it can't reach the threshold.
+
+        A run with h wanted and f other trigrams has at most h / (n + f), so runs with more than n / threshold - n others are left out.
+        """
+        n = len(wanted)
+        hits = sorted(k for t in wanted for k in self.places.get(t, ()))
+        most = n if threshold <= 0 else int(n / threshold - n)
+        need, best = max(1, -(-int(n * threshold * 1000) // 1000)), 0.0
+        for i, start in enumerate(hits):
+            last = i + need - 1
+            if last >= len(hits):
+                break
+            if hits[last] - start > 4 * n + 8 and threshold > 0.3:
+                continue
+            seen, common, others, end = set(), 0, 0, start
+            for place in hits[i:]:
+                for t in self.ordered[end : place + 1]:
+                    if t not in seen:
+                        seen.add(t)
+                        if t in wanted:
+                            common += 1
+                        else:
+                            others += 1
+                end = place + 1
+                if others > most:
+                    break
+                best = max(best, common / (n + others))
+        return best
+
+
+def code_trigrams(code: str) -> frozenset[str]:
+    return frozenset(t for w in _WORD.findall(code.lower()) for t in _trigrams(w))
+
+
 def word_similarity(code: str, text: str) -> float:
     """The best Jaccard similarity of the code's trigrams with those of any run of the text's trigrams in order."""
-    wanted = {t for w in _WORD.findall(code.lower()) for t in _trigrams(w)}
-    ordered = [t for w in _WORD.findall(text.lower()) for t in _trigrams(w)]
-    at = [k for k, t in enumerate(ordered) if t in wanted]
-    best, n = 0.0, len(wanted)
-    for i, start in enumerate(at):
-        seen, own, hits = set(), 0, 0
-        end = start
-        for place in at[i:]:
-            if place - start > 2 * n + 4:  # a longer run can't be better: it has more than n foreign trigrams
-                break
-            for t in ordered[end : place + 1]:
-                if t not in seen:
-                    seen.add(t)
-                    own += 1
-                    hits += t in wanted
-            end = place + 1
-            best = max(best, hits / (n + own - hits))
-    return best
-
-
-@F.pandas_udf(T.DoubleType())
-def word_similarity_udf(code: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else word_similarity(a, b) for a, b in zip(code, text, strict=True)], dtype="float64")
+    return OrderedTrigrams(text).similarity(code_trigrams(code)) if code else 0.0
 
 
 def hash_embedding(text: str | None, dim: int = 1024) -> np.ndarray:

@@ -11,7 +11,7 @@ BLANK = r"[\s\x0B\x1C-\x1F\x85   -     　]"
 REQUIREMENT = r"(?U)\b([A-ZÄÖÜ]{2,4})[ -]?(\d+(?:\.\d+)+)\b"
 UN_ECE = r"(?iU)\b(UN|ECE)[ -]?R[ -]?(\d+[A-Z]?)\b"
 REGULATION = r"(?iU)\bR[ -]?(\d+[A-Z]?)\b"
-CODE = r"(?iU)\b[A-ZÄÖÜ]{1,4}[ -]?\d+(?:\.\d+)+\b|\b(?:UN|ECE)[ -]?R[ -]?\d+[A-Z]?\b|\bR[ -]?\d+[A-Z]?\b"
+CODE = r"(?U)\b[A-ZÄÖÜ]{1,4}(?:[ -]?[A-ZÄÖÜ]{1,3})?[ -]?\d+(?:\.\d+)*[A-Za-z]?\b"
 SENTINEL = "NICHT_GEFUNDEN"
 
 
@@ -36,12 +36,13 @@ def normalize_codes(text: Column) -> Column:
 
 
 def extract_codes(text: Column) -> Column:
-    """Distinct codes in their normal form, in order of first appearance."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({CODE})"), 1), normalize_codes))
+    """Distinct requirement codes in their normal form, in order of first appearance."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(REQUIREMENT), 0), lambda c: F.lower(F.regexp_replace(c, "[ -]", ""))))
 
 
 def first_code(text: Column) -> Column:
-    return F.try_element_at(extract_codes(text), F.lit(1))
+    """The first token of the looser code shape, in its normal form; null without one."""
+    return normalize_codes(F.nullif(F.regexp_extract(text, CODE, 0), F.lit("")))
 
 
 def terms(text: Column) -> Column:

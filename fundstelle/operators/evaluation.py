@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fundstelle.functions import text as T
 from fundstelle.functions.python import bootstrap_interval
+from fundstelle.session import cut_lineage
 
 
 def gold_match(document: Column, section: Column, page: Column, filename: Column, path: Column, first: Column, last: Column) -> Column:
@@ -84,11 +85,15 @@ def gate_sweep(questions: DataFrame, thresholds: list[float]) -> DataFrame:
 def separability(questions: DataFrame) -> DataFrame:
     """``auc``: how often an answerable question's score exceeds an unanswerable one's, ties half.
 
-    By cumulative counts over distinct scores instead of all pairs, so rows shuffle once.
+    By running counts over distinct scores instead of all pairs. Scores are range-partitioned: each partition sums its own, and the
+    partitions' totals (one row each) give what lies below, so that no task holds all scores.
     """
     by_score = questions.filter("top_score IS NOT NULL").groupBy("top_score").agg(F.count_if(~F.col("should_abstain")).alias("p"), F.count_if(F.col("should_abstain")).alias("q"))
-    below = F.sum("q").over(Window.partitionBy(F.lit(0)).orderBy("top_score").rowsBetween(Window.unboundedPreceding, -1))
-    wins = by_score.select("p", "q", (F.col("p") * (F.coalesce(below, F.lit(0)) + F.col("q") / 2)).alias("w"))
+    ranged = cut_lineage(by_score.repartitionByRange("top_score").withColumn("part", F.spark_partition_id()))
+    totals = ranged.groupBy("part").agg(F.sum("q").alias("total"))
+    before = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row per partition
+    own = F.sum("q").over(Window.partitionBy("part").orderBy("top_score").rowsBetween(Window.unboundedPreceding, -1))
+    wins = ranged.withColumn("below", F.coalesce(own, F.lit(0))).join(F.broadcast(before), "part").select("p", "q", (F.col("p") * (F.col("before") + F.col("below") + F.col("q") / 2)).alias("w"))
     return wins.agg(F.try_divide(F.sum("w"), F.sum("p").cast("double") * F.sum("q")).alias("auc"))
 
 
@@ -120,8 +125,8 @@ def rates_by(outcomes: DataFrame, label: str, category: str, value: str) -> Data
 
 def best_flags(table: DataFrame, columns: dict[str, bool]) -> DataFrame:
     """Adds ``best_<column>`` for each column (True: larger is better); all ties win, nulls don't."""
-    whole = Window.partitionBy(F.lit(0))
-    return table.withColumns({f"best_{c}": F.coalesce(F.col(c) == (F.max(c) if up else F.min(c)).over(whole), F.lit(False)) for c, up in columns.items()})
+    best = table.agg(*((F.max(c) if up else F.min(c)).alias(f"_{c}") for c, up in columns.items()))
+    return table.crossJoin(F.broadcast(best)).withColumns({f"best_{c}": F.coalesce(F.col(c) == F.col(f"_{c}"), F.lit(False)) for c in columns}).drop(*(f"_{c}" for c in columns))  # one row
 
 
 def latest_lines(lines: DataFrame, wanted: DataFrame | None = None) -> DataFrame:

@@ -23,13 +23,13 @@ def new_rows(existing: DataFrame, incoming: DataFrame, keys: list[str], order: l
     return once.join(existing.select(*keys), keys, "left_anti")
 
 
-def get_or_create(uploads: DataFrame, existing: DataFrame) -> DataFrame:
-    """Adds ``document_id, outcome`` to ``uploads(upload_no, tenant_id, content_hash)``: created, duplicate, in_progress or retrying.
+def get_or_create(uploads: DataFrame, existing: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds ``document_id, outcome`` to ``uploads(tenant_id, content_hash, ...)``: created, duplicate, in_progress or retrying.
 
-    The first upload of a tenant's content creates its document, under an id made of both; an existing failed one is retried.
+    The first upload (in ``order``) of a tenant's content creates its document, under an id made of both; an existing failed one is retried.
     """
     known = existing.groupBy("tenant_id", "content_hash").agg(F.min(F.struct("id", "status")).alias("d")).select("tenant_id", "content_hash", F.col("d.id").alias("_id"), F.col("d.status").alias("_status"))
-    first = F.row_number().over(Window.partitionBy("tenant_id", "content_hash").orderBy("upload_no"))
+    first = F.row_number().over(Window.partitionBy("tenant_id", "content_hash").orderBy(*order))
     out = uploads.join(known, ["tenant_id", "content_hash"], "left").withColumn("_n", first)
     outcome = F.when(F.col("_id").isNull(), F.when(F.col("_n") == 1, "created").otherwise("in_progress")).when(F.col("_status") == "ready", "duplicate").when(F.col("_status") == "failed", "retrying").otherwise("in_progress")
     made = F.sha2(F.concat_ws("\x00", "tenant_id", "content_hash"), 256)

@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundstelle.functions import python as P
 from fundstelle.functions import text as T
+from fundstelle.functions.arrow import map_batches, strings
 from fundstelle.operators.ranking import top_k
 
 
@@ -76,13 +78,28 @@ def search_german(chunks: DataFrame, queries: DataFrame, k: int, every: bool = F
 def search_trigrams(chunks: DataFrame, queries: DataFrame, k: int, threshold: float = 0.5, text: str = "content_norm") -> DataFrame:
     """Top k by word similarity of the query's first code with the text; queries without a code have no rows.
 
-    Candidates share at least threshold x n of the code's n trigrams, a condition every match meets; they come from a join
-    on trigrams, so that only candidates reach Python.
+    A match shares at least ceil(threshold * n) of the code's n trigrams, so it has one of the n - ceil(threshold * n) + 1 rarest: only
+    those are joined (rarity is counted over all chunks). Chunks with candidates are read once each, for all codes they may match;
+    the list of a chunk's codes is bounded by the query set.
     """
     coded = queries.select("query_id", T.first_code(P.composed(F.col("question"))).alias("code")).filter("code IS NOT NULL")
-    wanted = coded.select("query_id", "code", F.size(T.trigrams(F.col("code"))).alias("n"), F.explode(T.trigrams(F.col("code"))).alias("trigram"))
+    wanted = coded.select("code").distinct().select("code", T.trigrams(F.col("code")).alias("t")).select("code", F.size("t").alias("n"), F.explode("t").alias("trigram"))
     own = chunks.select(F.col("id").alias("chunk_id"), F.explode(T.trigrams(F.col(text))).alias("trigram"))
-    shared = own.join(wanted, "trigram").groupBy("query_id", "code", "n", "chunk_id").agg(F.count(F.lit(1)).alias("common"))
-    candidates = shared.filter(F.col("common") >= F.ceil(F.col("n") * threshold)).join(chunks.select(F.col("id").alias("chunk_id"), F.col(text).alias("_text")), "chunk_id")
-    scored = candidates.select("query_id", "chunk_id", P.word_similarity_udf("code", "_text").alias("score")).filter(F.col("score") >= threshold)
-    return top_k(scored, k)
+    counts = own.join(wanted.select("trigram").distinct(), "trigram", "left_semi").groupBy("trigram").agg(F.count(F.lit(1)).alias("df"))
+    rarity = F.row_number().over(Window.partitionBy("code").orderBy(F.coalesce("df", F.lit(0)), "trigram"))
+    prefix = wanted.join(counts, "trigram", "left").withColumn("r", rarity).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
+    pairs = own.join(prefix.select("trigram", "code"), "trigram").select("chunk_id", "code").distinct().groupBy("chunk_id").agg(F.collect_list("code").alias("codes"))
+    candidates = pairs.join(chunks.select(F.col("id").alias("chunk_id"), F.col(text).alias("text")), "chunk_id")
+
+    def score(batch: pa.RecordBatch) -> dict | None:
+        rows = []
+        for chunk, codes, body in zip(*(batch[c].to_pylist() for c in ("chunk_id", "codes", "text")), strict=True):
+            trigrams = P.OrderedTrigrams(body)
+            rows += [(chunk, c, s) for c in codes if (s := trigrams.similarity(P.code_trigrams(c), threshold)) >= threshold]
+        if not rows:
+            return None
+        c = list(zip(*rows, strict=True))
+        return {"chunk_id": strings(c[0]), "code": strings(c[1]), "score": pa.array(c[2], pa.float64())}
+
+    found = map_batches(candidates.select("chunk_id", "codes", "text"), score, "chunk_id string, code string, score double")
+    return top_k(found.join(coded, "code").select("query_id", "chunk_id", "score"), k)

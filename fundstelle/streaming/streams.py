@@ -45,33 +45,36 @@ def token_streams(deltas: DataFrame) -> DataFrame:
                 reason = finish or reason
         if reason:
             state.remove()
-            yield pd.DataFrame([(key[0], "".join(pieces[k] for k in sorted(pieces)), reason)])
+            yield pd.DataFrame({"request_id": [key[0]], "text": ["".join(pieces[k] for k in sorted(pieces))], "finish_reason": [reason]})
         else:
             state.update((list(pieces), list(pieces.values()), reason))
 
     return deltas.groupBy("request_id").applyInPandasWithState(run, "request_id string, text string, finish_reason string", "seqs array<long>, texts array<string>, reason string", "append", "NoTimeout")
 
 
-def rate_limits(hits: DataFrame, limit: int, window: float) -> DataFrame:
-    """``key, seq, allowed`` of ``hits(key, seq, us)``: the sliding window per key of which only allowed hits count; idle keys are evicted."""
+def rate_limits(hits: DataFrame, limit: int, window: float, late: str = "1 minute") -> DataFrame:
+    """``key, seq, allowed`` of ``hits(key, seq, ts)``: the sliding window per key of which only allowed hits count.
+
+    A key's state holds at most ``limit`` times and is evicted once the watermark has passed its window.
+    """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         taken = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(parts)).sort_values(["us", "seq"])
+        rows = pd.concat(list(parts)).sort_values(["ts", "seq"])
         allowed = []
-        for us in rows["us"]:
+        for us in rows["ts"].astype("datetime64[us]").astype("int64"):
             taken = [t for t in taken if t > us - window * 1e6]
             allowed.append(len(taken) < limit)
             if allowed[-1]:
                 taken.append(int(us))
         state.update((taken,))
-        state.setTimeoutDuration(int(window * 2000))
+        state.setTimeoutTimestamp(max(int(max(taken, default=0) / 1000 + window * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": key[0], "seq": rows["seq"].to_numpy(), "allowed": allowed})
 
-    return hits.groupBy("key").applyInPandasWithState(run, "key string, seq long, allowed boolean", "taken array<long>", "append", "ProcessingTimeTimeout")
+    return hits.withWatermark("ts", late).groupBy("key").applyInPandasWithState(run, "key string, seq long, allowed boolean", "taken array<long>", "append", "EventTimeTimeout")
 
 
 def parse_frames(body: str) -> list[tuple[str, str]]:
