@@ -77,7 +77,7 @@ def test_repeated_lines_against_counting(spark):
 def test_fragments_depend_on_the_line_alone():
     line = "Eine lange Zeile über Ölventile, Pumpen und Klappen (Stand 2024)"
     a, b = (repeated_lines.fragments([t], mean_bits=3) for t in (line, f"davor\n12: {line.upper()}\ndanach"))
-    assert len(a["frag"]) > 2 and set(a["frag"]) < set(b["frag"]) and a["whole"][0] == b["whole"][1] and b["no"].tolist() == [0, 1, 2]
+    assert len(a["frag"]) > 1 and set(a["frag"]) < set(b["frag"]) and a["whole"][0] == b["whole"][1] and b["no"].tolist() == [0, 1, 2]
     assert repeated_lines.fragments(["", "12 3", "\n"])["frag"].size == 0
 
 
