@@ -44,7 +44,9 @@ Unterlagen bitte nur an {email} schicken.
 Nach Rücksprache mit {title}{name} bleibt der Wert unverändert.
 Laut {title}{name} ist der Wert freigegeben.
 Im Schichtbuch steht {title}{name} ({label}{id}) als Prüfer.
+Im Schichtbuch steht {title}{name} ({id}) als Prüfer. {tech}
 Im Schichtbuch steht {title}{name} als Prüfer.
+Lieferanschrift: {title}{name}, {addr}{town}\n{tech}
 {title}{name} hat die Freigabe erteilt; Nachweis unter {label}{id}.
 {tech} {title}{name} hat die Freigabe erteilt; Nachweis unter {label}{id}.
 {title}{name} hat die Abnahme bestätigt.

@@ -77,8 +77,8 @@ def tokenize(text: str) -> tuple[list[tuple[int, int]], list[str], np.ndarray, d
     for kind in ("address", "phone", "id_number", "email"):
         track, number = _TRACKS[kind]
         for a, b in found[kind]:
-            if kind == "phone" and any(x < b and a < y and (x, y) != (a, b) for x, y in found["id_number"]):
-                continue  # part of a number whose check digits are right
+            if kind == "phone" and any(x < b and a < y for x, y in found["id_number"]):
+                continue  # (part of) a number whose check digits are right
             first, last = np.searchsorted(starts, a), np.searchsorted(starts, b)
             flags[first:last, track] = number + 1
             if first < last:
