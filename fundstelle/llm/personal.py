@@ -134,7 +134,37 @@ def _parts(tokens: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def spans_of(text: str, spans: list[tuple[int, int]], labels: np.ndarray, found: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int, str]]:
+#: Titles and salutations, after which a name isn't reversed.
+_TITLE = re.compile(r"(?:Frau|Herrn?|Kolleg(?:in|en?)|Mrs?|Ms|Dr|Prof|Ing)\.?\s+$")
+#: A unit before a full stop that was taken for an initial.
+_UNIT = re.compile(r"(?!(?:van|von|de|zu)\b)[a-zµäöü]+\.?\s+")
+_ONE_WORD, _ONE_UNIT = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*"), re.compile(r"(?:(?:van|von|de|zu) )?[^\W\d_]+(?:-[^\W\d_]+)*", re.IGNORECASE)
+
+
+def split_names(text: str, a: int, b: int, known: TokenFeatures) -> list[tuple[int, int]]:
+    """The single names of a marked list: commas divide names unless they stand between a family and a given name."""
+    parts, at = [], a
+    for m in re.finditer(r",\s*", text[a:b]):
+        parts.append((at, a + m.start()))
+        at = a + m.end()
+    parts.append((at, b))
+    out, k = [], 0
+    while k < len(parts):
+        x, y = parts[k]
+        if k + 1 < len(parts) and _ONE_UNIT.fullmatch(text, x, y) and _ONE_WORD.fullmatch(text, *parts[k + 1]) and not _TITLE.search(text, max(0, x - 20), x):
+            first, after = (text[slice(*parts[n])].split("-")[0].title() if n < len(parts) else "" for n in (k + 1, k + 2))
+            given = first in known.given or first not in known.family and (after not in known.given or not _ONE_WORD.fullmatch(text, *parts[k + 2]))
+            if given:
+                out.append((x, parts[k + 1][1]))
+                k += 2
+                continue
+        if y > x:
+            out.append((x, y))
+        k += 1
+    return out
+
+
+def spans_of(text: str, spans: list[tuple[int, int]], labels: np.ndarray, found: dict[str, list[tuple[int, int]]], known: TokenFeatures) -> list[tuple[int, int, str]]:
     """(start, end, kind) without overlaps, in order."""
     marked: list[tuple[int, int, str]] = []
     for k in np.flatnonzero(labels):
@@ -143,6 +173,15 @@ def spans_of(text: str, spans: list[tuple[int, int]], labels: np.ndarray, found:
             marked.append((*spans[k], kind))
         else:
             marked[-1] = (marked[-1][0], spans[k][1], kind)
+    joined: list[tuple[int, int, str]] = []
+    for a, b, kind in marked:  # names of a list are taken together first
+        if kind == "name" and (m := _UNIT.match(text, a, b)):
+            a = m.end()
+        if kind == "name" and joined and joined[-1][2] == kind and re.fullmatch(r",[^\S\n]*", text[joined[-1][1] : a]):
+            joined[-1] = (joined[-1][0], b, kind)
+        else:
+            joined.append((a, b, kind))
+    marked = [(x, y, kind) for a, b, kind in joined for x, y in (split_names(text, *_trimmed(text, a, b), known) if kind == "name" else [(a, b)])]
     out: list[tuple[int, int, str]] = []
     for a, b, kind in marked:
         whole = [(x, y) for x, y in found.get(kind, ()) if x < b and a < y]
@@ -177,7 +216,7 @@ def _decode(field: Crf, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     labels: list[list[np.ndarray]] = [[] for _ in texts]
     for k, found in zip(owner, field.decode(sequences), strict=True):
         labels[k].append(found)
-    return [spans_of(t, c[0], np.concatenate(x) if x else np.empty(0, np.int8), c[3]) for t, c, x in zip(texts, cut, labels, strict=True)]
+    return [spans_of(t, c[0], np.concatenate(x) if x else np.empty(0, np.int8), c[3], field.features) for t, c, x in zip(texts, cut, labels, strict=True)]
 
 
 def _field(person_names: DataFrame) -> Crf:

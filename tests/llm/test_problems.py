@@ -361,6 +361,16 @@ def test_field_on_held_out_rows(field):
     assert right / found > 0.97 and right / wanted > 0.97
 
 
+def test_lists_of_names():
+    known = personal.TokenFeatures({"Anna", "Paula"}, {"Feder", "Hof"})
+    for text, names in {
+        "Anna Feder, Otto Hof": ["Anna Feder", "Otto Hof"], "Feder, Anna, Otto Hof": ["Feder, Anna", "Otto Hof"], "Feder, Milla": ["Feder, Milla"], "van Hof, Anna": ["van Hof, Anna"],
+        "Anna Feder, Hof, Paula": ["Anna Feder", "Hof, Paula"], "Quell, Hof, Paula": ["Quell", "Hof, Paula"], "Frau Quell, Dunker, Paula": ["Quell", "Dunker, Paula"],
+    }.items():
+        at = text.index(names[0])
+        assert [text[a:b] for a, b in personal.split_names(text, at, len(text), known)] == names
+
+
 def test_field_gradient():
     """The gradient of the likelihood agrees with differences."""
     own = crf.Crf(["O", "B-x", "I-x"], lambda t, o: [t], (2,))
