@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fundstelle.functions import text as T
 from fundstelle.functions.python import composed
-from fundstelle.operators import chunking, context, evaluation, ingest, lexical, operations, ranking, vectors
+from fundstelle.operators import chunking, context, evaluation, ingest, lexical, operations, ranking, reports, vectors
 from fundstelle.plans import retrieval
 from fundstelle.sources.tables import latest_documents, table
 from fundstelle.tenancy import TenantScope
@@ -319,7 +319,7 @@ e2 AS (SELECT filename, place, version_label, code FROM (SELECT s2.filename, s2.
 SELECT DISTINCT filename AS query_id, code, n_labels FROM (SELECT filename, code, count(DISTINCT version_label) AS n_labels FROM e2 GROUP BY ALL) WHERE n_labels >= 2""")
 def version_conflicts(s, d):
     """Codes with several version labels among the selected sources of a filename."""
-    own = _selected(s, d).withColumn("query_id", F.col("filename")).withColumn("place", F.row_number().over(Window.partitionBy("filename").orderBy("document_id", "place")))
+    own = _selected(s, d).withColumn("query_id", F.col("filename")).withColumn("place", F.struct("document_id", "place"))
     return context.version_conflicts(own).select("query_id", "code", F.size("labels").cast("long").alias("n_labels"))
 
 
@@ -910,3 +910,30 @@ def ocr_flags(s, d):
 @query("SELECT id, CAST(greatest(1, 86400 - (CAST(floor(epoch(created_at)) AS BIGINT) % 86400)) AS INT) AS seconds FROM l")
 def retry_after(s, d):
     return _logs(s, d).select("id", T.retry_after(F.col("created_at")).alias("seconds"))
+
+
+@query("""SELECT id, 'Frage: ' || question || chr(10) || 'Punkte:' || chr(10) || CASE WHEN len(expected_answer_points) > 0 THEN array_to_string(list_transform(expected_answer_points, lambda x: '- ' || x), chr(10)) ELSE '(keine)' END || chr(10) || 'Quellen:' || chr(10)
+ || CASE WHEN len(gold_sources) > 0 THEN array_to_string(list_transform(gold_sources, lambda x: '- ' || concat_ws(', ', x.document, 'Abschnitt ' || x.section, 'Seite ' || x.page)), chr(10)) ELSE '(keine)' END AS prompt FROM eval_questions""")
+def judge_prompts(s, d):
+    e = table(s, d, "eval_questions")
+    template = "Frage: {question}\nPunkte:\n{points}\nQuellen:\n{gold}"
+    return e.select("id", reports.rendered(template, {"question": F.col("question"), "points": reports.bullets(F.col("expected_answer_points")), "gold": reports.gold_lines(F.col("gold_sources"))}).alias("prompt"))
+
+
+@query(_RUNS + "SELECT question_id, count(*) AS n_report, 1 AS n_wanted FROM r GROUP BY 1 HAVING count(*) <> 1 UNION ALL SELECT id, 0, 1 FROM eval_questions WHERE id NOT IN (SELECT question_id FROM r)")
+def report_coverage(s, d):
+    wanted = table(s, d, "eval_questions").select(F.col("id").alias("question_id"))
+    return reports.coverage(_runs(s, d), wanted, "question_id")
+
+
+@query(r""", a AS (SELECT id, answer, len(list_filter(regexp_split_to_array(answer, '\s+'), lambda x: x <> '')) AS n FROM l) SELECT id AS query_id, CAST(CASE WHEN answer IS NULL THEN 2 ELSE n + 4 END AS BIGINT) AS n_events, CASE WHEN answer IS NULL THEN 'error' ELSE 'done' END AS last FROM a""")
+def answer_events(s, d):
+    a = _logs(s, d).select(F.col("id").alias("query_id"), F.col("retrieved_ids").alias("sources"), "answer", F.when(F.col("answer").isNull(), "no answer").alias("error"))
+    e = reports.answer_events(a)
+    return e.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_events"), F.max_by("event", "seq").alias("last"))
+
+
+@query("SELECT sha256(request_id || chr(0) || tenant_id) AS id, coalesce(answer = 'NICHT_GEFUNDEN', false) AS abstained, CAST(latency_ms['retrieval_ms'] + latency_ms['generation_ms'] AS INT) AS total_ms, CAST(cost_usd AS DOUBLE) AS cost FROM l")
+def log_rows(s, d):
+    a = _logs(s, d).select("request_id", "tenant_id", "question", "retrieved_ids", "answer", F.col("latency_ms")["retrieval_ms"].alias("retrieval_ms"), F.col("latency_ms")["generation_ms"].alias("generation_ms"), F.col("tokens")["prompt"].alias("prompt_tokens"), F.col("tokens")["completion"].alias("completion_tokens"), F.col("cost_usd").alias("cost"))
+    return reports.log_rows(a, "x", F.lit(None).cast("timestamp")).select("id", "abstained", F.col("latency_ms")["total_ms"].alias("total_ms"), F.col("cost_usd").cast("double").alias("cost"))

@@ -3,6 +3,7 @@ similarity, hashed embeddings, bootstrap intervals."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
@@ -140,6 +141,8 @@ class OrderedTrigrams:
         A run with h wanted and f other trigrams has at most h / (n + f), so runs with more than n / threshold - n others are left out.
         """
         n = len(wanted)
+        if sum(map(self.places.__contains__, wanted)) < n * threshold:
+            return 0.0
         hits = sorted(k for t in wanted for k in self.places.get(t, ()))
         most = n if threshold <= 0 else int(n / threshold - n)
         need, best = max(1, -(-int(n * threshold * 1000) // 1000)), 0.0
@@ -165,6 +168,7 @@ class OrderedTrigrams:
         return best
 
 
+@functools.lru_cache(100_000)
 def code_trigrams(code: str) -> frozenset[str]:
     return frozenset(t for w in _WORD.findall(code.lower()) for t in _trigrams(w))
 
