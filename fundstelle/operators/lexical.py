@@ -101,5 +101,5 @@ def search_trigrams(chunks: DataFrame, queries: DataFrame, k: int, threshold: fl
         c = list(zip(*rows, strict=True))
         return {"chunk_id": strings(c[0]), "code": strings(c[1]), "score": pa.array(c[2], pa.float64())}
 
-    found = map_batches(candidates.select("chunk_id", "codes", "text"), score, "chunk_id string, code string, score double")
+    found = map_batches(candidates.select("chunk_id", "codes", "text"), score, "chunk_id string, code string, score double", by="text")
     return top_k(found.join(coded, "code").select("query_id", "chunk_id", "score"), k)
