@@ -111,7 +111,7 @@ def leaked_runs(documents: DataFrame, items: DataFrame, parts: list[str], run: i
                 n.update(filter(known.__contains__, normal_words(text)))
             return {"word": strings(n.keys()), "n": longs(n.values())}
 
-        counts = map_batches(texts, count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        counts = map_batches(texts, count, "word string, n long", by="text").groupBy("word").agg(F.sum("n").alias("n"))
         index.order({r.word: r.n for r in counts.collect()})  # at most the words of one block
         sent = spark.sparkContext.broadcast(index)
 
@@ -126,7 +126,7 @@ def leaked_runs(documents: DataFrame, items: DataFrame, parts: list[str], run: i
             c = list(zip(*rows, strict=True))
             return {"doc_id": longs(c[0]), "item_id": strings(c[1]), "part": strings(c[2]), "n_runs": ints(c[3]), "first_word": ints(c[4]), "n_words": ints(c[5])}
 
-        found.append(map_batches(texts, search, schema))
+        found.append(map_batches(texts, search, schema, by="text"))
     return reduce(DataFrame.unionByName, found).distinct() if found else spark.createDataFrame([], schema)
 
 

@@ -130,7 +130,7 @@ def _sketched(texts: DataFrame, shingle: int, least_words: int) -> DataFrame:
             "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * BANDS, pa.int32()), flat),
         }
 
-    return map_batches(texts.select("class", "content"), run, "class long, size int, bands array<long>")
+    return map_batches(texts.select("class", "content"), run, "class long, size int, bands array<long>", by="content")
 
 
 def _likely(candidates: DataFrame, similarity: float) -> DataFrame:
@@ -185,7 +185,7 @@ def similar_classes(texts: DataFrame, shingle: int, similarity: float, least_wor
         c = list(zip(*rows, strict=True))
         return {"a": longs(c[0]), "b": longs(c[1]), "similarity": pa.array(c[2], pa.float64())}
 
-    return map_batches(both.select("a", "b", "text_a", "text_b"), verify, "a long, b long, similarity double")
+    return map_batches(both.select("a", "b", "text_a", "text_b"), verify, "a long, b long, similarity double", by="text_a")
 
 
 def _long_enough(texts: DataFrame, least_words: int) -> DataFrame:
@@ -193,7 +193,7 @@ def _long_enough(texts: DataFrame, least_words: int) -> DataFrame:
         keep = pa.array([len(WORD.findall(t)) >= least_words for t in batch["content"].to_pylist()], pa.bool_())
         return {"class": batch["class"].filter(keep)}
 
-    return map_batches(texts.select("class", "content"), run, "class long")
+    return map_batches(texts.select("class", "content"), run, "class long", by="content")
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, shingle: int = SHINGLE, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:

@@ -242,7 +242,7 @@ def personal_information(documents: DataFrame, person_names: DataFrame) -> DataF
         c = list(zip(*rows, strict=True))
         return {"doc_id": longs(c[0]), "kind": strings(c[1]), "value": strings(c[2])}
 
-    return map_batches(documents.filter("text <> '' AND doc_id IS NOT NULL").select("doc_id", "text"), run, "doc_id long, kind string, value string").distinct()
+    return map_batches(documents.filter("text <> '' AND doc_id IS NOT NULL").select("doc_id", "text"), run, "doc_id long, kind string, value string", by="text").distinct()
 
 
 def redacted(documents: DataFrame, person_names: DataFrame) -> DataFrame:
@@ -264,4 +264,4 @@ def redacted(documents: DataFrame, person_names: DataFrame) -> DataFrame:
             done.append(text)
         return {"doc_id": batch["doc_id"], "text": strings(done)}
 
-    return map_batches(documents.select("doc_id", "text"), run, "doc_id long, text string")
+    return map_batches(documents.select("doc_id", "text"), run, "doc_id long, text string", by="text")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fundstelle.functions.arrow import ints, longs, map_batches, strings
+from fundstelle.functions.arrow import ints, longs, slices, strings
 from fundstelle.llm.text import letter_table, mix64
 from fundstelle.sources.tables import latest_documents
 
@@ -100,7 +100,7 @@ def repeated_lines(chunks: DataFrame, source_documents: DataFrame, min_chunks: i
 
     def count(batches):
         seen: set = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "content")):
             batch, texts = _once(batch, seen)
             if not batch.num_rows:
                 continue
@@ -118,7 +118,7 @@ def repeated_lines(chunks: DataFrame, source_documents: DataFrame, min_chunks: i
 
     def lines(batches):
         seen: set = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "content")):
             batch, texts = _once(batch, seen)
             if not batch.num_rows:
                 continue

@@ -118,5 +118,5 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
 
     return map_batches(
         _oversized(chunks, limit), run,
-        "chunk_id string, piece_no int, section_path string, heading string, cut_at string, start_token int, n_tokens int, overlap_tokens int, boundary string, content string",
+        "chunk_id string, piece_no int, section_path string, heading string, cut_at string, start_token int, n_tokens int, overlap_tokens int, boundary string, content string", by="content",
     )

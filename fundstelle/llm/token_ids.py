@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from fundstelle.functions.arrow import longs
+from fundstelle.functions.arrow import longs, slices
 
 FOLDER = "/opt/tokenizers"
 #: Fixed value: how the vocabulary's publisher cuts text into words.
@@ -133,7 +133,7 @@ def token_ids(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = FO
 
     def run(batches):
         bpe = encoder(name, folder)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             ids = [bpe.encode(t) if t else [] for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": longs(batch["doc_id"].to_pylist()), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
