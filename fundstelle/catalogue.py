@@ -139,10 +139,7 @@ def trigram_extract(s, d):
 
 @query()
 def word_similarity_topk(s, d):
-    """Codes asked for are those of chunks with an ordinal divisible by 50."""
-    c = _chunks(s, d)
-    q = c.filter("ordinal % 50 = 0").select(F.col("id").alias("query_id"), F.col("content").alias("question"))
-    return lexical.search_trigrams(c, q, 10)
+    return lexical.search_trigrams(_chunks(s, d), _queries(s, d), 10)
 
 
 #: Three rankings that SQL can make too: by matched terms, by similar length, by code number.

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import random
 import re
 import unicodedata
@@ -145,13 +146,10 @@ class OrderedTrigrams:
             return 0.0
         hits = sorted(k for t in wanted for k in self.places.get(t, ()))
         most = n if threshold <= 0 else int(n / threshold - n)
-        need, best = max(1, -(-int(n * threshold * 1000) // 1000)), 0.0
+        need, best = max(1, math.ceil(n * threshold - 1e-9)), 0.0
         for i, start in enumerate(hits):
-            last = i + need - 1
-            if last >= len(hits):
+            if i + need > len(hits):
                 break
-            if hits[last] - start > 4 * n + 8 and threshold > 0.3:
-                continue
             seen, common, others, end = set(), 0, 0, start
             for place in hits[i:]:
                 for t in self.ordered[end : place + 1]:
