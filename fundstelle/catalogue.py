@@ -649,7 +649,7 @@ def cost_from_prices(s, d):
     return own.select("id", F.round(T.cost_usd(F.col("tokens")["prompt"], F.col("tokens")["completion"], F.col("price_in"), F.col("price_out")), 6).alias("cost"))
 
 
-@query(_RUNS + "SELECT category, sum(found) AS hits, count(*) AS n, round(avg(found), 6) AS recall FROM o GROUP BY GROUPING SETS ((), (category))")
+@query(_RUNS + "SELECT category, CAST(sum(found) AS BIGINT) AS hits, count(*) AS n, round(avg(found), 6) AS recall FROM o GROUP BY GROUPING SETS ((), (category))")
 def recall_grouping_sets(s, d):
     out = _outcomes(s, d).rollup("category").agg(F.sum("found").alias("hits"), F.count(F.lit(1)).alias("n"), F.avg("found").alias("recall"))
     return out.transform(_round("recall"))
@@ -917,7 +917,7 @@ def judge_prompts(s, d):
     return e.select("id", reports.rendered(template, {"question": F.col("question"), "points": reports.bullets(F.col("expected_answer_points")), "gold": reports.gold_lines(F.col("gold_sources"))}).alias("prompt"))
 
 
-@query(_RUNS + "SELECT question_id, count(*) AS n_report, 1 AS n_wanted FROM r GROUP BY 1 HAVING count(*) <> 1 UNION ALL SELECT id, 0, 1 FROM eval_questions WHERE id NOT IN (SELECT question_id FROM r)")
+@query(_RUNS + "SELECT question_id, count(*) AS n_report, CAST(1 AS BIGINT) AS n_wanted FROM r GROUP BY 1 HAVING count(*) <> 1 UNION ALL SELECT id, 0, 1 FROM eval_questions WHERE id NOT IN (SELECT question_id FROM r)")
 def report_coverage(s, d):
     wanted = table(s, d, "eval_questions").select(F.col("id").alias("question_id"))
     return reports.coverage(_runs(s, d), wanted, "question_id")
