@@ -79,11 +79,12 @@ def log_rows(query_logs: DataFrame) -> DataFrame:
     """One row per log id: ``id, tenant_id, config_hash, day`` and the latencies; negative latencies are null.
 
     Replayed rows repeat id and contents. A duration below 0 was never measured (-1 is written for that), so it counts as
-    null; every other value counts, however long. A null or missing map entry is null.
+    null; every other value counts, however long. A null or missing map entry is null. Rows without an id are rows of their own.
     """
+    own = F.coalesce("id", F.concat(F.lit("row "), F.monotonically_increasing_id()))
     picked = {m: F.col("latency_ms")[m] for m in METRICS}
     return (
-        query_logs.select("id", "tenant_id", "config_hash", F.to_date("created_at").alias("day"), *(F.when(c >= 0, c).alias(m) for m, c in picked.items()))
+        query_logs.select(own.alias("id"), "tenant_id", "config_hash", F.to_date("created_at").alias("day"), *(F.when(c >= 0, c).alias(m) for m, c in picked.items()))
         .groupBy("id", "tenant_id", "config_hash", "day").agg(*(F.max(m).alias(m) for m in METRICS))
     )
 

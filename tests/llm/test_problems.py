@@ -102,6 +102,16 @@ def test_percentiles_keep_their_bound(spark):
     assert percentiles.percentiles(percentiles.sketch(df.limit(0), ["g"], {"v": F.col("v")}), ["g"], shares).count() == 0
 
 
+def test_log_rows(spark):
+    import datetime
+
+    t = datetime.datetime(2026, 1, 5, 23, 59)
+    data = [("1", "a", "c", {"total_ms": 5, "retrieval_ms": -1}, t)] * 2 + [(None, "a", "c", {"total_ms": 7}, t)] * 2 + [("2", None, None, None, None), ("3", "a", "c", {}, t)]
+    logs = spark.createDataFrame(data, "id string, tenant_id string, config_hash string, latency_ms map<string,int>, created_at timestamp").withColumn("day", F.lit("x"))
+    got = rows(percentiles.log_rows(logs), "tenant_id", "total_ms", "retrieval_ms")
+    assert got == sorted([("a", 5, None), ("a", 7, None), ("a", 7, None), (None, None, None), ("a", None, None)], key=repr)
+
+
 def test_day_sketches_combine(spark):
     whole = rows(Q.QUERIES["p2_by_day"](spark, SMALL), "day", "metric", "p50", "p95", "p99")
     direct = rows(percentiles.percentiles(percentiles.log_sketch(spark.read.parquet(f"{SMALL}/query_logs.parquet"), ["day"]), ["day"], percentiles.SHARES), "day", "metric", "p50", "p95", "p99")
