@@ -12,6 +12,7 @@ from fundstelle.functions.python import composed
 from fundstelle.operators import chunking, context, evaluation, ingest, lexical, operations, ranking, reports, vectors
 from fundstelle.plans import retrieval
 from fundstelle.sources.tables import latest_documents, table
+from fundstelle.streaming import streams
 from fundstelle.tenancy import TenantScope
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -934,3 +935,31 @@ def answer_events(s, d):
 def log_rows(s, d):
     a = _logs(s, d).select("request_id", "tenant_id", "question", "retrieved_ids", "answer", F.col("latency_ms")["retrieval_ms"].alias("retrieval_ms"), F.col("latency_ms")["generation_ms"].alias("generation_ms"), F.col("tokens")["prompt"].alias("prompt_tokens"), F.col("tokens")["completion"].alias("completion_tokens"), F.col("cost_usd").alias("cost"))
     return reports.log_rows(a, "x", F.lit(None).cast("timestamp")).select("id", "abstained", F.col("latency_ms")["total_ms"].alias("total_ms"), F.col("cost_usd").cast("double").alias("cost"))
+
+
+# --- streams: what lies in a folder is read as a stream and worked on in micro-batches ------------------------------------
+
+
+def _log_stream(s: SparkSession, d: str) -> DataFrame:
+    schema = table(s, d, "query_logs").schema
+    return streams.read_stream(s, f"{d}/query_log[s].parquet", schema).filter("id IS NOT NULL").dropDuplicates(["id"])
+
+
+@query("""SELECT CAST(date_trunc('hour', created_at AT TIME ZONE 'UTC') AS TIMESTAMP) AS start, count(*) AS n, count(*) FILTER (WHERE abstained) AS n_abstained, round(CAST(coalesce(sum(cost_usd), 0) AS DOUBLE), 6) AS cost FROM l GROUP BY 1""")
+def stream_rolling_stats(s, d):
+    out = streams.result(streams.rolling_stats(_log_stream(s, d), "1 hour", "60 days"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", "n_abstained", F.round(F.col("cost").cast("double"), 6).alias("cost"))
+
+
+@query("SELECT CAST(created_at AT TIME ZONE 'UTC' AS DATE) AS day, count(*) AS n, count(*) >= 200 AS exhausted FROM l GROUP BY 1")
+def stream_daily_budget(s, d):
+    return streams.result(streams.daily_questions(_log_stream(s, d), 200, "60 days"))
+
+
+@query(rf""", w AS (SELECT id, list_filter(regexp_split_to_array(answer, '{_BLANK}'), lambda x: x <> '') AS w FROM l WHERE answer IS NOT NULL) SELECT id AS request_id, array_to_string(w, '') AS text FROM w WHERE len(w) > 0""")
+def stream_token_assembly(s, d):
+    """Answers as streams of words with an end mark; state is kept per request until it comes."""
+    w = T.words(F.col("answer"))
+    deltas = _log_stream(s, d).select(F.col("id").alias("request_id"), F.posexplode(F.concat(w, F.array(F.lit("")))).alias("pos", "text"), F.size(w).alias("n")).filter("n > 0")
+    deltas = deltas.select("request_id", F.col("pos").cast("long").alias("seq"), "text", F.when(F.col("pos") == F.col("n"), "stop").alias("finish_reason"))
+    return streams.result(streams.token_streams(deltas), "append").select("request_id", "text")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Everything that Python's str.split() takes as white space; Java's \s has only a part of it.
-BLANK = r"[\s\x0B\x1C-\x1F\x85   -     　]"
+BLANK = r"[\s\x0B\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 #: Requirement codes, references to regulations, code-shaped tokens.
 REQUIREMENT = r"(?U)\b([A-ZÄÖÜ]{2,4})[ -]?(\d+(?:\.\d+)+)\b"
 UN_ECE = r"(?iU)\b(UN|ECE)[ -]?R[ -]?(\d+[A-Z]?)\b"

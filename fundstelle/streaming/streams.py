@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from fundstelle.plans.ingestion import store
+from fundstelle.session import shared_folder
 
 
 def read_stream(spark: SparkSession, folder: str, schema, per_trigger: int = 100) -> DataFrame:
@@ -77,6 +78,16 @@ def rate_limits(hits: DataFrame, limit: int, window: float, late: str = "1 minut
     return hits.withWatermark("ts", late).groupBy("key").applyInPandasWithState(run, "key string, seq long, allowed boolean", "taken array<long>", "append", "EventTimeTimeout")
 
 
+def result(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """What a stream has given once all that lies there is read: each micro-batch is written to the shared folder, then read as a table."""
+    folder = shared_folder(stream.sparkSession)
+    write = "overwrite" if mode == "complete" else "append"
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    query = query.foreachBatch(lambda batch, _: batch.write.mode(write).parquet(f"{folder}/rows")).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def parse_frames(body: str) -> list[tuple[str, str]]:
     """(event, data) of server-sent events: frames end at empty lines, comments are skipped, several data lines are joined."""
     out, event, data = [], "message", []
