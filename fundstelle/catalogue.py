@@ -127,6 +127,17 @@ def fts_all(s, d):
     return lexical.match(c, q, every=True).select("query_id", "chunk_id")
 
 
+@query(rf""", t AS (SELECT id AS chunk_id, {_TERMS.format('content_norm')} AS terms FROM c),
+w AS (SELECT id AS query_id, list_filter(regexp_split_to_array(lower(heading), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS q FROM c WHERE heading IS NOT NULL AND ordinal % 50 = 0)
+SELECT query_id, chunk_id FROM w JOIN t ON contains(' ' || array_to_string(terms, ' ') || ' ', ' ' || q[1] || ' ' || q[2] || ' ') WHERE len(q) > 1 AND NOT list_contains(terms, 'lieferant')""")
+def fts_web(s, d):
+    """The first two words of a heading as a phrase, without chunks that name a supplier."""
+    c = _chunks(s, d)
+    h = c.filter("heading IS NOT NULL AND ordinal % 50 = 0").select(F.col("id").alias("query_id"), T.terms(F.col("heading")).alias("h")).filter("size(h) > 1")
+    q = h.select("query_id", F.concat(F.lit('"'), F.col("h")[0], F.lit(" "), F.col("h")[1], F.lit('" -lieferant')).alias("question"))
+    return lexical.match_web(c, q)
+
+
 @query()
 def fts_cover_density(s, d):
     return lexical.search_german(_chunks(s, d), _queries(s, d), 40)

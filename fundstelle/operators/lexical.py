@@ -8,6 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from fundstelle.functions import python as P
 from fundstelle.functions import text as T
@@ -49,6 +50,26 @@ def match(chunks: DataFrame, queries: DataFrame, every: bool, text: str = "conte
     return (found.filter("n_matched = n_terms") if every else found).select("query_id", "chunk_id", "n_matched", "occurrences")
 
 
+def match_web(chunks: DataFrame, queries: DataFrame, text: str = "content_norm") -> DataFrame:
+    """``query_id, chunk_id`` for web-style queries: all words, quoted phrases as consecutive words, no -word. A query of only -words matches nothing.
+
+    Candidates come from the equi join on all required terms; phrases and exclusions are then tested on the chunk's own terms.
+    """
+    parsed = StructType([StructField("must", ArrayType(StringType())), StructField("must_not", ArrayType(StringType())), StructField("phrases", ArrayType(ArrayType(StringType())))])
+
+    @F.pandas_udf(parsed)
+    def parse(question: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse_web(q or "") for q in question], columns=["must", "must_not", "phrases"])
+
+    q = queries.select("query_id", parse("question").alias("p")).select("query_id", "p.*")
+    required = q.select("query_id", F.array_join(F.concat("must", F.flatten("phrases")), " ").alias("question"))
+    found = match(chunks, required, True, text).select("query_id", "chunk_id").join(q.select("query_id", "must_not", "phrases"), "query_id")
+    own = chunks.select(F.col("id").alias("chunk_id"), T.terms(F.col(text)).alias("terms"))
+    line = F.concat(F.lit(" "), F.array_join("terms", " "), F.lit(" "))
+    held = F.forall("phrases", lambda p: F.contains(line, F.concat(F.lit(" "), F.array_join(p, " "), F.lit(" "))))
+    return found.join(own, "chunk_id").filter(held & ~F.arrays_overlap("terms", "must_not")).select("query_id", "chunk_id")
+
+
 def search_terms(chunks: DataFrame, queries: DataFrame, k: int, every: bool = False) -> DataFrame:
     """Top k by matched terms, then occurrences (the plain configuration, without stems)."""
     return top_k(match(chunks, queries, every), k, order=[F.col("n_matched").desc(), F.col("occurrences").desc(), F.col("chunk_id")])

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundstelle.functions.python import hash_embed
 from fundstelle.operators import chunking, ingest
+from fundstelle.sources.sinks import insert_new
 
 
 def both_strategies(blocks: DataFrame, tenant_id: str) -> DataFrame:
@@ -20,18 +19,11 @@ def both_strategies(blocks: DataFrame, tenant_id: str) -> DataFrame:
     return ingest.with_parents(ingest.chunk_rows(structural.unionByName(fixed).withColumn("tenant_id", F.lit(tenant_id)))).drop("parent_ordinal")
 
 
-def _existing(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    return spark.read.schema(like.schema).parquet(path) if Path(path).exists() else spark.createDataFrame([], like.schema)
-
-
 def store(blocks: DataFrame, tenant_id: str, folder: str, model: str = "hash", dim: int = 256) -> None:
     """Appends new chunks and missing embeddings below ``folder``; a second run adds nothing."""
     spark = blocks.sparkSession
     rows = both_strategies(blocks, tenant_id)
-    chunks = f"{folder}/chunks"
-    new = ingest.new_rows(_existing(spark, chunks, rows), rows, ["document_id", "strategy", "chunk_hash"], [F.col("ordinal")])
-    new.write.mode("append").parquet(chunks)
-    stored = spark.read.schema(rows.schema).parquet(chunks)
+    insert_new(rows, f"{folder}/chunks", ["document_id", "strategy", "chunk_hash"], [F.col("ordinal")])
+    stored = spark.read.schema(rows.schema).parquet(f"{folder}/chunks")
     vectors = stored.select(F.col("id").alias("chunk_id"), F.lit(model).alias("model"), F.lit(dim).alias("dim"), hash_embed(dim)("content_norm").alias("vec"))
-    path = f"{folder}/embeddings"
-    ingest.new_rows(_existing(spark, path, vectors), vectors, ["chunk_id", "model"]).write.mode("append").parquet(path)
+    insert_new(vectors, f"{folder}/embeddings", ["chunk_id", "model"])

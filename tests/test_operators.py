@@ -102,6 +102,12 @@ def test_web_query():
     assert lexical.parse_web('bremse "rote linie" -alt') == {"must": ["bremse"], "must_not": ["alt"], "phrases": [["rote", "linie"]]}
 
 
+def test_web_search(spark):
+    c = spark.createDataFrame([("1", "die rote linie der bremse"), ("2", "rote bremse linie"), ("3", "rote linie bremse alt"), ("4", None)], "id string, content_norm string")
+    q = spark.createDataFrame([("q", 'bremse "rote linie" -alt'), ("n", "-alt"), ("e", None)], "query_id string, question string")
+    assert values(lexical.match_web(c, q), "query_id", "chunk_id") == [("q", "1")]
+
+
 def test_full_text(spark):
     c = spark.createDataFrame([("1", "die prüfung der bremse"), ("2", "bremse"), ("3", None), ("4", "")], "id string, content_norm string")
     q = spark.createDataFrame([("q", "Prüfung Bremse"), ("e", ""), ("n", None)], "query_id string, question string")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fundstelle.plans.ingestion import both_strategies, store
-from fundstelle.sources import files
+from fundstelle.sources import files, sinks
 from fundstelle.streaming import streams
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -58,6 +58,17 @@ def test_checkpoint_and_worksheet(spark, tmp_path):
     assert back[0] == "Q001" and back["text"] == 'zwei\nZeilen; "x"'
 
 
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("Q001", None), ("Q002", "x")], "question_id string, error string")
+    sinks.append_checkpoint(rows.coalesce(1), f"{tmp_path}/c")
+    assert files.read_checkpoint(spark, f"{tmp_path}/c/part-*.txt", "question_id string, error string").count() == 2
+    sinks.write_reports(rows.withColumn("config_hash", F.lit("h")), f"{tmp_path}/r")
+    assert files.read_reports(spark, f"{tmp_path}/r/config_hash=h", "question_id string").count() == 2
+    logs = spark.sql("SELECT '1' AS id, 0.1234567 AS cost_usd, timestamp'2026-01-05 10:00:00' AS created_at")
+    sinks.append_logs(logs, f"{tmp_path}/l")
+    assert str(spark.read.parquet(f"{tmp_path}/l").first().cost_usd) == "0.123457"
+
+
 def test_question_sets(spark, tmp_path):
     path = tmp_path / "q.json"
     path.write_text(json.dumps([{"id": "Q001", "category": "conflict", "question": "Was?", "gold_sources": [{"document": "d", "page": 3}], "should_abstain": False}]))
