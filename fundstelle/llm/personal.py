@@ -42,15 +42,27 @@ _IDS = (
 _ROAD = r"(?:stra(?:ß|ss)e|str\.|gasse|weg|platz|allee|ring|damm|ufer|wall|graben|hof|steig|pfad|markt|chaussee|twiete|stieg)"
 _BEFORE = r"(?:(?:Am|An der|An den|Zum|Zur|Im|In der|In den|Hinter der|Hinter dem|Vor dem|Vor der|Unter den|Auf der|Auf dem|Obere[rns]?|Untere[rns]?|Alte[rns]?|Neue[rns]?|Große[rns]?|Kleine[rns]?|Hohe[rns]?|Lange[rns]?|Straße de[rs]|Platz de[rs]|Allee de[rs]|Weg de[rs]) )"
 _HOUSE = r"\d{1,4}(?: ?[a-z](?![\w]))?(?!\w)"
-_STREET = re.compile(
-    rf"(?<![\w-])(?:{_BEFORE}+[A-ZÄÖÜ][\w-]+(?: [A-ZÄÖÜ][\w-]+)?|[A-ZÄÖÜ][\wß-]*{_ROAD})\s{_HOUSE}"
-    r"|(?<!\w)\d{1,4}[a-z]? (?:[A-Z][\w'-]+ ){1,3}(?:Road|Street|Lane|Avenue|Close|Drive|Way|Square|Court|Place|Gardens|Terrace|Row|Hill|Rd|St|Ave)(?!\w)"
-)
+_STREET_NAME = re.compile(rf"(?<![\w-])(?:{_BEFORE}+[A-ZÄÖÜ][\w-]+(?: [A-ZÄÖÜ][\w-]+)?|[A-ZÄÖÜ][\wß-]*{_ROAD})\s$")
+_NUMBERED = re.compile(rf"(?<=[a-zß.]\s){_HOUSE}")
+_EN_ROAD = re.compile(r"\b(?:Road|Street|Lane|Avenue|Close|Drive|Way|Square|Court|Place|Gardens|Terrace|Row|Hill|Rd|St|Ave)(?!\w)")
+_EN_STREET = re.compile(rf"(?<!\w)\d{{1,4}}[a-z]? (?:[A-Z][\w'-]+ ){{1,3}}{_EN_ROAD.pattern}")
+_AT_SIGN = re.compile(r"@|[\[({]\s?(?:at|ät)\s?[\])}]", re.IGNORECASE)
+
+
+def _streets(text: str) -> list[tuple[int, int]]:
+    """Streets with a house number. German ones are looked for backwards from the numbers, of which a text has few."""
+    out = [m.span() for m in _EN_STREET.finditer(text)] if _EN_ROAD.search(text) else []
+    for m in _NUMBERED.finditer(text):
+        low = max(0, m.start() - 80)
+        if before := _STREET_NAME.search(text[low : m.start()]):
+            out.append((low + before.start(), m.end()))
+    return out
 
 
 def forms(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans that have a kind's form; numbers only with right check digits, telephones with 7 to 15 digits."""
-    found = {"email": [m.span() for m in _EMAIL.finditer(text)], "address": [m.span() for m in _STREET.finditer(text)], "id_number": [], "phone": []}
+    mails = [m.span() for m in _EMAIL.finditer(text)] if _AT_SIGN.search(text) else []
+    found = {"email": mails, "address": _streets(text), "id_number": [], "phone": []}
     for pattern, right in _IDS:
         for m in pattern.finditer(text):
             if right(m[0]) and not any(a < m.end() and m.start() < b for a, b in found["id_number"]):
