@@ -156,7 +156,27 @@ counted AS (SELECT filename, l, count(DISTINCT id) AS n FROM letters WHERE l <>
 SELECT DISTINCT id AS chunk_id, CAST(line_no AS INT) AS line_no FROM letters JOIN counted USING (filename, l) JOIN sizes USING (filename)
 WHERE n >= 20 AND n >= 0.15 * n_chunks"""
 
+_TOKENS = r"len(list_filter(regexp_split_to_array({}, '[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+'), lambda t: t <> ''))"
+_P3 = (
+    r"""
+WITH own AS (SELECT DISTINCT id, content FROM chunks WHERE id IS NOT NULL AND """ + _TOKENS.format("content") + r""" > 800),
+units AS (SELECT id, regexp_split_to_array(content, '\n\s*\n') AS paragraphs, string_split(content, chr(10)) AS lines,
+  flatten(list_transform(string_split(content, chr(10)), lambda x: string_split(regexp_replace(x, '([.!?])\s+(\p{Lu})', '\1' || chr(1) || '\2', 'g'), chr(1)))) AS sentences FROM own)
+SELECT id AS chunk_id, CASE WHEN list_max(list_transform(paragraphs, lambda u: """ + _TOKENS.format("u") + """)) <= 800 THEN 'paragraph'
+  WHEN list_max(list_transform(lines, lambda u: """ + _TOKENS.format("u") + """)) <= 800 THEN 'line'
+  WHEN list_max(list_transform(sentences, lambda u: """ + _TOKENS.format("u") + """)) <= 800 THEN 'sentence' ELSE 'word' END AS cut_at FROM units"""
+)
+
+_P4 = r"""
+WITH own AS (SELECT id, regexp_extract_all(lower(first(content)), '[\p{L}\p{N}]+') AS w FROM chunks WHERE id IS NOT NULL AND content IS NOT NULL GROUP BY id),
+s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS shingle FROM own, unnest(range(1, len(w) - 1)) AS u(i) WHERE len(w) >= 40),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+common AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b USING (shingle) WHERE a.id < b.id GROUP BY a.id, b.id)
+SELECT a AS chunk_id_a, b AS chunk_id_b FROM common JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k >= 0.5 * (x.n + y.n - k)"""
+
 ORACLE: dict[str, str] = {
+    "p3_found": _P3,
+    "p4_found": _P4,
     "p1_found": _P1,
     "p2_percentiles": _p2_sql("tenant_id, config_hash, day"),
     "p2_by_tenant": _p2_sql("tenant_id"),
