@@ -41,7 +41,7 @@ SCANNED_SHARE = 0.5
 HEADER_CHUNKS, FEWER = 3, 2
 #: A misread word's printed form is this many times as frequent, and occurs at least LEAST times.
 RATIO, LEAST = 4, 3
-#: Frequent forms of a skeleton that a rare form is compared with.
+#: Frequent forms of a skeleton in one block of the join with rare forms; a skeleton has as many blocks as it needs.
 FORMS = 8
 
 _SKELETON = str.maketrans("cf1iqbnrüöä058", "etllghuuuoaosh")
@@ -220,9 +220,12 @@ def misread_words(parts: _Parts) -> DataFrame:
     formed = _with_skeleton(parts.words)
     rare = formed.filter("n_clean = 0 AND n_read > 0 AND length(word) > 2 AND word RLIKE '[a-zA-ZäöüÄÖÜß]'")
     n = F.col("n_clean") + F.col("n_read")
+    # Every frequent form is compared; a skeleton of many forms is split into blocks, so that no key of the join gets all its pairs.
     rank = F.row_number().over(Window.partitionBy("skeleton").orderBy(n.desc(), "word"))
-    frequent = formed.filter(n >= LEAST).select("skeleton", F.col("word").alias("form"), n.alias("n_form"), rank.alias("rank")).filter(F.col("rank") <= FORMS)
-    pairs = rare.join(frequent.drop("rank"), "skeleton").filter((F.col("form") != F.col("word")) & (F.col("n_form") >= RATIO * F.col("n_read")))
+    frequent = formed.filter(n >= LEAST).select("skeleton", F.col("word").alias("form"), n.alias("n_form"), F.floor((rank - 1) / FORMS).cast("int").alias("block"))
+    blocks = frequent.groupBy("skeleton").agg(F.max("block").alias("last"))
+    each = rare.join(blocks, "skeleton").select("skeleton", "word", "n_read", F.explode(F.sequence(F.lit(0), "last")).alias("block"))
+    pairs = each.join(frequent, ["skeleton", "block"]).filter((F.col("form") != F.col("word")) & (F.col("n_form") >= RATIO * F.col("n_read")))
 
     def explained(batch: pa.RecordBatch) -> dict | None:
         rows = []

@@ -267,6 +267,14 @@ def test_scan_noise(spark):
     assert scanned.scan_noise(scan_table(spark).limit(0)).count() == 0
 
 
+def test_all_frequent_forms_explain(spark):
+    """The printed form is the least frequent of many forms of its skeleton."""
+    common = ["Dein", "dEin", "deIn", "deiN", "DEin", "DeIn", "DeiN", "dEIn", "dEiN", "DEIN"]
+    clean = [(f"k{k}", "klar", " ".join([*common, *common, "dein"]), False) for k in range(4)]
+    found = scanned.scan_noise(chunk_table(spark, [("s", "scan", "Es ist dcin Wort.", True), *clean]))
+    assert rows(found, "chunk_id", "line_no", "kind") == [("s", 0, "glyph")]
+
+
 def test_paragraphs(spark):
     text = {r.chunk_id: r.text for r in scanned.paragraphs(scan_table(spark)).filter("paragraph_no = 0").collect()}
     assert text["s0"] == "Die Prüfung der Hydraulikleitung erfolgt im Stillstand. Der Otto- Motor läuft. Die Ein- und Ausgänge bleiben."
