@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fundstelle.functions import text as T
@@ -138,6 +138,31 @@ def fts_web(s, d):
     return lexical.match_web(c, q)
 
 
+# The place in the document would nearly always pick first chunks, so these choose their sections by a number of the id.
+_OF_ID = "CAST(('0x' || substr(md5(id), 1, 6)) AS BIGINT) % 50 = 0"
+
+
+def _of_id() -> Column:
+    return F.conv(F.substring(F.md5("id"), 1, 6), 16, 10).cast("long") % 50 == 0
+
+
+@query(ORACLE["fts_all"].replace("ordinal % 50 = 0", _OF_ID))
+def fts_all_by_id(s, d):
+    """As ``fts_all``, for sections from all places of the documents."""
+    c = _chunks(s, d)
+    q = c.filter("section_path IS NOT NULL AND heading IS NOT NULL").filter(_of_id()).select(F.col("id").alias("query_id"), F.concat_ws(" ", "section_path", "heading").alias("question"))
+    return lexical.match(c, q, every=True).select("query_id", "chunk_id")
+
+
+@query(ORACLE["fts_web"].replace("ordinal % 50 = 0", _OF_ID))
+def fts_web_by_id(s, d):
+    """As ``fts_web``, for headings from all places of the documents."""
+    c = _chunks(s, d)
+    h = c.filter("heading IS NOT NULL").filter(_of_id()).select(F.col("id").alias("query_id"), T.terms(F.col("heading")).alias("h")).filter("size(h) > 1")
+    q = h.select("query_id", F.concat(F.lit('"'), F.col("h")[0], F.lit(" "), F.col("h")[1], F.lit('" -lieferant')).alias("question"))
+    return lexical.match_web(c, q)
+
+
 @query()
 def fts_cover_density(s, d):
     return lexical.search_german(_chunks(s, d), _queries(s, d), 40)
@@ -870,11 +895,34 @@ def neighbour_range_join(s, d):
 FROM s LEFT JOIN c ON c.document_id = s.document_id AND c.strategy = s.strategy AND c.ordinal BETWEEN s.ordinal - 2 AND s.ordinal + 2 AND c.ordinal <> s.ordinal GROUP BY s.id""")
 def chunk_context(s, d):
     c = _chunks(s, d)
-    out = operations.chunk_context(c, _seeds(c), 2)
-    nxt = operations.neighbours(c, _seeds(c), 1).filter("offset = 1").groupBy(F.col("seed_id").alias("id")).agg(F.min("id").alias("next"))
+    return _context(c, _seeds(c))
+
+
+def _context(c: DataFrame, seeds: DataFrame) -> DataFrame:
+    out = operations.chunk_context(c, seeds, 2)
+    nxt = operations.neighbours(c, seeds, 1).filter("offset = 1").groupBy(F.col("seed_id").alias("id")).agg(F.min("id").alias("next"))
     return out.join(nxt, "id", "left").select("id", F.size("before").alias("n_before"), F.size("after").alias("n_after"), "next")
 
 
+@query(ORACLE["chunk_context"].replace(" WHERE ordinal % 50 = 0", ""))
+def chunk_context_all(s, d):
+    """The context of every chunk."""
+    c = _chunks(s, d).select("id", "document_id", "strategy", "ordinal")
+    return _context(c, c)
+
+
+@query(""", h AS (SELECT DISTINCT id AS query_id, unnest(retrieved_ids) AS seed FROM l)
+SELECT DISTINCT query_id, n.id FROM h JOIN c ON c.id = seed JOIN c n ON n.document_id = c.document_id AND n.strategy = c.strategy AND n.ordinal BETWEEN c.ordinal - 1 AND c.ordinal + 1
+WHERE NOT EXISTS (SELECT 1 FROM h k WHERE k.query_id = h.query_id AND k.seed = n.id)""")
+def neighbours_of_hits(s, d):
+    """Neighbours of what each logged query retrieved, without its own hits. The hits of one query are few and held in one row."""
+    c = _chunks(s, d)
+    near = operations.neighbours(c, c, 1).groupBy("seed_id").agg(F.collect_list("id").alias("near"))
+    hits = _logs(s, d).select(F.col("id").alias("query_id"), F.explode(F.array_distinct("retrieved_ids")).alias("seed_id"))
+    each = hits.join(near, "seed_id").groupBy("query_id").agg(F.array_except(F.flatten(F.collect_list("near")), F.collect_list("seed_id")).alias("ids"))
+    return each.select("query_id", F.explode("ids").alias("id"))
+
+
 @query(rf""", w AS (SELECT id, list_filter(regexp_split_to_array(answer, '{_BLANK}'), lambda x: x <> '') AS w FROM l WHERE answer IS NOT NULL) SELECT id AS request_id, array_to_string(w, '') AS text FROM w WHERE len(w) > 0""")
 def token_stream_assemble(s, d):
     """Answers as streams of words, put together without the blanks."""

@@ -48,5 +48,12 @@ def test_query(spark, duck, name):
     assert sorted(rows, key=repr) == sorted(wanted, key=repr)
 
 
+def test_context_of_every_chunk(spark):
+    """Each chunk has its row, not only those at the start of a document."""
+    found = {r.id: r for r in catalogue.QUERIES["chunk_context_all"](spark, FOLDER).collect()}
+    ids = {r.id for r in spark.read.parquet(f"{FOLDER}/chunks.parquet").filter("id IS NOT NULL").collect()}
+    assert set(found) == ids and sum(r.n_before > 0 for r in found.values()) > len(ids) / 2
+
+
 def test_entry(spark):
     assert catalogue.flagship(spark, FOLDER).count() > 0
