@@ -11,6 +11,7 @@ from fundstelle.functions import text as T
 from fundstelle.functions.python import composed
 from fundstelle.operators import chunking, context, evaluation, ingest, lexical, operations, ranking, reports, vectors
 from fundstelle.plans import retrieval
+from fundstelle.session import cut_lineage
 from fundstelle.sources.tables import latest_documents, table
 from fundstelle.streaming import streams
 from fundstelle.tenancy import TenantScope
@@ -779,6 +780,41 @@ def locate_points(s, d):
     return p.groupBy(evaluation.locate(F.col("point"), F.col("answer"), F.col("gold_passage")).alias("place")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_LOCATED = _RUNS + f""", fa AS (SELECT run_id, config_hash, retrieved_ids, points FROM r WHERE {{which}}),
+i AS (SELECT DISTINCT run_id, unnest(retrieved_ids) AS chunk_id FROM fa), p AS (SELECT run_id, config_hash, k, {_FM.format('points[k]')} AS point FROM (SELECT *, unnest(range(1, len(points) + 1)) AS k FROM fa)),
+t AS (SELECT i.run_id, 0 AS place, {_FM.format('c.content')} AS text FROM i JOIN c ON c.id = i.chunk_id
+ UNION ALL SELECT i.run_id, 1, {_FM.format('n.content')} FROM i JOIN c ON c.id = i.chunk_id JOIN c n ON n.document_id = c.document_id AND n.strategy = c.strategy AND abs(n.ordinal - c.ordinal) = 1),
+x AS (SELECT p.run_id, p.config_hash, k, CASE min(CASE WHEN point = '' THEN 0 WHEN contains(text, point) THEN place END) WHEN 0 THEN 'context' WHEN 1 THEN 'neighbour' ELSE 'missing' END AS place FROM p LEFT JOIN t ON t.run_id = p.run_id GROUP BY ALL)
+"""
+_FALSE = "abstained AND NOT should_abstain AND error IS NULL"
+
+
+def _located(s: SparkSession, d: str, which: str) -> tuple[DataFrame, DataFrame]:
+    """The runs, and the places of their points in retrieved and neighbouring chunks."""
+    c = _chunks(s, d)
+    runs = cut_lineage(_runs(s, d).filter(which).select("run_id", "config_hash", "question_id", "retrieved_ids", "points"))
+    points = runs.select("run_id", "question_id", F.posexplode("points").alias("pos", "point"))
+    retrieved = runs.select("run_id", "question_id", F.explode(F.array_distinct("retrieved_ids")).alias("chunk_id"))
+    return runs, evaluation.located(points, retrieved, c, operations.neighbours(c, c, 1))
+
+
+@query(_LOCATED.replace("{which}", "answer IS NOT NULL") + "SELECT place, count(*) AS n FROM x GROUP BY 1")
+def locate_points_in_chunks(s, d):
+    """Where the points of all answered runs are: in the chunks retrieved, in their neighbours, or in neither."""
+    return _located(s, d, "answer IS NOT NULL")[1].groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_LOCATED.replace("{which}", _FALSE) + """, y AS (SELECT run_id, count(*) FILTER (WHERE place = 'context') AS context, count(*) FILTER (WHERE place = 'neighbour') AS neighbour, count(*) FILTER (WHERE place = 'missing') AS missing FROM x GROUP BY 1)
+SELECT config_hash, count(*) AS n_false, CAST(coalesce(sum(context), 0) AS BIGINT) AS context, CAST(coalesce(sum(neighbour), 0) AS BIGINT) AS neighbour, CAST(coalesce(sum(missing), 0) AS BIGINT) AS missing,
+count(*) FILTER (WHERE missing = 0 AND neighbour > 0) AS fixable FROM fa LEFT JOIN y USING (run_id) GROUP BY 1""")
+def neighbour_coverage(s, d):
+    """Of each configuration's false abstentions: points by place, and how many runs neighbours could complete."""
+    runs, places = _located(s, d, _FALSE)
+    total = [F.coalesce(F.sum(p), F.lit(0)).alias(p) for p in ("context", "neighbour", "missing")]
+    each = runs.select("run_id", "config_hash").join(evaluation.fixable(places), "run_id", "left")
+    return each.groupBy("config_hash").agg(F.count(F.lit(1)).alias("n_false"), *total, F.count_if("fixable").alias("fixable"))
+
+
 @query(_RUNS + """, k AS (SELECT run_id, question_id, error, row_number() OVER (PARTITION BY question_id ORDER BY created_at DESC, run_id DESC) AS n FROM r) SELECT run_id, question_id FROM k WHERE n = 1 AND error IS NULL""")
 def checkpoint_latest(s, d):
     lines = _runs(s, d).withColumn("line_no", F.struct("created_at", "run_id"))

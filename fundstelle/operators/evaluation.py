@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fundstelle.functions import text as T
 from fundstelle.functions.python import bootstrap_interval
-from fundstelle.session import cut_lineage
+from fundstelle.session import cut_lineage, small_side
 
 
 def gold_match(document: Column, section: Column, page: Column, filename: Column, path: Column, first: Column, last: Column) -> Column:
@@ -51,6 +51,30 @@ def locate(point: Column, context: Column, neighbours: Column) -> Column:
     return F.when(F.contains(T.for_match(context), p), "context").when(F.contains(T.for_match(neighbours), p), "neighbour").otherwise("missing")
 
 
+def located(points: DataFrame, retrieved: DataFrame, chunks: DataFrame, near: DataFrame) -> DataFrame:
+    """``points(run_id, question_id, pos, point)`` with the ``place`` of each: context, neighbour or missing.
+
+    A point is in the context if a chunk that the run retrieved contains it, else in a neighbour of one. ``retrieved`` has run_id,
+    question_id and chunk_id, ``chunks`` id and content, ``near`` seed_id and id. Each text is searched once for the points of all
+    questions, which are few; joined are only chunks that contain one. An empty point is in any context; a null one is missing.
+    """
+    wanted = points.select("question_id", "point", T.for_match(F.col("point")).alias("_p")).filter("_p <> ''").distinct()
+    texts = chunks.filter("content IS NOT NULL").select("id", T.for_match(F.col("content")).alias("_text"))
+    held = cut_lineage(texts.join(small_side(wanted), F.contains("_text", "_p")).select("id", "question_id", "point"))
+    direct = held.select(F.col("id").alias("chunk_id"), "question_id", "point", F.lit(0).alias("_rank"))
+    beside = near.join(held, "id").select(F.col("seed_id").alias("chunk_id"), "question_id", "point", F.lit(1).alias("_rank"))
+    by_seed = direct.unionByName(beside).groupBy("chunk_id", "question_id", "point").agg(F.min("_rank").alias("_rank"))
+    seen = retrieved.join(by_seed, ["chunk_id", "question_id"]).groupBy("run_id", "point").agg(F.min("_rank").alias("_rank"))
+    place = F.when((T.for_match(F.col("point")) == "") | (F.col("_rank") == 0), "context").when(F.col("_rank") == 1, "neighbour").otherwise("missing")
+    return points.join(seen, ["run_id", "point"], "left").select("run_id", "question_id", "pos", "point", place.alias("place"))
+
+
+def fixable(places: DataFrame) -> DataFrame:
+    """``run_id, context, neighbour, missing, fixable``: points by place, and whether neighbours would complete the context."""
+    each = [F.count_if(F.col("place") == p).alias(p) for p in ("context", "neighbour", "missing")]
+    return places.groupBy("run_id").agg(*each).withColumn("fixable", (F.col("missing") == 0) & (F.col("neighbour") > 0))
+
+
 def abstention_rates(runs: DataFrame, keys: list[str]) -> DataFrame:
     """``correct_abstention`` over unanswerable and ``false_abstention`` over answerable runs without error."""
     rate = lambda on: F.avg(F.when(on, F.col("abstained").cast("double")))

@@ -314,3 +314,15 @@ def test_token_stream(spark):
     d = spark.createDataFrame([("r", 2, "b", None, "stop"), ("r", 1, "a", "m", None), ("r", 3, None, None, None)], "request_id string, seq int, text string, model string, finish_reason string")
     assert values(operations.assembled(d), "text", "model", "finish_reason") == [("ab", "m", "stop")]
     assert one(spark, T.is_truncated(F.col("t")), t="length") and not one(spark, T.is_truncated(F.col("t")), t="STOP") and not one(spark, T.is_truncated(F.col("t")), t=None)
+
+
+def test_points_in_retrieved_and_neighbouring_chunks(spark):
+    chunks = spark.createDataFrame([("a", "Es gilt 3,5 bar."), ("b", "Höchstens 20 mm."), ("c", None), ("z", "99 kg")], "id string, content string")
+    near = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c")], "seed_id string, id string")
+    points = [("r1", "q", 0, "3.5 BAR"), ("r1", "q", 1, "20 mm"), ("r2", "q", 0, "20 mm"), ("r2", "q", 1, "99 kg"), ("r3", "q", 0, "99 kg"), ("r3", "q", 1, ""), ("r3", "q", 2, None)]
+    points = spark.createDataFrame(points, "run_id string, question_id string, pos int, point string")
+    retrieved = spark.createDataFrame([("r1", "q", "a"), ("r2", "q", "a"), ("r2", "q", "b"), ("r3", "q", "gone")], "run_id string, question_id string, chunk_id string")
+    places = evaluation.located(points, retrieved, chunks, near)
+    found = {(r.run_id, r.pos): r.place for r in places.collect()}
+    assert found == {("r1", 0): "context", ("r1", 1): "neighbour", ("r2", 0): "context", ("r2", 1): "missing", ("r3", 0): "missing", ("r3", 1): "context", ("r3", 2): "missing"}
+    assert {r.run_id: r.fixable for r in evaluation.fixable(places).collect()} == {"r1": True, "r2": False, "r3": False}
