@@ -43,19 +43,37 @@ _ROAD = r"(?:stra(?:ß|ss)e|str\.|gasse|weg|platz|allee|ring|damm|ufer|wall|grab
 _BEFORE = r"(?:(?:Am|An der|An den|Zum|Zur|Im|In der|In den|Hinter der|Hinter dem|Vor dem|Vor der|Unter den|Auf der|Auf dem|Obere[rns]?|Untere[rns]?|Alte[rns]?|Neue[rns]?|Große[rns]?|Kleine[rns]?|Hohe[rns]?|Lange[rns]?|Straße de[rs]|Platz de[rs]|Allee de[rs]|Weg de[rs]) )"
 _HOUSE = r"\d{1,4}(?: ?[a-z](?![\w]))?(?!\w)"
 _STREET_NAME = re.compile(rf"(?<![\w-])(?:{_BEFORE}+[A-ZÄÖÜ][\w-]+(?: [A-ZÄÖÜ][\w-]+)?|[A-ZÄÖÜ][\wß-]*{_ROAD})\s$")
-_NUMBERED = re.compile(rf"(?<=[a-zß.]\s){_HOUSE}")
+_NUMBERED = re.compile(rf"(?<=[\w.-]\s){_HOUSE}")
+_CAPITAL = re.compile(r"[A-ZÄÖÜ]")
 _EN_ROAD = re.compile(r"\b(?:Road|Street|Lane|Avenue|Close|Drive|Way|Square|Court|Place|Gardens|Terrace|Row|Hill|Rd|St|Ave)(?!\w)")
 _EN_STREET = re.compile(rf"(?<!\w)\d{{1,4}}[a-z]? (?:[A-Z][\w'-]+ ){{1,3}}{_EN_ROAD.pattern}")
 _AT_SIGN = re.compile(r"@|[\[({]\s?(?:at|ät)\s?[\])}]", re.IGNORECASE)
 
 
 def _streets(text: str) -> list[tuple[int, int]]:
-    """Streets with a house number. German ones are looked for backwards from the numbers, of which a text has few."""
-    out = [m.span() for m in _EN_STREET.finditer(text)] if _EN_ROAD.search(text) else []
+    """Streets with a house number, from left to right and without overlaps.
+
+    German ones are looked for backwards from the numbers, of which a text has few: to the start of the line or the number before,
+    as no word of a name begins with a digit. Its last word has a capital.
+    """
+    out, at, low = [], 0, 0
+    english = _EN_STREET.search(text) if _EN_ROAD.search(text) else None
     for m in _NUMBERED.finditer(text):
-        low = max(0, m.start() - 80)
-        if before := _STREET_NAME.search(text[low : m.start()]):
-            out.append((low + before.start(), m.end()))
+        end, low = m.start() - 1, max(low, text.rfind("\n", low, m.start() - 1) + 1)
+        if _CAPITAL.search(text, max(low, text.rfind(" ", low, end)), end):
+            while before := _STREET_NAME.search(text, max(low, at), m.start()):
+                if english and english.start() < before.start():
+                    out.append(english.span())
+                    at = english.end()
+                else:
+                    out.append((before.start(), m.end()))
+                    at = m.end()
+                if english and english.start() < at:
+                    english = _EN_STREET.search(text, at)
+        low = m.start()
+    while english:
+        out.append(english.span())
+        english = _EN_STREET.search(text, english.end())
     return out
 
 

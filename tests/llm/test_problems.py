@@ -359,6 +359,23 @@ def test_leaks_in_blocks_and_odd_rows(spark, monkeypatch):
 # --- p8 ---
 
 
+_STREET = re.compile(
+    rf"(?<![\w-])(?:{personal._BEFORE}+[A-ZÄÖÜ][\w-]+(?: [A-ZÄÖÜ][\w-]+)?|[A-ZÄÖÜ][\wß-]*{personal._ROAD})\s{personal._HOUSE}"
+    r"|(?<!\w)\d{1,4}[a-z]? (?:[A-Z][\w'-]+ ){1,3}(?:Road|Street|Lane|Avenue|Close|Drive|Way|Square|Court|Place|Gardens|Terrace|Row|Hill|Rd|St|Ave)(?!\w)"
+)
+
+
+def test_streets_as_one_pattern():
+    """Looking back from the numbers finds what the whole pattern finds."""
+    long = "Straße der " * 9 + "Einheit"
+    texts = ["Am ZOB 12", "Zum Café 3", "An der Allee C4 7", f"Treff: {long} 4 b, dann", "Am Alt- 5", "Am Platz 12 Baker Street", "12 Am Markt Street 5", "Ringweg\n7 Seestr. 8", "x-Hofweg 3"]
+    pick, words = random.Random(5), ["Am", "An der", "Zum", "Straße des", "Alten", "Markt", "ZOB", "C4", "Seestr.", "Ring", "Hofweg", "12", "7", "7a", "b", "12345", "Baker", "Street", "St", "O'5", "und", "-", ",", "(", "Große", "Alt-", "é"]
+    texts += ["".join(pick.choice(words) + pick.choice([" ", " ", " ", " ", "\n", "\xa0", ""]) for _ in range(25)) for _ in range(20_000)]
+    for t in texts:
+        assert personal._streets(t) == [m.span() for m in _STREET.finditer(t)], t
+    assert [personal._streets(t) != [] for t in texts[:4]] == [True] * 4
+
+
 def test_check_digits():
     assert iban_check("DE89 3704 0044 0532 0130 00") and not iban_check("DE89 3704 0044 0532 0130 01") and not iban_check("DE89")
     assert tax_check("86095742719") and not tax_check("86095742718") and not tax_check("11111111111")
