@@ -24,7 +24,7 @@ from fundstelle.llm.identity import card_check, iban_check, insurance_check, tax
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 LABELS = ["O"] + [f"{b}-{k}" for k in KINDS for b in "BI"]
-#: Names of the list that are taken to the driver at most; with more, those of the least hashes.
+#: Names of the list that may be taken to the driver; a longer list is an error.
 MOST_NAMES = 100_000
 #: Tokens of a sequence at most; longer texts are decoded in parts that are cut at line ends where possible.
 MOST_TOKENS = 4_000
@@ -250,8 +250,10 @@ def _decode(field: Crf, texts: list[str]) -> list[list[tuple[int, int, str]]]:
 
 
 def _field(person_names: DataFrame) -> Crf:
-    """Trained with the listed names, of which MOST_NAMES at most are collected."""
-    listed = person_names.filter("name IS NOT NULL AND name_kind IN ('given', 'family')").select("name", "name_kind").distinct().orderBy(F.xxhash64("name"), "name", "name_kind").limit(MOST_NAMES).collect()
+    """Trained with the listed names; a list of more than MOST_NAMES is refused, as no name may be left out."""
+    listed = person_names.filter("name IS NOT NULL AND name_kind IN ('given', 'family')").select("name", "name_kind").distinct().limit(MOST_NAMES + 1).collect()
+    if len(listed) > MOST_NAMES:
+        raise ValueError(f"person_names has more than {MOST_NAMES} names, which is the most that fits the field")
     return trained(*(tuple(sorted(r.name for r in listed if r.name_kind == kind)) for kind in ("given", "family")))
 
 

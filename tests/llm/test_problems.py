@@ -359,6 +359,14 @@ def test_leaks_in_blocks_and_odd_rows(spark, monkeypatch):
 # --- p8 ---
 
 
+def test_too_many_names(spark, monkeypatch):
+    """No name is dropped silently."""
+    monkeypatch.setattr(personal, "MOST_NAMES", 2)
+    names = spark.createDataFrame([(n, "given") for n in ("Anna", "Ben", "Cem")], "name string, name_kind string")
+    with pytest.raises(ValueError, match="more than 2 names"):
+        personal._field(names)
+
+
 _STREET = re.compile(
     rf"(?<![\w-])(?:{personal._BEFORE}+[A-ZÄÖÜ][\w-]+(?: [A-ZÄÖÜ][\w-]+)?|[A-ZÄÖÜ][\wß-]*{personal._ROAD})\s{personal._HOUSE}"
     r"|(?<!\w)\d{1,4}[a-z]? (?:[A-Z][\w'-]+ ){1,3}(?:Road|Street|Lane|Avenue|Close|Drive|Way|Square|Court|Place|Gardens|Terrace|Row|Hill|Rd|St|Ave)(?!\w)"
