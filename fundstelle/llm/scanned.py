@@ -48,6 +48,8 @@ _SKELETON = str.maketrans("cf1iqbnrüöä058", "etllghuuuoaosh")
 _NUMBER = r"(?:[0-9OoIl]{1,4}|[ivxl]{1,7})"
 _PAGE_NUMBER = re.compile(rf"[\[(|]?\s*[-–—]?\s*(?:(?:S\.|Seite|Blatt|Page|p\.)\s*)?{_NUMBER}(?:\s*(?:von|of|/)\s*{_NUMBER})?\s*[-–—]?\s*[\])|]?", re.IGNORECASE)
 _OWN_NUMBER = re.compile(rf"^{_NUMBER}\s{{2,}}|\s{{2,}}{_NUMBER}$")
+#: Numbers that stand alone, digits read as letters included, and what stands after a word for page.
+_ANY_NUMBER = re.compile(r"(?<![^\W_])[OoIl]*\d[\dOoIl]*(?![^\W_])|(?<=[Ss]eite )[OoIl]{1,4}$|(?<=[Bb]latt )[OoIl]{1,4}$|(?<=[Pp]age )[OoIl]{1,4}$")
 _BREAKERS = "-­¬‐"
 _DIGITS_READ = re.compile(r"(?<![^\W_])(?=[^\W_]*\d)(?=\d*[OoIl])[\dOoIl]+(?![^\W_])|(?<![^\W_])[lIO](?=[.,]\d)|(?<=\d[.,])[lIO]+(?![^\W_])")
 #: Words that follow a hyphen which stands for a part of a compound left out.
@@ -83,11 +85,11 @@ def is_page_number(line: str) -> bool:
 
 
 def header_key(line: str) -> str | None:
-    """The letters of the skeleton without an own page number; None for lines that end as sentences or broken words do."""
+    """The letters of the skeleton without numbers; None for lines that end as sentences or broken words do."""
     line = line.strip()
     if not line or line[-1] in ".,;:!?" + _BREAKERS:
         return None
-    key = "".join(filter(str.isalpha, skeleton(_OWN_NUMBER.sub("", line))))
+    key = "".join(filter(str.isalpha, skeleton(_ANY_NUMBER.sub("", _OWN_NUMBER.sub("", line)))))
     return key if len(key) >= 4 else None
 
 

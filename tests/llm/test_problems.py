@@ -275,6 +275,14 @@ def test_all_frequent_forms_explain(spark):
     assert rows(found, "chunk_id", "line_no", "kind") == [("s", 0, "glyph")]
 
 
+def test_headers_with_a_number_after_one_blank(spark):
+    """A number of its own on each page doesn't tell headers apart; a digit within a word is a letter."""
+    scans = [(f"s{k}", "scan", f"Handbuch X Seite {n}\nDie Leitung ist zu pr\u00fcfen.\nEs folgt Text.", True) for k, n in enumerate(("15", "16", "18", "2O", "l1"))]
+    found = scanned.scan_noise(chunk_table(spark, scans)).filter("kind = 'header'")
+    assert rows(found, "chunk_id", "line_no") == [(f"s{k}", 0) for k in range(5)]
+    assert scanned.header_key("Werk geh6ren 15") == scanned.header_key("Werk gehören 16") != scanned.header_key("Werk Nord 16")
+
+
 def test_paragraphs(spark):
     text = {r.chunk_id: r.text for r in scanned.paragraphs(scan_table(spark)).filter("paragraph_no = 0").collect()}
     assert text["s0"] == "Die Prüfung der Hydraulikleitung erfolgt im Stillstand. Der Otto- Motor läuft. Die Ein- und Ausgänge bleiben."
