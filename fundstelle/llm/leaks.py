@@ -1,96 +1,101 @@
-"""Evaluation passages inside a corpus, by a prefix-filtered join of word runs.
+"""Evaluation passages inside a corpus, by a prefix-filtered set join of word shingles.
 
-An item leaks into a document if both have ``run`` consecutive words in common. A run of the item (a window of ``run``
-words) is contained as a whole or not at all, so of its words ordered by rarity the first one is a sufficient prefix:
-documents without that word at the fitting place can't hold the run. The steps are:
+An item leaks into a document if both have ``run`` consecutive words in common. A run of the item (a window of ``run`` words) is the set
+of its shingles of ``SHINGLE`` words; a document's window holds it only if it has all of them, so of the run's shingles ordered by rarity the
+rarest one is a sufficient prefix. The steps are:
 
-1. count each item word over the whole corpus (pre-aggregated per batch, then by Spark);
-2. choose the rarest word of each item run, with its place in the run;
-3. look up each document's words in the index of those; a hit must leave room for the run before and after (positional and
-   length bounds), and the words around it must be the run's (exact verification).
+1. the items' runs and shingles are made a table;
+2. the shingles are counted over the whole corpus (pre-aggregated per batch, then by Spark), and each run keeps its rarest with its place;
+3. the documents' shingles are joined with these prefixes. A match must leave room for the run before and after it in the document
+   (positional and length bounds), and the words around it must be the run's (exact verification in the join).
 
-Items are the stated query set. They are taken in blocks of at most ``BLOCK`` items by hash, and the index of a block is sent to
-all workers only while it has at most ``MAX_RUNS`` runs; blocks with more are halved. So memory is bounded whatever the number of items.
+What documents send into the joins is reduced by a Bloom filter of the items' shingles, which has ``BITS`` bits whatever the number of
+items; false positives are left to the joins. So the corpus is read twice, and neither driver nor workers hold the items. The prefix table is sent
+to all executors if it is small, else both sides are shuffled with a salt, so that a shingle in a third of all documents is no hot task.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter, defaultdict
-from functools import reduce
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fundstelle.functions.arrow import ints, longs, map_batches, strings
-from fundstelle.llm.text import words
+from fundstelle.llm.text import WordHashes, mix64, shingle_hashes, words
+from fundstelle.session import SMALL_ROWS, cut_lineage
 
-RUN = 10
-#: Bounds of what is collected and sent to the workers at once: items in a block, runs in an index.
-BLOCK, MAX_RUNS = 2_000, 400_000
+RUN, SHINGLE = 10, 3
+#: Bits of the filter that is sent to the workers: 8 MB.
+BITS = 1 << 26
+#: Parts of a key of the shuffled join.
+SALT = 16
 
 
 def normal_words(text: str | None) -> list[str]:
     return words(unicodedata.normalize("NFKC", text)) if text else []
 
 
-class RunIndex:
-    """Runs of a block of items by their rarest word."""
-
-    def __init__(self, items: list[tuple[str, str, str]], run: int):
-        """items: (item_id, part, text)."""
-        self.run, self.owners = run, defaultdict(set)
-        for item, part, text in items:
-            found = normal_words(text)
-            for k in range(len(found) - run + 1):
-                self.owners[tuple(found[k : k + run])].add((item, part))
-        self.vocabulary = {w for r in self.owners for w in r}
-        self.by_word: dict[str, dict[int, set]] = {}
-
-    def order(self, count: dict[str, int]) -> None:
-        """Index each run by the word of it that is rarest in the corpus; ties by the word itself."""
-        by_word: dict[str, dict[int, set]] = defaultdict(lambda: defaultdict(set))
-        for r in self.owners:
-            k = min(range(self.run), key=lambda i: (count.get(r[i], 0), r[i], i))
-            by_word[r[k]][k].add(r)
-        self.by_word = {w: dict(places) for w, places in by_word.items()}
-
-    def search(self, found: list[str]) -> dict[tuple[str, str], list[int]]:
-        """(item, part) -> the places in the document at which a run of it begins."""
-        hits: dict[tuple[str, str], list[int]] = {}
-        for at, word in enumerate(found):
-            places = self.by_word.get(word)
-            if places is None:
-                continue
-            for k, runs in places.items():
-                start = at - k
-                if start >= 0 and start + self.run <= len(found) and (r := tuple(found[start : start + self.run])) in runs:
-                    for owner in self.owners[r]:
-                        hits.setdefault(owner, []).append(start)
-        return hits
-
-
 def _parts(items: DataFrame, key: str, parts: list[str]) -> DataFrame:
     each = F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.col(p).alias("text")) for p in parts)))
     return items.filter(F.col(key).isNotNull()).select(F.col(key).alias("item_id"), each.alias("_p")).select("item_id", "_p.part", "_p.text").filter("text IS NOT NULL").distinct()
 
 
-def _blocks(listed: DataFrame, run: int) -> list[RunIndex]:
-    n = listed.select("item_id").distinct().count()
-    size, out = max(1, -(-n // BLOCK)), []
-    todo = [(size, k) for k in range(size)]
-    while todo:
-        of, k = todo.pop()
-        rows = listed.filter(F.pmod(F.xxhash64("item_id"), F.lit(of)) == k).collect() if of > 1 else listed.collect()
-        index = RunIndex([tuple(r) for r in rows], run)
-        if len(index.owners) > MAX_RUNS and len({r[0] for r in rows}) > 1 and of < 1 << 20:
-            todo += [(2 * of, k), (2 * of, k + of)]
-        elif index.owners:
-            out.append(index)
+def _runs(listed: DataFrame, run: int) -> DataFrame:
+    """``run, item_id, part, words, shingles`` of each run of each item; ``run`` is its words in one string, a key that is exact."""
+    known, n = WordHashes(), min(SHINGLE, run)
+
+    def cut(batch: pa.RecordBatch) -> dict | None:
+        rows = []
+        for item, part, text in zip(*(batch[c].to_pylist() for c in ("item_id", "part", "text")), strict=True):
+            found = normal_words(text)
+            hashes = shingle_hashes(known.of(found), n).view(np.int64).tolist()
+            rows += [(" ".join(found[k : k + run]), item, part, hashes[k : k + run - n + 1]) for k in range(len(found) - run + 1)]
+        if not rows:
+            return None
+        c = list(zip(*rows, strict=True))
+        return {"run": strings(c[0]), "item_id": strings(c[1]), "part": strings(c[2]), "shingles": pa.array(c[3], pa.list_(pa.int64()))}
+
+    return map_batches(listed, cut, "run string, item_id string, part string, shingles array<long>", by="text").distinct()
+
+
+def _filter_of(shingles: DataFrame, bits: int) -> np.ndarray:
+    """Words of 64 bits of a Bloom filter (two bits a shingle) over the column ``shingle``; at most ``bits`` / 64 rows come to the driver."""
+
+    def places(batch: pa.RecordBatch) -> dict:
+        x = batch["shingle"].to_numpy(zero_copy_only=False).view(np.uint64)
+        at = np.concatenate([x % np.uint64(bits), mix64(x) % np.uint64(bits)])
+        word, value = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+        order = np.argsort(word, kind="stable")
+        word, value = word[order], value[order]
+        starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.empty(0, np.int64)
+        return {"word": longs(word[starts]), "value": longs(np.bitwise_or.reduceat(value, starts).view(np.int64) if len(starts) else [])}
+
+    rows = map_batches(shingles.select("shingle"), places, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[rows["word"].to_numpy()] = rows["value"].to_numpy().view(np.uint64)
     return out
 
 
+def _may_hold(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    bits = np.uint64(64 * len(table))
+    held = np.ones(len(x), bool)
+    for at in (x % bits, mix64(x) % bits):
+        held &= (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+    return held
+
+
+def _salted(left: DataFrame, right: DataFrame, key: str, spread: Column) -> DataFrame:
+    """The join of a large side with the prefixes: by a broadcast if those are few, else with each key in SALT parts."""
+    if right.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return left.join(F.broadcast(right), key)
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return left.withColumn("_salt", F.pmod(spread, F.lit(SALT)).cast("int")).join(copies, [key, "_salt"]).drop("_salt")
+
+
 def leaked_runs(documents: DataFrame, items: DataFrame, parts: list[str], run: int = RUN, item_key: str = "id") -> DataFrame:
     """``doc_id, item_id, part, n_runs, first_word, n_words``: for each document and item part with a common run, how many of the item's runs
     begin in the document, the first's place among the document's words, and how many of the document's words they cover.
@@ -98,36 +103,56 @@ def leaked_runs(documents: DataFrame, items: DataFrame, parts: list[str], run: i
     Words are longest runs of letters and digits after NFKC, lower-cased. Null and empty texts, and items shorter than ``run``
     words, have no runs. Repeated items and documents under other ids are found each; rows repeated in full give one row.
     """
-    spark = documents.sparkSession
-    schema = "doc_id long, item_id string, part string, n_runs int, first_word int, n_words int"
+    context, n = documents.sparkSession.sparkContext, min(SHINGLE, run)
     texts = documents.filter("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text")
-    found = []
-    for index in _blocks(_parts(items, item_key, parts), run):
-        vocabulary = spark.sparkContext.broadcast(index.vocabulary)
-
-        def count(batch: pa.RecordBatch, vocabulary=vocabulary) -> dict | None:
-            known, n = vocabulary.value, Counter()
-            for text in batch["text"].to_pylist():
-                n.update(filter(known.__contains__, normal_words(text)))
-            return {"word": strings(n.keys()), "n": longs(n.values())}
-
-        counts = map_batches(texts, count, "word string, n long", by="text").groupBy("word").agg(F.sum("n").alias("n"))
-        index.order({r.word: r.n for r in counts.collect()})  # at most the words of one block
-        sent = spark.sparkContext.broadcast(index)
-
-        def search(batch: pa.RecordBatch, sent=sent) -> dict | None:
-            at, rows = sent.value, []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                for (item, part), starts in at.search(normal_words(text)).items():
-                    covered = len({w for s in starts for w in range(s, s + at.run)})
-                    rows.append((doc, item, part, len(set(starts)), min(starts), covered))
-            if not rows:
-                return None
-            c = list(zip(*rows, strict=True))
-            return {"doc_id": longs(c[0]), "item_id": strings(c[1]), "part": strings(c[2]), "n_runs": ints(c[3]), "first_word": ints(c[4]), "n_words": ints(c[5])}
-
-        found.append(map_batches(texts, search, schema, by="text"))
-    return reduce(DataFrame.unionByName, found).distinct() if found else spark.createDataFrame([], schema)
+    runs = cut_lineage(_runs(_parts(items, item_key, parts), run))
+    distinct = runs.dropDuplicates(["run"]).select("run", "shingles")
+    shingles = distinct.select(F.explode("shingles").alias("shingle")).distinct()
+    every = context.broadcast(_filter_of(shingles, BITS))
+    known = WordHashes()
+
+    def of_texts(batch: pa.RecordBatch) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
+        """(words of each text, all shingles, the number of each one's text, its place there)."""
+        found = [normal_words(t) for t in batch["text"].to_pylist()]
+        each = [shingle_hashes(known.of(w), n) for w in found]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        owner = np.repeat(np.arange(len(each)), sizes)
+        return found, np.concatenate(each) if each else np.empty(0, np.uint64), owner, np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+    def count(batch: pa.RecordBatch) -> dict:
+        _, x, _, _ = of_texts(batch)
+        value, times = np.unique(x[_may_hold(every.value, x)], return_counts=True)
+        return {"shingle": longs(value.view(np.int64)), "n": longs(times)}
+
+    counts = map_batches(texts, count, "shingle long, n long", by="text").groupBy("shingle").agg(F.sum("n").alias("n"))
+    placed = distinct.select("run", F.posexplode("shingles").alias("place", "shingle"))
+    rarest = placed.join(counts, "shingle").groupBy("run").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("n", "shingle", "place")).alias("r"))
+    # A run of which a shingle stands nowhere in the corpus can't stand there either.
+    prefixes = cut_lineage(rarest.filter(F.col("held") == run - n + 1).select("run", "r.shingle", F.col("r.place").alias("offset")))
+    wanted = context.broadcast(_filter_of(prefixes.select("shingle").distinct(), BITS))
+
+    def search(batch: pa.RecordBatch) -> dict | None:
+        found, x, owner, place = of_texts(batch)
+        held = np.flatnonzero(_may_hold(wanted.value, x))
+        if not len(held):
+            return None
+        docs, owner, place = batch["doc_id"].to_pylist(), owner[held].tolist(), place[held].tolist()
+        low = [max(0, p - run + n) for p in place]
+        return {
+            "doc_id": longs([docs[k] for k in owner]), "shingle": longs(x[held].view(np.int64)), "place": ints(place), "low": ints(low),
+            "words": pa.array([found[k][a : p + run] for k, p, a in zip(owner, place, low, strict=True)], pa.list_(pa.string())),
+        }
+
+    around = map_batches(texts, search, "doc_id long, shingle long, place int, low int, words array<string>", by="text")
+    start = F.col("place") - F.col("offset") - F.col("low")
+    fits = (start >= 0) & (start + run <= F.size("words"))
+    held = F.when(fits, F.array_join(F.slice("words", F.when(fits, start + 1).otherwise(1), F.lit(run)), " ") == F.col("run"))
+    matched = _salted(around, prefixes, "shingle", F.xxhash64("doc_id", "place")).filter(held).select("doc_id", "run", (F.col("place") - F.col("offset")).alias("start")).distinct()
+    owned = _salted(matched, runs.select("run", "item_id", "part"), "run", F.xxhash64("doc_id", "start"))
+    out = owned.groupBy("doc_id", "item_id", "part").agg(F.array_sort(F.collect_set("start")).alias("s"))
+    gaps = F.zip_with(F.slice("s", F.lit(2), F.greatest(F.size("s") - 1, F.lit(0))), F.slice("s", F.lit(1), F.greatest(F.size("s") - 1, F.lit(0))), lambda b, a: F.least(b - a, F.lit(run)))
+    covered = F.aggregate(gaps, F.lit(run), lambda a, g: a + g)
+    return out.select("doc_id", "item_id", "part", F.size("s").alias("n_runs"), F.col("s")[0].alias("first_word"), covered.alias("n_words"))
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, parts: list[str], run: int = RUN, item_key: str = "id") -> DataFrame:

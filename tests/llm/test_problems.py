@@ -73,13 +73,25 @@ def test_repeated_lines_against_counting(spark):
     assert rows(Q.p1_found(spark, SMALL), "chunk_id", "line_no") == wanted and wanted
 
 
-def test_fragments_depend_on_the_line_alone():
+def test_fragments_cross_lines_and_own_ones_depend_on_the_line_alone():
     line = "Eine lange Zeile über Ölventile, Pumpen und Klappen (Stand 2024)"
-    a, b = (repeated_lines.fragments([t], mean_bits=3) for t in (line, f"davor\n12: {line.upper()}\ndanach"))
-    assert len(a["frag"]) > 1 and set(a["frag"]) < set(b["frag"]) and a["whole"][0] == b["whole"][1] and b["no"].tolist() == [0, 1, 2]
+    a, b, c = (repeated_lines.fragments([t]) for t in (line, f"davor\n12: {line.upper()}\ndanach", line.replace(" ", "\n")))
+    assert a["no"].tolist() == [0] and b["no"].tolist() == [0, 1, 2] and a["whole"][0] == b["whole"][1]
+    assert a["own"].tolist() == b["own"][b["ends"][0] : b["ends"][1]].tolist() and len(a["own"]) > 2 and set(a["own"]) <= set(a["frag"])
+    assert set(a["frag"]) <= set(c["frag"])  # other line ends, same fragments
+    assert set(b["own"]) <= set(b["frag"]) and b["own"][0] == b["whole"][0]  # a short line is a fragment by itself
     assert repeated_lines.fragments(["", "12 3", "\n"])["frag"].size == 0
 
 
+def test_most_lines_have_own_fragments():
+    """Of the lines to remove in the small table, those that are found by a fragment of their letters rather than as a whole."""
+    texts = pq.read_table(f"{SMALL}/chunks.parquet").to_pandas().content.dropna().tolist()
+    found = repeated_lines.fragments(texts)
+    size = np.diff(np.concatenate(([0], found["ends"])))
+    by_itself = (size == 1) & np.isin(found["own"][found["ends"] - 1], found["whole"]) & (found["own"][found["ends"] - 1] == found["whole"])
+    assert by_itself.mean() < 0.35
+
+
 # --- p2 ---
 
 
@@ -353,9 +365,11 @@ def test_leaks_against_all_runs(spark):
     assert set(rows(Q.p7_found(spark, SMALL), "doc_id", "item_id")) == wanted and wanted
 
 
-def test_leaks_in_blocks_and_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "BLOCK", 2)
-    monkeypatch.setattr(leaks, "MAX_RUNS", 3)
+@pytest.mark.parametrize(("small", "bits"), [(200_000, 1 << 26), (0, 1 << 26), (0, 64)])
+def test_leaks_of_odd_rows(spark, monkeypatch, small, bits):
+    """By a broadcast, by shuffles, and with a filter so full that it holds nothing back."""
+    monkeypatch.setattr(leaks, "SMALL_ROWS", small)
+    monkeypatch.setattr(leaks, "BITS", bits)
     base = [f"w{k}" for k in range(40)]
     items = spark.createDataFrame([(f"Q{k}", " ".join(base[k : k + 12]), None) for k in range(5)] + [("kurz", "w1 w2", ""), (None, " ".join(base), "x")], "id string, question string, gold_passage string").withColumn("text", F.lit(1))
     d = document_table(spark, [(1, "x " + " ".join(base[1:11]).upper() + " y"), (2, " ".join(base[1:10])), (3, None), (4, ""), (5, "ﬁ " * 5), (1, "x " + " ".join(base[1:11]).upper() + " y")])
