@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fundstelle.functions.arrow import ints, longs, map_batches, strings
-from fundstelle.llm.text import WordHashes, mix64, shingle_hashes, words
+from fundstelle.llm.bloom import filter_of, may_hold
+from fundstelle.llm.text import WordHashes, shingle_hashes, words
 from fundstelle.session import SMALL_ROWS, cut_lineage
 
 RUN, SHINGLE = 10, 3
@@ -62,32 +63,6 @@ def _runs(listed: DataFrame, run: int) -> DataFrame:
     return map_batches(listed, cut, "run string, item_id string, part string, shingles array<long>", by="text").distinct()
 
 
-def _filter_of(shingles: DataFrame, bits: int) -> np.ndarray:
-    """Words of 64 bits of a Bloom filter (two bits a shingle) over the column ``shingle``; at most ``bits`` / 64 rows come to the driver."""
-
-    def places(batch: pa.RecordBatch) -> dict:
-        x = batch["shingle"].to_numpy(zero_copy_only=False).view(np.uint64)
-        at = np.concatenate([x % np.uint64(bits), mix64(x) % np.uint64(bits)])
-        word, value = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
-        order = np.argsort(word, kind="stable")
-        word, value = word[order], value[order]
-        starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.empty(0, np.int64)
-        return {"word": longs(word[starts]), "value": longs(np.bitwise_or.reduceat(value, starts).view(np.int64) if len(starts) else [])}
-
-    rows = map_batches(shingles.select("shingle"), places, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[rows["word"].to_numpy()] = rows["value"].to_numpy().view(np.uint64)
-    return out
-
-
-def _may_hold(table: np.ndarray, x: np.ndarray) -> np.ndarray:
-    bits = np.uint64(64 * len(table))
-    held = np.ones(len(x), bool)
-    for at in (x % bits, mix64(x) % bits):
-        held &= (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
-    return held
-
-
 def _salted(left: DataFrame, right: DataFrame, key: str, spread: Column) -> DataFrame:
     """The join of a large side with the prefixes: by a broadcast if those are few, else with each key in SALT parts."""
     if right.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
@@ -108,7 +83,7 @@ def leaked_runs(documents: DataFrame, items: DataFrame, parts: list[str], run: i
     runs = cut_lineage(_runs(_parts(items, item_key, parts), run))
     distinct = runs.dropDuplicates(["run"]).select("run", "shingles")
     shingles = distinct.select(F.explode("shingles").alias("shingle")).distinct()
-    every = context.broadcast(_filter_of(shingles, BITS))
+    every = context.broadcast(filter_of(shingles, "shingle", BITS))
     known = WordHashes()
 
     def of_texts(batch: pa.RecordBatch) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
@@ -121,7 +96,7 @@ def leaked_runs(documents: DataFrame, items: DataFrame, parts: list[str], run: i
 
     def count(batch: pa.RecordBatch) -> dict:
         _, x, _, _ = of_texts(batch)
-        value, times = np.unique(x[_may_hold(every.value, x)], return_counts=True)
+        value, times = np.unique(x[may_hold(every.value, x)], return_counts=True)
         return {"shingle": longs(value.view(np.int64)), "n": longs(times)}
 
     counts = map_batches(texts, count, "shingle long, n long", by="text").groupBy("shingle").agg(F.sum("n").alias("n"))
@@ -129,11 +104,11 @@ def leaked_runs(documents: DataFrame, items: DataFrame, parts: list[str], run: i
     rarest = placed.join(counts, "shingle").groupBy("run").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("n", "shingle", "place")).alias("r"))
     # A run of which a shingle stands nowhere in the corpus can't stand there either.
     prefixes = cut_lineage(rarest.filter(F.col("held") == run - n + 1).select("run", "r.shingle", F.col("r.place").alias("offset")))
-    wanted = context.broadcast(_filter_of(prefixes.select("shingle").distinct(), BITS))
+    wanted = context.broadcast(filter_of(prefixes, "shingle", BITS))
 
     def search(batch: pa.RecordBatch) -> dict | None:
         found, x, owner, place = of_texts(batch)
-        held = np.flatnonzero(_may_hold(wanted.value, x))
+        held = np.flatnonzero(may_hold(wanted.value, x))
         if not len(held):
             return None
         docs, owner, place = batch["doc_id"].to_pylist(), owner[held].tolist(), place[held].tolist()

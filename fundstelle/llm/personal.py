@@ -32,7 +32,7 @@ LABELS = ["O"] + [f"{b}-{k}" for k in KINDS for b in "BI"]
 #: Names of the list that are taken to the driver and sent at once; a longer list is refused, so none is dropped.
 MOST_NAMES = 1_000_000
 
-_DOT, _AT = r"(?:\.|\s?[\[(]\s?(?:punkt|dot)\s?[\])]\s?)", r"(?:\s?@\s?|\s?[\[({]\s?(?:at|AT|ät)\s?[\])}]\s?)"
+_DOT, _AT = r"(?:\.| ?[\[(] ?(?:punkt|dot) ?[\])] ?)", r"(?: ?@ ?| ?[\[({] ?(?:at|AT|ät) ?[\])}] ?)"
 _EMAIL = re.compile(rf"(?<![\w.+%-])[\w+%-]+(?:{_DOT}[\w+%-]+)*{_AT}[\w-]+(?:{_DOT}[\w-]+)*{_DOT}[^\W\d_]{{2,}}(?![\w-])", re.IGNORECASE)
 _PHONE = re.compile(r"(?<![\w.,+-])(?:\+\d{1,3}|00\d{1,3}|\(0\d{1,5}\)|0\d{1,5}|\(\d{3}\))(?:(?: - |[ /.–-])?(?:\(0\)|\(\d{1,5}\)|\d+))+(?![\w])")
 _IDS = (
@@ -48,59 +48,129 @@ _HOUSE = r"\d{1,4}(?: ?[a-z](?![\w]))?(?!\w)"
 _STREET_NAME = re.compile(rf"(?<![\w-])(?:{_BEFORE}+[A-ZÄÖÜ][\w-]+(?: [A-ZÄÖÜ][\w-]+)?|[A-ZÄÖÜ][\wß-]*{_ROAD}|[A-ZÄÖÜ][\wß-]*[- ]{_ROAD_WORD})\s$")
 #: A preposition that isn't part of the street's name.
 _LOOSE = re.compile(rf"(?:(?:Am|Im|An der|In der|Zum|Zur|Auf der|Beim) (?=[A-ZÄÖÜ][\w-]+er {_ROAD_WORD} ?$))?")
-_NUMBERED = re.compile(rf"(?<=[\w.-]\s){_HOUSE}")
-_CAPITAL = re.compile(r"[A-ZÄÖÜ]")
+_HOUSE_NUMBER = re.compile(_HOUSE)
 _EN_ROAD = re.compile(r"\b(?:Road|Street|Lane|Avenue|Close|Drive|Way|Square|Court|Place|Gardens|Terrace|Row|Hill|Grove|Crescent|Mews|Walk|Park|Green|Boulevard|Parade|Rise|Quay|Rd|St|Ave)(?!\w)")
 _EN_STREET = re.compile(rf"(?<!\w)\d{{1,4}}[a-z]? (?:[A-Z][\w'-]+ ){{1,3}}{_EN_ROAD.pattern}")
-_AT_SIGN = re.compile(r"@|[\[({]\s?(?:at|ät)\s?[\])}]", re.IGNORECASE)
-
-
-def _streets(text: str) -> list[tuple[int, int]]:
+_AT_SIGN = re.compile(r"@|[\[({] ?(?:at|ät) ?[\])}]", re.IGNORECASE)
+
+
+class _Numbers:
+    """Where a text's numbers begin, and which of them can begin or end a form at all: found in numpy, tried one by one."""
+
+    def __init__(self, text: str, points: np.ndarray | None = None, kinds: np.ndarray | None = None):
+        if points is None:
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            kinds = _character_kinds()[points]
+        self.text, n = text, len(points)
+        digit, word = kinds == 4, (kinds >= 3) | (points == 95)
+        self.starts = np.flatnonzero(digit & ~np.concatenate(([False], digit[:-1])))
+        upto = np.concatenate(([0], np.cumsum(digit)))
+        self.many = upto[np.minimum(self.starts + 48, n)] - upto[self.starts] >= 7  # a form of seven digits has at most 48 characters
+        p = self.starts
+        at = lambda k: np.maximum(p - k, 0)
+        space = (kinds == 0) | (kinds == 2)
+        before = (p >= 2) & space[at(1)] & (word[at(2)] | np.isin(points[at(2)], (45, 46)))
+        capital = np.concatenate(([0], np.cumsum(((points >= 65) & (points <= 90)) | np.isin(points, (196, 214, 220)))))
+        last_space = np.maximum.accumulate(np.where(points == 32, np.arange(n), -1)) if n else np.zeros(0, np.int64)
+        begin = last_space[at(2)] + 1
+        self.houses = p[before & (capital[at(1)] > capital[begin])].tolist()
+        after = np.minimum(p + 1, n - 1)
+        self.english = p[~np.concatenate(([False], word))[p] & np.isin(np.where(digit[after], 32, points[after]), (32, *range(97, 123)))].tolist() if n else []
+        ten = np.flatnonzero(word & ~np.concatenate(([False], word[:-1])))
+        ends = np.flatnonzero(word & ~np.concatenate((word[1:], [False]))) if n else ten
+        held = (ends - ten == 9) & digit[ends] & (points[ten] >= 65) & (points[ten] <= 90)
+        self.cards = ten[held].tolist()
+        self.accounts = (p[(p >= 2) & (points[at(1)] >= 65) & (points[at(1)] <= 90) & (points[at(2)] >= 65) & (points[at(2)] <= 90)] - 2).tolist()
+        self.long = p[self.many].tolist()
+
+
+_LAST_ROAD = re.compile(rf"(?:{_ROAD}|[- ]{_ROAD_WORD})$")
+_ANY_BEFORE = re.compile(r"(?<![\w-])(?:Am|An|Zum|Zur|Im|In|Hinter|Auf|Beim|Bei|Vor|Unter|Obere|Untere|Alte|Neue|Große|Kleine|Hohe|Lange|Straße|Platz|Allee|Weg)")
+
+
+def _streets(text: str, numbers: _Numbers | None = None) -> list[tuple[int, int]]:
     """Streets with a house number, from left to right and without overlaps.
 
     German ones are looked for backwards from the numbers, of which a text has few: to the start of the line or the number before,
     as no word of a name begins with a digit. Its last word has a capital.
     """
-    out, at, low = [], 0, 0
-    english = _EN_STREET.search(text) if _EN_ROAD.search(text) else None
-    for m in _NUMBERED.finditer(text):
-        end, low = m.start() - 1, max(low, text.rfind("\n", low, m.start() - 1) + 1)
-        if _CAPITAL.search(text, max(low, text.rfind(" ", low, end)), end):
-            while before := _STREET_NAME.search(text, max(low, at), m.start()):
-                if english and english.start() < before.start():
-                    out.append(english.span())
-                    at = english.end()
-                else:
-                    out.append((before.start() + len(_LOOSE.match(text, before.start(), m.start())[0]), m.end()))
-                    at = m.end()
-                if english and english.start() < at:
-                    english = _EN_STREET.search(text, at)
-        low = m.start()
+    numbers = numbers or _Numbers(text)
+    out, at, first, number = [], 0, 0, 0
+
+    def next_english(begin: int) -> re.Match | None:
+        nonlocal first
+        while first < len(numbers.english):
+            place = numbers.english[first]
+            if place >= begin and (m := _EN_STREET.match(text, place)):
+                return m
+            first += 1
+        return None
+
+    english = next_english(0)
+    for p in numbers.houses:
+        m = _HOUSE_NUMBER.match(text, p)
+        if m is None:
+            continue
+        end, line = p - 1, max(at, text.rfind("\n", at, p - 1) + 1)
+        low, number = max(line, number), p  # no word of a name begins with a digit
+        if not (_LAST_ROAD.search(text, low, end) or _ANY_BEFORE.search(text, low, end)):
+            continue
+        while before := _STREET_NAME.search(text, max(low, at), p):
+            if english and english.start() < before.start():
+                out.append(english.span())
+                at = english.end()
+            else:
+                out.append((before.start() + len(_LOOSE.match(text, before.start(), p)[0]), m.end()))
+                at = m.end()
+            if english and english.start() < at:
+                english = next_english(at)
     while english:
         out.append(english.span())
-        english = _EN_STREET.search(text, english.end())
+        english = next_english(english.end())
+    return out
+
+
+def _mails(text: str) -> list[tuple[int, int]]:
+    """Addresses of mail, looked for in the lines with a sign for one."""
+    out, at = [], 0
+    for m in _AT_SIGN.finditer(text):
+        if m.start() >= at:
+            begin, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+            at = len(text) if end < 0 else end
+            out += [x.span() for x in _EMAIL.finditer(text, begin, at)]
     return out
 
 
-def forms(text: str) -> dict[str, list[tuple[int, int]]]:
+def forms(text: str, numbers: _Numbers | None = None) -> dict[str, list[tuple[int, int]]]:
     """Spans that have a kind's form; numbers only with right check digits, telephones with 7 to 15 digits."""
-    mails = [m.span() for m in _EMAIL.finditer(text)] if _AT_SIGN.search(text) else []
-    found = {"email": mails, "address": _streets(text), "id_number": [], "phone": []}
+    numbers = numbers or _Numbers(text)
+    found = {"email": _mails(text), "address": _streets(text, numbers), "id_number": [], "phone": []}
     taken = np.zeros(len(text) + 1, bool)
-    for pattern, right in _IDS:
-        for m in pattern.finditer(text):
+
+    def take(a: int, b: int) -> None:
+        found["id_number"].append((a, b))
+        taken[a:b] = True
+
+    for (pattern, right), places in zip(_IDS, (numbers.accounts, numbers.long, numbers.long, numbers.cards), strict=True):
+        at = 0
+        for p in places:
+            if p < at or (m := pattern.match(text, p)) is None:
+                continue
+            at = m.end()
             if right(m[0]) and not taken[m.start() : m.end()].any():
-                found["id_number"].append(m.span())
-                taken[m.start() : m.end()] = True
+                take(*m.span())
             elif pattern is _IDS[0][0]:  # a shorter account number may be followed by capitals or digits
                 for end in range(m.end() - 1, m.start() + 14, -1):
                     if right(text[m.start() : end]) and not text[end : end + 1].isalnum():
-                        found["id_number"].append((m.start(), end))
-                        taken[m.start() : end] = True
+                        take(m.start(), end)
                         break
-    for m in _PHONE.finditer(text):
-        if 7 <= sum(map(str.isdigit, m[0])) <= 15 and not taken[m.start() : m.end()].any():  # (part of) a number whose check digits are right
-            found["phone"].append(m.span())
+    at = 0
+    for p in numbers.long:
+        m = _PHONE.match(text, p - 1) if p > at and text[p - 1] in "+(" else None
+        if m := m or p >= at and _PHONE.match(text, p):
+            at = m.end()
+            if 7 <= sum(map(str.isdigit, m[0])) <= 15 and not taken[m.start() : m.end()].any():  # (part of) a number whose check digits are right
+                found["phone"].append(m.span())
     return found
 
 
@@ -190,7 +260,7 @@ class Tokens:
         points = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.offset = np.concatenate(([0], np.cumsum(lengths + 2)))[:-1] if texts else np.zeros(0, np.int64)
-        kinds = _character_kinds()[points].copy()
+        original, kinds = points, _character_kinds()[points].copy()
         if len(texts) > 1:
             between = self.offset[1:] - 2
             kinds[between] = kinds[between + 1] = 0
@@ -207,7 +277,7 @@ class Tokens:
         else:
             self.hash = np.empty(0, np.uint64)
         self.text = np.searchsorted(self.offset, self.start, "right") - 1
-        self.flags, self.found = np.zeros((len(self.start), 2), np.int64), forms(self.joined)
+        self.flags, self.found = np.zeros((len(self.start), 2), np.int64), forms(self.joined, _Numbers(self.joined, original, kinds))
         for kind in ("address", "phone", "id_number", "email"):
             track, number = _TRACKS[kind]
             if spans := self.found[kind]:

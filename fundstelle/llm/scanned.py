@@ -3,15 +3,17 @@
 Only documents at least half of whose distinct chunks are marked as scanned are looked at. The steps are:
 
 1. lines with nothing but a page number are found by their form;
-2. digits and misreadings are masked in the other lines (a line's glyph skeleton), and what is left is counted per document:
-   a line that stands in several chunks, near page breaks, is a running header or footer;
+2. digits and misreadings are masked in the other lines (a line's glyph skeleton), and what is left is counted per document and over the
+   collection: a line that stands in several chunks is a running header or footer, near page breaks or with its own page number from two on;
 3. among the remaining body lines, a line that ends inside a word is joined with the next body line;
 4. words of the whole collection are grouped by glyph skeleton; a form that no unscanned text has is misread if a form of the same
-   skeleton, reachable by known misreadings, is much more frequent. Where no such form is known, character pairs that no
-   unscanned word has decide;
+   skeleton, reachable by known misreadings, is much more frequent. Of several such forms the one that unscanned texts have beside the
+   same neighbours is taken. A number with letters in it is misread if no
+   unscanned text has it, or if they have numbers (masked) beside its neighbours;
 5. paragraphs are put together by windows over the lines (``paragraphs``).
 
-All counts are taken by key with partial aggregation; texts are handled chunk by chunk, so no document or group is collected.
+All counts are taken by key with partial aggregation; texts are handled chunk by chunk, so no document or group is collected. Pairs of
+neighbours are counted only for possible printed forms, which a Bloom filter of fixed size tells.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundstelle.functions.arrow import ints, longs, map_batches, strings
-from fundstelle.llm.text import WORD
+from fundstelle.llm.bloom import filter_of, may_hold
+from fundstelle.llm.text import WORD, WordHashes
 from fundstelle.session import cut_lineage, small_side
 
 #: Pairs of what was printed and what is read for it.
@@ -36,11 +40,13 @@ MISREADINGS = (
 )
 #: The share of a document's distinct chunks that are marked as scanned, from which on it counts as scanned.
 SCANNED_SHARE = 0.5
-#: A header stands in this many chunks of its document, or in FEWER if one stands at a page break; a line of capitals or with its own
-#: page number in one.
+#: A header stands in this many chunks of its document, or in FEWER if one stands at a page break; one with its own page
+#: number in FEWER chunks of the collection.
 HEADER_CHUNKS, FEWER = 3, 2
 #: A misread word's printed form is this many times as frequent, and occurs at least LEAST times.
 RATIO, LEAST = 4, 3
+#: Bits of the filter of printed forms: 2 MB.
+BITS = 1 << 24
 #: Frequent forms of a skeleton in one block of the join with rare forms; a skeleton has as many blocks as it needs.
 FORMS = 8
 
@@ -51,7 +57,6 @@ _OWN_NUMBER = re.compile(rf"^{_NUMBER}\s{{2,}}|\s{{2,}}{_NUMBER}$")
 #: Numbers that stand alone, digits read as letters included, and what stands after a word for page.
 _ANY_NUMBER = re.compile(r"(?<![^\W_])[OoIl]*\d[\dOoIl]*(?![^\W_])|(?<=[Ss]eite )[OoIl]{1,4}$|(?<=[Bb]latt )[OoIl]{1,4}$|(?<=[Pp]age )[OoIl]{1,4}$")
 _BREAKERS = "-­¬‐"
-_DIGITS_READ = re.compile(r"(?<![^\W_])(?=[^\W_]*\d)(?=\d*[OoIl])[\dOoIl]+(?![^\W_])|(?<![^\W_])[lIO](?=[.,]\d)|(?<=\d[.,])[lIO]+(?![^\W_])")
 #: Words that follow a hyphen which stands for a part of a compound left out.
 _AFTER_GAP = {"und", "oder", "bzw", "sowie", "bis"}
 
@@ -64,19 +69,32 @@ def skeleton(text: str) -> str:
     return text.translate(_SKELETON)
 
 
-def misread_places(printed: str, read: str, most: int = 3) -> list[int] | None:
-    """Places in ``read`` that differ from ``printed`` by known misreadings, at most ``most``; None if others are needed."""
-    stack = [(0, 0, ())]
-    while stack:
-        i, j, places = stack.pop()
-        while i < len(printed) and j < len(read) and printed[i] == read[j]:
-            if len(places) < most:
-                stack += [(i + len(a), j + len(b), (*places, j)) for a, b in MISREADINGS if len(a) + len(b) > 2 and printed.startswith(a, i) and read.startswith(b, j)]
-            i, j = i + 1, j + 1
-        if i == len(printed) and j == len(read):
-            return list(places)
-        if len(places) < most:
-            stack += [(i + len(a), j + len(b), (*places, j)) for a, b in MISREADINGS if printed.startswith(a, i) and read.startswith(b, j)]
+_BY_PRINTED: dict[str, list[tuple[str, str]]] = {}
+for _a, _b in MISREADINGS:
+    _BY_PRINTED.setdefault(_a[0], []).append((_a, _b))
+
+
+def misread_places(printed: str, read: str) -> list[int] | None:
+    """Places in ``read`` that differ from ``printed`` by known misreadings, as few as possible; None if others are needed."""
+    n, m = len(printed), len(read)
+    round_, seen = [(0, 0, ())], {(0, 0)}
+    while round_:  # places of equal number of misreadings, one more in each round
+        following, k = [], 0
+        while k < len(round_):
+            i, j, places = round_[k]
+            k += 1
+            if i == n and j == m:
+                return list(places)
+            if i < n and j < m and printed[i] == read[j] and (i + 1, j + 1) not in seen:
+                seen.add((i + 1, j + 1))
+                round_.append((i + 1, j + 1, places))
+            if i < n:
+                following += [(i + len(a), j + len(b), (*places, j)) for a, b in _BY_PRINTED.get(printed[i], ()) if printed.startswith(a, i) and read.startswith(b, j)]
+        round_ = []
+        for i, j, places in following:
+            if (i, j) not in seen:
+                seen.add((i, j))
+                round_.append((i, j, places))
     return None
 
 
@@ -106,25 +124,53 @@ def broken(line: str, following: str) -> bool:
     return following[0].islower() or (following[0] in "015689" and any(c.isalpha() for c in word[0]))
 
 
-def body_words(lines: list[str], furniture: set[int]) -> tuple[list[int], list[tuple[int, str, int, int]]]:
-    """Line numbers that end inside a word, and words as (line_no, word, letters on that line, the line of the rest)."""
+#: A number with the letters that are read for its digits; what stands for any number among neighbours.
+_NUMBERLIKE, MASK = re.compile(r"[\dOoIl]*\d[\dOoIl]*"), "0"
+_SINGLE = re.compile(r"(?<![^\W_])[lIO](?=[.,]\d)|(?<=\d[.,])[lIO]+(?![^\W_])")
+
+
+def masked_words(line: str) -> list[tuple[str, bool]]:
+    """(word, whether it is a number or part of one, misread digits included) in order."""
+    single = {m.start() for m in _SINGLE.finditer(line)} if "." in line or "," in line else ()
+    return [(m[0], _NUMBERLIKE.fullmatch(m[0]) is not None or m.start() in single) for m in WORD.finditer(line)]
+
+
+def body_words(lines: list[str], furniture: set[int]) -> tuple[list[int], list[tuple[int, str, int, int, bool]]]:
+    """Line numbers that end inside a word, and words as (line_no, word, letters on that line, the line of the rest, whether a number)."""
     body = [k for k, line in enumerate(lines) if k not in furniture and line.strip()]
     ends, found, carry = [], [], None
     for at, k in enumerate(body):
-        own = [m[0] for m in WORD.finditer(lines[k])]
+        own = masked_words(lines[k])
         if carry is not None and own:
             no, left = carry
-            found.append((no, left + own[0], len(left), k))
+            found.append((no, left + own[0][0], len(left), k, False))
             own = own[1:]
         carry = None
         if at + 1 < len(body) and broken(lines[k], lines[body[at + 1]]):
             ends.append(k)
             if own:
-                carry = (k, own.pop())
-        found += [(k, w, len(w), k) for w in own]
+                carry = (k, own.pop()[0])
+        found += [(k, w, len(w), k, number) for w, number in own]
     return ends, found
 
 
+def neighbours(found: list[tuple[str, bool]]) -> list[tuple[str | None, str | None]]:
+    """The words before and after each; numbers are masked, and parts of one number are one."""
+    masked = [MASK if number else w for w, number in found]
+    before, after, last = [], [None] * len(found), None
+    for k, w in enumerate(masked):
+        if k and w == MASK == masked[k - 1]:
+            before.append(before[-1])
+            continue
+        before.append(last := masked[k - 1] if k else None)
+    last = None
+    for k in range(len(masked) - 1, -1, -1):
+        if k + 1 < len(masked) and not masked[k] == MASK == masked[k + 1]:
+            last = masked[k + 1]
+        after[k] = last
+    return list(zip(before, after, strict=True))
+
+
 def _scanned(chunks: DataFrame) -> DataFrame:
     """document_id of scanned documents; a null mark counts as false."""
     each = chunks.filter("id IS NOT NULL AND document_id IS NOT NULL").groupBy("document_id", "id").agg(F.max(F.coalesce("ocr", F.lit(False)).cast("int")).alias("ocr"))
@@ -132,7 +178,7 @@ def _scanned(chunks: DataFrame) -> DataFrame:
 
 
 def _page_lines(base: DataFrame) -> DataFrame:
-    """chunk_id, document_id, line_no, key (null for page numbers), at_break, sure: it has its own page number or is in capitals."""
+    """chunk_id, document_id, line_no, key (null for page numbers), at_break: it has its own page number or stands beside one or at an edge, numbered: it has its own."""
 
     def run(batch: pa.RecordBatch) -> dict | None:
         rows = []
@@ -148,14 +194,14 @@ def _page_lines(base: DataFrame) -> DataFrame:
                 masked = header_key(line)
                 if masked is not None:
                     numbered = _OWN_NUMBER.search(line.strip()) is not None
-                    rows.append((key, doc, no, masked, at_break or numbered, numbered or (line.isupper() and " " in line.strip())))
+                    rows.append((key, doc, no, masked, at_break or numbered, numbered))
                 at_break = False
         if not rows:
             return None
         c = list(zip(*rows, strict=True))
-        return {"chunk_id": strings(c[0]), "document_id": strings(c[1]), "line_no": ints(c[2]), "key": strings(c[3]), "at_break": pa.array(c[4], pa.bool_()), "sure": pa.array(c[5], pa.bool_())}
+        return {"chunk_id": strings(c[0]), "document_id": strings(c[1]), "line_no": ints(c[2]), "key": strings(c[3]), "at_break": pa.array(c[4], pa.bool_()), "numbered": pa.array(c[5], pa.bool_())}
 
-    return map_batches(base, run, "chunk_id string, document_id string, line_no int, key string, at_break boolean, sure boolean", by="content")
+    return map_batches(base, run, "chunk_id string, document_id string, line_no int, key string, at_break boolean, numbered boolean", by="content")
 
 
 class _Parts:
@@ -166,16 +212,19 @@ class _Parts:
         raw = cut_lineage(texts.join(small_side(_scanned(chunks)), "document_id", "left_semi"))
         base = raw.dropDuplicates(["id"])
         lines = _page_lines(base)
-        headers = lines.filter("key IS NOT NULL").groupBy("document_id", "key").agg(F.count_distinct("chunk_id").alias("n"), F.max("at_break").alias("at_break"), F.max("sure").alias("sure"))
-        headers = headers.filter((F.col("n") >= HEADER_CHUNKS) | (F.col("n") >= FEWER) & F.col("at_break") | F.col("sure")).select("document_id", "key")
+        per_document = lines.filter("key IS NOT NULL").groupBy("document_id", "key").agg(F.count_distinct("chunk_id").alias("n"), F.max("at_break").alias("at_break"), F.max("numbered").alias("numbered"))
+        everywhere = per_document.groupBy("key").agg(F.sum("n").alias("n_all"))
+        several = (F.col("n") >= HEADER_CHUNKS) | (F.col("n") >= FEWER) & F.col("at_break") | (F.col("n_all") >= FEWER) & F.col("numbered")
+        headers = per_document.join(everywhere, "key").filter(several).select("document_id", "key")
         self.furniture = cut_lineage(
             lines.filter("key IS NULL").select("chunk_id", "line_no", F.lit("pageno").alias("kind"))
             .unionByName(lines.join(headers, ["document_id", "key"], "left_semi").select("chunk_id", "line_no", F.lit("header").alias("kind")))
         )
         dropped = self.furniture.groupBy(F.col("chunk_id").alias("id")).agg(F.collect_list("line_no").alias("furniture"))
         self.with_furniture = cut_lineage(base.join(dropped, "id", "left"))
-        self.body = map_batches(self.with_furniture, _body, "chunk_id string, line_no int, kind string, word string, here int, rest_line int", by="content")
-        read = self.body.filter("kind = 'word'").groupBy("word").agg(F.count(F.lit(1)).alias("n_read"))
+        self.texts, self.raw = texts, raw
+        self.body = map_batches(self.with_furniture, _body, "chunk_id string, line_no int, kind string, word string, here int, rest_line int, before string, after string", by="content")
+        read = map_batches(self.with_furniture, _count_body, "word string, n long", by="content").groupBy("word").agg(F.sum("n").alias("n_read"))
         # Words of unscanned texts are all words less those of scanned ones, repeated rows included in both.
         every = map_batches(texts, _count_words, "word string, n long", by="content")
         inside = map_batches(raw, _count_words, "word string, n long", by="content").select("word", (-F.col("n")).alias("n"))
@@ -187,15 +236,25 @@ class _Parts:
 def _body(batch: pa.RecordBatch) -> dict | None:
     rows = []
     for key, text, furniture in zip(*(batch[c].to_pylist() for c in ("id", "content", "furniture")), strict=True):
-        lines, out = text.split("\n"), set(furniture or ())
-        ends, found = body_words(lines, out)
-        rows += [(key, k, "hyphen", None, 0, k) for k in ends]
-        rows += [(key, k, "digits", None, 0, k) for k, line in enumerate(lines) if k not in out and _DIGITS_READ.search(line)]
-        rows += [(key, k, "word", w, here, rest) for k, w, here, rest in found if len(w) > 1]
+        ends, found = body_words(text.split("\n"), set(furniture or ()))
+        rows += [(key, k, "hyphen", None, 0, k, None, None) for k in ends]
+        beside = neighbours([(w, number) for _, w, _, _, number in found])
+        for (k, w, here, rest, number), (before, after) in zip(found, beside, strict=True):
+            if number and not w.isdigit():
+                rows.append((key, k, "digits", w, here, rest, before, after))
+            elif not number and len(w) > 1:
+                rows.append((key, k, "word", w, here, rest, before, after))
     if not rows:
         return None
     c = list(zip(*rows, strict=True))
-    return {"chunk_id": strings(c[0]), "line_no": ints(c[1]), "kind": strings(c[2]), "word": strings(c[3]), "here": ints(c[4]), "rest_line": ints(c[5])}
+    return {"chunk_id": strings(c[0]), "line_no": ints(c[1]), "kind": strings(c[2]), "word": strings(c[3]), "here": ints(c[4]), "rest_line": ints(c[5]), "before": strings(c[6]), "after": strings(c[7])}
+
+
+def _count_body(batch: pa.RecordBatch) -> dict:
+    n: Counter = Counter()
+    for text, furniture in zip(batch["content"].to_pylist(), batch["furniture"].to_pylist(), strict=True):
+        n.update(w for _, w, _, _, number in body_words(text.split("\n"), set(furniture or ()))[1] if len(w) > 1 and not number)
+    return {"word": strings(n.keys()), "n": longs(n.values())}
 
 
 def _count_words(batch: pa.RecordBatch) -> dict:
@@ -212,15 +271,10 @@ def _with_skeleton(words: DataFrame) -> DataFrame:
     return map_batches(words.filter("NOT word RLIKE '^[0-9]+$'").select("word", "n_clean", "n_read"), run, "word string, n_clean long, n_read long, skeleton string")
 
 
-def _unseen_pairs(word: str, pairs: set[str]) -> bool:
-    low = word.lower()
-    return any(low[k : k + 2] not in pairs for k in range(len(low) - 1))
-
-
 def misread_words(parts: _Parts) -> DataFrame:
-    """``word, printed, places``: misread forms, what was printed, and the places in the form that differ."""
+    """``word, printed, places, cost, n_form``: misread forms, each form that may have been printed, the places that differ and how many."""
     formed = _with_skeleton(parts.words)
-    rare = formed.filter("n_clean = 0 AND n_read > 0 AND length(word) > 2 AND word RLIKE '[a-zA-ZäöüÄÖÜß]'")
+    rare = formed.filter("n_clean = 0 AND n_read > 0 AND length(word) > 1 AND word RLIKE '[a-zA-ZäöüÄÖÜß]'")
     n = F.col("n_clean") + F.col("n_read")
     # Every frequent form is compared; a skeleton of many forms is split into blocks, so that no key of the join gets all its pairs.
     rank = F.row_number().over(Window.partitionBy("skeleton").orderBy(n.desc(), "word"))
@@ -237,36 +291,61 @@ def misread_words(parts: _Parts) -> DataFrame:
         if not rows:
             return None
         c = list(zip(*rows, strict=True))
-        return {"word": strings(c[0]), "printed": strings(c[1]), "places": pa.array(c[2], pa.list_(pa.int32())), "cost": ints(c[3]), "n": longs(c[4])}
+        return {"word": strings(c[0]), "printed": strings(c[1]), "places": pa.array(c[2], pa.list_(pa.int32())), "cost": ints(c[3]), "n_form": longs(c[4])}
 
-    by_form = map_batches(pairs.select("word", "form", "n_form"), explained, "word string, printed string, places array<int>, cost int, n long")
-    best = F.struct(-F.col("cost"), "n", "printed", "places")
-    by_form = by_form.groupBy("word").agg(F.max(best).alias("b")).select("word", "b.printed", "b.places")
+    return map_batches(pairs.select("word", "form", "n_form"), explained, "word string, printed string, places array<int>, cost int, n_form long")
 
-    # Character pairs of words in unscanned texts: letters of few alphabets, so some ten thousand at most are collected.
-    low = F.lower("word")
-    pair = F.explode(F.expr("transform(sequence(1, length(word) - 1), k -> substring(lower(word), k, 2))"))
-    seen = parts.words.filter((F.col("n_clean") >= LEAST) & low.rlike("^[a-zäöüß]{2,}$")).select(pair.alias("pair"), "n_clean").groupBy("pair").agg(F.sum("n_clean").alias("n"))
-    known = {r.pair for r in seen.filter("n >= 3 AND pair RLIKE '^[a-zäöüß]{2}$'").collect()}
 
-    def impossible(batch: pa.RecordBatch) -> dict | None:
-        rows = []
-        for word in batch["word"].to_pylist():
-            if not any(c.islower() for c in word) or not _unseen_pairs(word, known):
-                continue
-            for printed, read in MISREADINGS:
-                at = [m.start() for m in re.finditer(re.escape(read), word)]
-                guess = next((g for k in at if not _unseen_pairs(g := word[:k] + printed + word[k + len(read) :], known)), None)
-                if guess:
-                    rows.append((word, guess, misread_places(guess, word)))
-                    break
-        if not rows or not (rows := [r for r in rows if r[2]]):
-            return None
-        c = list(zip(*rows, strict=True))
-        return {"word": strings(c[0]), "printed": strings(c[1]), "places": pa.array(c[2], pa.list_(pa.int32()))}
+def _clean_pairs(parts: _Parts, forms: DataFrame) -> DataFrame:
+    """``printed, side, neighbour, n``: how often unscanned texts have a neighbour before (side b) or after (side a) one of the forms."""
+    known = WordHashes()
 
-    rest = rare.filter("length(word) > 4").select("word").join(by_form, "word", "left_anti") if known else None
-    return by_form if rest is None else by_form.unionByName(map_batches(rest, impossible, "word string, printed string, places array<int>"))
+    def hashed(batch: pa.RecordBatch) -> dict:
+        return {"h": longs(known.of(batch["printed"].to_pylist()).view(np.int64))}
+
+    sent = parts.texts.sparkSession.sparkContext.broadcast(filter_of(map_batches(forms, hashed, "h long"), "h", BITS))
+
+    def count(batch: pa.RecordBatch) -> dict:
+        n: Counter = Counter()
+        for text in batch["content"].to_pylist():
+            found = WORD.findall(_NUMBER_RUN.sub(MASK, text))
+            held = np.flatnonzero(may_hold(sent.value, known.of(found))).tolist()
+            n.update((found[k], "b", found[k - 1]) for k in held if k)
+            n.update((found[k], "a", found[k + 1]) for k in held if k + 1 < len(found))
+        c = list(zip(*n, strict=True)) if n else ((), (), ())
+        return {"printed": strings(c[0]), "side": strings(c[1]), "neighbour": strings(c[2]), "n": longs(n.values())}
+
+    schema = "printed string, side string, neighbour string, n long"
+    every = map_batches(parts.texts, count, schema, by="content")
+    inside = map_batches(parts.raw, count, schema, by="content").withColumn("n", -F.col("n"))
+    return every.unionByName(inside).groupBy("printed", "side", "neighbour").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+_NUMBER_RUN = re.compile(r"(?<![^\W_])\d+(?:[.,]\d+)*(?![^\W_])")
+
+
+def misread_places_in_texts(parts: _Parts) -> DataFrame:
+    """``chunk_id, line_no, rest_line, here, word, printed, places``: each misread word or number where it stands.
+
+    Of several forms that may have been printed, those that unscanned texts have beside the same neighbours come first, then the least misread,
+    then the most frequent. A number with letters that unscanned texts have too (or a letter alone) counts only if they have a number beside one of its neighbours.
+    """
+    misread = small_side(misread_words(parts))
+    of_digits = F.lit(MASK).alias("printed"), F.array().cast("array<int>").alias("places"), F.lit(0).alias("cost"), F.lit(0).cast("long").alias("n_form")
+    at = ["chunk_id", "line_no", "rest_line", "here", "word", "kind", "before", "after"]
+    body = parts.body.filter("kind <> 'hyphen'").select(*at)
+    found = cut_lineage(body.filter("kind = 'word'").join(misread, "word").select(*at, "printed", "places", "cost", "n_form").unionByName(body.filter("kind = 'digits'").select(*at, *of_digits)))
+    clean = small_side(_clean_pairs(parts, found.select("printed").distinct()))
+    asked = found.select("printed", F.explode(F.array(F.struct(F.lit("b").alias("side"), F.col("before").alias("neighbour")), F.struct(F.lit("a").alias("side"), F.col("after").alias("neighbour")))).alias("q"))
+    asked = asked.select("printed", "q.side", "q.neighbour").filter("neighbour IS NOT NULL").distinct()
+    held = asked.join(clean, ["printed", "side", "neighbour"])
+    support = [held.filter(F.col("side") == side).select("printed", F.col("neighbour").alias(name), F.col("n").alias(f"n_{name}")) for side, name in (("b", "before"), ("a", "after"))]
+    both = found.join(small_side(support[0]), ["printed", "before"], "left").join(small_side(support[1]), ["printed", "after"], "left")
+    sides = F.col("n_before").isNotNull().cast("int") + F.col("n_after").isNotNull().cast("int")
+    printed = parts.words.filter("n_clean > 0").select("word", F.lit(True).alias("in_clean"))
+    ranked = both.withColumn("sides", sides).join(printed, "word", "left").filter("kind = 'word' OR sides > 0 OR in_clean IS NULL AND word RLIKE '[0-9]'")
+    best = F.max(F.struct("sides", (-F.col("cost")).alias("less"), "n_form", "printed", "places")).alias("m")
+    return ranked.groupBy("chunk_id", "line_no", "rest_line", "here", "word", "kind", "before", "after").agg(best).select("chunk_id", "line_no", "rest_line", "here", "word", "kind", "m.printed", "m.places")
 
 
 def scan_noise(chunks: DataFrame) -> DataFrame:
@@ -276,18 +355,35 @@ def scan_noise(chunks: DataFrame) -> DataFrame:
     scanned document. Lines are cut at LF and numbered from 0; CR counts as white space.
     """
     parts = _Parts(chunks)
+    read = misread_places_in_texts(parts)
     at = F.explode(F.transform("places", lambda p: F.when(p < F.col("here"), F.col("line_no")).otherwise(F.col("rest_line"))))
-    words = parts.body.filter("kind = 'word'").join(small_side(misread_words(parts)), "word").select("chunk_id", at.alias("line_no"))
-    digits = parts.body.filter("kind = 'digits'").select("chunk_id", "line_no")
-    glyph = words.unionByName(digits).select("chunk_id", "line_no", F.lit("glyph").alias("kind"))
+    words = read.filter("kind = 'word'").select("chunk_id", at.alias("line_no"))
+    glyph = words.unionByName(read.filter("kind = 'digits'").select("chunk_id", "line_no")).select("chunk_id", "line_no", F.lit("glyph").alias("kind"))
     return parts.furniture.unionByName(parts.body.filter("kind = 'hyphen'").select("chunk_id", "line_no", "kind")).unionByName(glyph).distinct()
 
 
+#: What misread digits were printed as.
+_DIGIT_OF = str.maketrans("OoIl", "0011")
+
+
+def repaired(line: str, fixes: list[tuple[str, str]]) -> str:
+    """The line with misread words replaced; a number's letters become the digits they were read for."""
+    known = dict(fixes)
+    return WORD.sub(lambda m: m[0].translate(_DIGIT_OF) if known.get(m[0]) == MASK else known.get(m[0], m[0]), line)
+
+
+def joins(line: str, following: str) -> bool:
+    """Whether a line ends with a hyphen of its own after which the word goes on, as in "Otto-" and "Motor"."""
+    line, word = line.rstrip(), WORD.match(following.lstrip())
+    return len(line) > 1 and line[-1] in "-‐" and line[-2].isalnum() and word is not None and word[0].lower() not in _AFTER_GAP
+
+
 def paragraphs(chunks: DataFrame) -> DataFrame:
     """``chunk_id, paragraph_no, text``: the chunks of scanned documents as continuous paragraphs.
 
-    Headers and page numbers are left out, misread words replaced by their printed form where a frequent one is known, broken words
-    joined. A paragraph ends at an empty line after the end of a sentence. Windows run within a chunk.
+    Headers and page numbers are left out, misread words and digits replaced by what was printed, also in words broken over two lines;
+    broken words are joined, and hyphens that belong to a word at a line's end are joined without a blank, but for those that stand for a part
+    left out ("Ein- und"). A paragraph ends at an empty line after the end of a sentence. Windows run within a chunk.
     """
     parts = _Parts(chunks)
     out = parts.with_furniture.select(F.col("id").alias("chunk_id"), "furniture", F.posexplode(F.split("content", "\n", -1)).alias("line_no", "line"))
@@ -298,19 +394,31 @@ def paragraphs(chunks: DataFrame) -> DataFrame:
     body = body.filter("line <> ''").withColumn("new", F.col("gap") & F.coalesce(F.col("before").rlike(r"[.!?:]$"), F.lit(True)))
     body = body.withColumn("paragraph_no", F.sum(F.col("new").cast("int")).over(in_chunk).cast("int"))
     broken_at = parts.body.filter("kind = 'hyphen'").select("chunk_id", "line_no", F.lit(True).alias("broken"))
-    fixes = parts.body.filter("kind = 'word'").join(small_side(misread_words(parts)), "word")
-    whole = fixes.filter("line_no = rest_line").groupBy("chunk_id", "line_no").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", "printed")))).alias("fixes"))
-    piece = body.join(broken_at, ["chunk_id", "line_no"], "left").join(whole, ["chunk_id", "line_no"], "left")
+    read = cut_lineage(misread_places_in_texts(parts))
+    within = read.filter("line_no = rest_line").groupBy("chunk_id", "line_no").agg(F.collect_set(F.struct("word", "printed")).alias("fixes"))
+    tails = read.filter("line_no < rest_line").select("chunk_id", "line_no", F.col("printed").alias("tail"))
+    heads = read.filter("line_no < rest_line").select("chunk_id", F.col("rest_line").alias("line_no"), F.lit(True).alias("taken"))
+    piece = body.withColumn("following", F.lead("line").over(in_chunk)).join(broken_at, ["chunk_id", "line_no"], "left")
+    for more in (within, tails, heads):
+        piece = piece.join(more, ["chunk_id", "line_no"], "left")
 
     def repair(batch: pa.RecordBatch) -> dict:
         done = []
-        for line, cut, known in zip(*(batch[c].to_pylist() for c in ("line", "broken", "fixes")), strict=True):
-            if known:
-                known = dict(known)
-                line = WORD.sub(lambda m, known=known: known.get(m[0], m[0]), line)
-            done.append(line.rstrip()[:-1] if cut else line + " ")
+        for line, following, cut, fixes, tail, taken in zip(*(batch[c].to_pylist() for c in ("line", "following", "broken", "fixes", "tail", "taken")), strict=True):
+            if taken:  # its first word has gone to the line before
+                first = WORD.search(line)
+                line = line[first.end() :] if first else line
+            if fixes:
+                line = repaired(line, [(f["word"], f["printed"]) for f in fixes])
+            if cut:
+                line = line.rstrip()[:-1]
+                if tail is not None and (m := list(WORD.finditer(line))):
+                    line = line[: m[-1].start()] + tail
+                done.append(line)
+            else:
+                done.append(line if joins(line, following or "") else line + " ")
         return {"chunk_id": batch["chunk_id"], "paragraph_no": batch["paragraph_no"], "line_no": batch["line_no"], "line": strings(done)}
 
-    fixed = map_batches(piece.select("chunk_id", "paragraph_no", "line_no", "line", "broken", "fixes"), repair, "chunk_id string, paragraph_no int, line_no int, line string")
+    fixed = map_batches(piece.select("chunk_id", "paragraph_no", "line_no", "line", "following", "broken", "fixes", "tail", "taken"), repair, "chunk_id string, paragraph_no int, line_no int, line string")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "")
     return fixed.groupBy("chunk_id", "paragraph_no").agg(F.rtrim(joined).alias("text"))
