@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from fundstelle.functions.arrow import ints, longs, map_batches, strings
 from fundstelle.llm.text import letter_table, mix64
+from fundstelle.session import cut_lineage, small_side
 from fundstelle.sources.tables import latest_documents
 
 MIN_CHUNKS, MIN_SHARE = 20, 0.15
@@ -129,8 +130,11 @@ def repeated_lines(chunks: DataFrame, source_documents: DataFrame, min_chunks: i
 
     listed = map_batches(base, lines, "chunk_id string, filename string, n_chunks long, line_no int, own array<long>, letters long, new int", by="content")
     line = ["chunk_id", "filename", "n_chunks", "line_no", "letters", "new"]
-    each = listed.withColumn("own", F.array_distinct("own")).select(*line, F.size("own").alias("n_own"), F.explode("own").alias("fragment"))
-    proposed = each.join(cut, ["filename", "fragment"], "left_semi").groupBy(*line, "n_own").agg(F.count(F.lit(1)).alias("n_cut")).filter("n_cut = n_own")
+    cut = small_side(cut)
+    # Lines whose first own fragment isn't cut, which are most, are left out before the others' fragments are looked at.
+    begun = listed.withColumn("fragment", F.col("own")[0]).join(cut, ["filename", "fragment"], "left_semi").withColumn("own", F.array_distinct("own"))
+    each = begun.select(*line, F.size("own").alias("n_own"), F.explode("own").alias("fragment"))
+    proposed = cut_lineage(each.join(cut, ["filename", "fragment"], "left_semi").groupBy(*line, "n_own").agg(F.count(F.lit(1)).alias("n_cut")).filter("n_cut = n_own"))
     excessive = proposed.groupBy("filename", "letters", "n_chunks").agg(F.sum("new").alias("n")).filter(F.col("n") >= enough).select("filename", "letters")
     return proposed.join(excessive, ["filename", "letters"], "left_semi").select("chunk_id", "line_no")
 
