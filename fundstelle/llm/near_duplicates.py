@@ -5,14 +5,16 @@ as floor(1 - log_b x), so sketches of parts are merged by the maximum. Each elem
 falls into the j-th of ``M`` intervals that an exponential variate reaches in turn, for the register that a random affine map modulo
 the prime ``M`` gives, so that elements stop as soon as no register can still change (sets larger than M log M offer few values).
 
-1. Equal texts are one class, told by a 64-bit hash of their words, with one representative; copies cost nothing more.
+1. Equal texts are one class, told by a 64-bit hash of the text, with one representative; copies cost nothing more.
 2. Representatives are sketched; each run of ``ROWS`` registers is a band, and texts that share a band are candidates. At a similarity s,
    a pair is missed with probability (1 - s^ROWS)^BANDS: 1.6 % at 0.5, 0.2 % at 0.55, 0.01 % at 0.6.
 3. For each candidate the similarity is estimated from how many of the first ``ESTIMATED`` registers are larger, smaller and equal (maximum
    of the joint likelihood, set sizes being known); pairs four standard errors under the threshold are left out.
 4. The rest is verified on the texts themselves.
 
-Candidates come from a join on band values (sorted, split where skewed); nothing is collected and no cap is set.
+Candidates come from a join on band values (sorted, split where skewed); nothing is collected and no cap is set. ``similar_pairs`` returns every
+pair and hence tries all candidates. ``groups`` needs only connected parts: each band's texts are first tried against one of them, and then only
+candidates that lie in different parts are, so that n variants of one text cost n tries and not their square.
 """
 
 from __future__ import annotations
@@ -148,12 +150,13 @@ def _likely(candidates: DataFrame, similarity: float) -> DataFrame:
     return map_batches(candidates, run, "a long, b long")
 
 
-def similar_classes(texts: DataFrame, shingle: int, similarity: float, least_words: int) -> DataFrame:
-    """``a, b, similarity`` with a < b: pairs of different text classes, each verified."""
-    sketched = cut_lineage(_sketched(texts, shingle, least_words))
-    banded = sketched.select("class", F.posexplode("bands").alias("band", "value")).select("class", F.xxhash64("band", "value").alias("band"))
-    left, right = banded.select("band", F.col("class").alias("a")), banded.select("band", F.col("class").alias("b"))
-    pairs = left.join(right, "band").filter("a < b").select("a", "b").distinct()
+def _banded(sketched: DataFrame) -> DataFrame:
+    """``class, band``: a class has BANDS rows."""
+    return sketched.select("class", F.posexplode("bands").alias("band", "value")).select("class", F.xxhash64("band", "value").alias("band"))
+
+
+def _verified(pairs: DataFrame, sketched: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``a, b, similarity`` of those of the distinct candidate ``pairs(a, b)`` that have the similarity: by estimate, then by the texts."""
     own = F.slice("bands", 1, ESTIMATED // ROWS)
     sizes_fit = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")  # the similarity can't exceed the ratio of sizes
     seen = pairs.join(sketched.select(F.col("class").alias("a"), F.col("size").alias("size_a"), own.alias("bands_a")), "a")
@@ -188,6 +191,59 @@ def similar_classes(texts: DataFrame, shingle: int, similarity: float, least_wor
     return map_batches(both.select("a", "b", "text_a", "text_b"), verify, "a long, b long, similarity double", by="text_a")
 
 
+def similar_classes(texts: DataFrame, shingle: int, similarity: float, least_words: int) -> DataFrame:
+    """``a, b, similarity`` with a < b: pairs of different text classes, each verified."""
+    sketched = cut_lineage(_sketched(texts, shingle, least_words))
+    banded = _banded(sketched)
+    left, right = banded.select("band", F.col("class").alias("a")), banded.select("band", F.col("class").alias("b"))
+    pairs = left.join(right, "band").filter("a < b").select("a", "b").distinct()
+    return _verified(pairs, sketched, texts, shingle, similarity)
+
+
+def _components(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``class, label``: the least class of each connected part of ``edges(a, b)``, from ``labels`` that connect nothing wrongly.
+
+    Labels are taken over from neighbours and their labels (pointer jumping) until none changes; each round is written.
+    """
+    both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")))
+    while True:
+        offered = both.join(labels.select(F.col("class").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("offer"))
+        nearer = labels.join(offered, F.col("class") == F.col("a"), "left").select("class", "label", F.least("label", F.coalesce("offer", "label")).alias("near"))
+        # A part's old label follows the least of its members, so that parts joined at one member are joined whole.
+        root = nearer.groupBy("label").agg(F.min("near").alias("least"))
+        moved = nearer.join(root, "label").select("class", "label", F.least("near", "least").alias("near"))
+        jumped = moved.join(labels.select(F.col("class").alias("near"), F.col("label").alias("far")), "near").select("class", "label", F.least("near", "far").alias("new"))
+        after = cut_lineage(jumped)
+        if after.filter("new <> label").isEmpty():
+            return after.select("class", "label")
+        labels = after.select("class", F.col("new").alias("label"))
+
+
+def connected_classes(texts: DataFrame, shingle: int, similarity: float, least_words: int) -> DataFrame:
+    """``class, label`` of all classes with enough words: the connected parts of the links that ``similar_classes`` would find.
+
+    Twice, each band's classes are tried against one of them (the least, then the greatest class). Of the other candidates, those within a
+    part can connect nothing more. The rest are pairs of a band's classes in different parts: in each band all are tried that aren't
+    both in its largest part, so no link between parts is lost.
+    """
+    sketched = cut_lineage(_sketched(texts, shingle, least_words))
+    banded = cut_lineage(_banded(sketched))
+    labels = sketched.select("class", F.col("class").alias("label"))
+    for first in (F.min, F.max):
+        chosen = banded.groupBy("band").agg(first("class").alias("r"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "r")
+        tried = banded.join(chosen, "band").filter("class <> r").select(F.least("class", "r").alias("a"), F.greatest("class", "r").alias("b")).distinct()
+        parted = tried.join(labels.select(F.col("class").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("class").alias("b"), F.col("label").alias("y")), "b").filter("x <> y")
+        labels = _components(_verified(parted.select("a", "b"), sketched, texts, shingle, similarity), labels)
+    placed = banded.join(labels, "class")
+    sizes = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("band", F.col("m.label").alias("largest"))
+    several = placed.join(largest, "band")
+    left = several.filter("label <> largest").select("band", F.col("class").alias("a"), F.col("label").alias("x"))
+    right = several.select("band", F.col("class").alias("b"), F.col("label").alias("y"))
+    rest = left.join(right, "band").filter("x <> y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _components(_verified(rest, sketched, texts, shingle, similarity), labels)
+
+
 def _long_enough(texts: DataFrame, least_words: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         keep = pa.array([len(WORD.findall(t)) >= least_words for t in batch["content"].to_pylist()], pa.bool_())
@@ -215,22 +271,13 @@ def similar_pairs(df: DataFrame, key: str, text: str, shingle: int = SHINGLE, si
 
 
 def groups(df: DataFrame, key: str, text: str, shingle: int = SHINGLE, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``key, group_id, n_links``: each key with the least class of its group and how many other texts its own is linked with.
+    """``key, group_id, n_texts``: each key with the least class of its group and how many different texts the group has.
 
-    Groups are connected parts of the links between different texts; copies are members of their text's class and aren't expanded.
-    Labels are taken over from neighbours and their labels (pointer jumping) until none changes; each round is written.
+    Groups are connected parts of the links between different texts; copies are members of their text's class and aren't expanded. Texts
+    without enough words are groups of their own. Null keys and texts have no row.
     """
     members, texts = _texts(df, key, text)
-    links = similar_classes(texts, shingle, similarity, least_words)
-    edges = cut_lineage(links.select("a", "b").union(links.select("b", "a")))
-    labels = cut_lineage(edges.groupBy(F.col("a").alias("class")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        offered = edges.join(labels, F.col("b") == F.col("class")).groupBy("a").agg(F.min("label").alias("offer"))
-        nearer = labels.join(offered, F.col("class") == F.col("a")).select("class", "label", F.least("label", "offer").alias("near"))
-        jumped = nearer.join(labels.select(F.col("class").alias("near"), F.col("label").alias("far")), "near").select("class", "label", F.least("near", "far").alias("new"))
-        after = cut_lineage(jumped)
-        if after.filter("new <> label").isEmpty():
-            break
-        labels = after.select("class", F.col("new").alias("label"))
-    counted = edges.groupBy(F.col("a").alias("class")).agg(F.count(F.lit(1)).alias("n_links"))
-    return members.join(labels, "class", "left").join(counted, "class", "left").select("key", F.coalesce("label", "class").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    labels = connected_classes(texts, shingle, similarity, least_words)
+    counted = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n_texts"))
+    placed = members.join(labels.join(counted, "label"), "class", "left")
+    return placed.select("key", F.coalesce("label", "class").alias("group_id"), F.coalesce("n_texts", F.lit(1)).alias("n_texts"))

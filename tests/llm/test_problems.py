@@ -229,11 +229,50 @@ def test_groups_and_odd_rows(spark):
     c = chunk_table(spark, ODD + [(k, "d", t, False) for k, t in chain])
     form = {"shingle": 3, "similarity": 0.95, "least_words": 40}
     assert rows(near_duplicates.similar_pairs(c, "id", "content", **form), "key_a", "key_b") == [("1", "2"), ("1", "4"), ("2", "3"), ("2", "4")]
-    got = {r.key: (r.group_id, r.n_links) for r in near_duplicates.groups(c, "id", "content", **form).collect()}
-    assert len({got[k][0] for k in "1234"}) == 1 and [got[k][1] for k in "1234"] == [1, 2, 1, 1] and got["e"][1] == 0
+    got = {r.key: (r.group_id, r.n_texts) for r in near_duplicates.groups(c, "id", "content", **form).collect()}
+    assert len({got[k][0] for k in "1234"}) == 1 and [got[k][1] for k in "1234"] == [3, 3, 3, 3] and got["e"][1] == 1 and set(got) == set("ebolr1234")
     assert near_duplicates.similar_pairs(c.limit(0), "id", "content").count() == 0 and near_duplicates.groups(c.limit(0), "id", "content").count() == 0
 
 
+def parts_of(pairs, keys):
+    label = {k: k for k in keys}
+
+    def top(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for a, b in pairs:
+        label[max(top(a), top(b))] = min(top(a), top(b))
+    return {k: top(k) for k in keys}
+
+
+def test_groups_are_the_parts_of_all_pairs(spark):
+    c = spark.read.parquet(f"{SMALL}/chunks.parquet")
+    found = {r.chunk_id: r.group_id for r in Q.p4_groups(spark, SMALL).collect()}
+    wanted = parts_of(rows(Q.p4_found(spark, SMALL), "chunk_id_a", "chunk_id_b"), {r.id for r in c.filter("id IS NOT NULL AND content IS NOT NULL").select("id").distinct().collect()})
+    content = {r.id: r.content for r in c.select("id", "content").collect()}
+    pairs = defaultdict(set)
+    for k, g in found.items():
+        pairs[g, wanted[k] if len(WORD.findall(content[k])) >= 40 else content[k]].add(k)
+    assert len({g for g, _ in pairs}) == len({w for _, w in pairs}) == len(pairs)
+
+
+def test_many_variants_cost_few_tries(spark, monkeypatch):
+    """Variants of one text, each with an edit of its own, and some that stand between two such groups."""
+    pick = random.Random(4)
+    base = [f"w{k}" for k in range(120)]
+    other = base[:60] + [f"v{k}" for k in range(60)]
+    texts = [(f"a{k}", " ".join(base[:j] + [f"x{k}"] + base[j + 1 :])) for k in range(400) if (j := pick.randrange(120)) is not None]
+    texts += [(f"b{k}", " ".join(other[:j] + [f"y{k}"] + other[j + 1 :])) for k in range(100) if (j := pick.randrange(120)) is not None]
+    tried, real = [], near_duplicates._verified
+    monkeypatch.setattr(near_duplicates, "_verified", lambda pairs, *rest: tried.append(pairs.count()) or real(pairs, *rest))
+    df = spark.createDataFrame(texts, "k string, t string")
+    found = {r.k: r.group_id for r in near_duplicates.groups(df, "k", "t", shingle=3, similarity=0.7).withColumnRenamed("key", "k").collect()}
+    assert len({g for k, g in found.items() if k[0] == "a"}) == 1 == len({g for k, g in found.items() if k[0] == "b"}) and len(set(found.values())) == 2
+    assert sum(tried) < 30 * len(texts), tried  # of some 125,000 pairs
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     e = rng.integers(0, 2**63, 4000).astype(np.uint64)
