@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fundstelle.functions import text as T
-from fundstelle.functions.python import composed
-from fundstelle.operators import chunking, context, evaluation, ingest, lexical, operations, ranking, reports, vectors
+from fundstelle.functions.python import compose_rows
+from fundstelle.operators import chunking, context, evaluation, ingest, lexical, metrics, operations, ranking, reports, vectors
 from fundstelle.plans import retrieval
 from fundstelle.session import cut_lineage
 from fundstelle.sources.tables import latest_documents, table
@@ -266,8 +266,7 @@ AND NOT EXISTS (SELECT 1 FROM x WHERE x.query_id = r.query_id AND x.chunk_id = r
 def branch_promotions(s, d):
     """Fused top 5 that stand in neither the first nor the last branch's top 5."""
     b = _branches(s, d)
-    seen = b[0].filter("rank <= 5").select("query_id", "chunk_id").union(b[2].filter("rank <= 5").select("query_id", "chunk_id"))
-    return ranking.rrf(b, top=5).join(seen, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", "rank")
+    return metrics.promotions(ranking.rrf(b, top=5), [b[0], b[2]], 5)
 
 
 # --- tenancy ---------------------------------------------------------------------------------------------------------
@@ -341,7 +340,7 @@ _CODES = r"""list_distinct(list_transform(regexp_extract_all({}, '(?:^|[^\p{{L}}
 
 @query("SELECT id, " + _NORM.format("content") + " AS norm FROM c")
 def normalize_codes(s, d):
-    return _chunks(s, d).select("id", T.normalize_codes(composed(F.col("content"))).alias("norm"))
+    return compose_rows(_chunks(s, d).select("id", "content"), "content").select("id", T.normalize_codes(F.col("content")).alias("norm"))
 
 
 @query("SELECT DISTINCT id, unnest(" + _CODES.format("content") + ") AS code FROM c")
@@ -395,21 +394,19 @@ def fixed_window_chunks(s, d):
     return chunking.fixed_windows(table(s, d, "documents"), "doc_id", "text", 50, 0.2)
 
 
-#: Lines of documents as blocks; numbered ones and paragraphs are titles.
-_LINES = rf"""WITH t AS (SELECT doc_id AS document_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-b0 AS (SELECT document_id, unnest(ls) AS text, CAST(generate_subscripts(ls, 1) - 1 AS INT) AS block_no FROM t),
-b AS (SELECT *, coalesce(nullif(regexp_replace(regexp_extract(text, '^(§\s*\d+[a-z]?)', 1), '\s', '', 'g'), ''), nullif(regexp_extract(text, '^(\d+(?:\.\d+)*)\.?\s', 1), ''),
-   nullif(regexp_extract(text, '^([A-Z]{{2,3}}[ -]\d+(?:\.\d+)+)', 1), '')) AS code FROM b0 WHERE trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') <> ''),
+#: Lines of documents as blocks; numbered ones and paragraphs are titles. The letters before a requirement's number are left out, so that it is one.
+_LINES = r"""WITH t AS (SELECT doc_id AS document_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+b0 AS (SELECT document_id, regexp_replace(unnest(ls), '^[A-Z]{2,3}[ -](\d+(\.\d+)+)', '\1') AS text, CAST(generate_subscripts(ls, 1) - 1 AS INT) AS block_no FROM t),
+b AS (SELECT *, coalesce(nullif(regexp_replace(regexp_extract(text, '^(§\s*\d+[a-z]?)', 1), '\s', '', 'g'), ''), nullif(regexp_extract(text, '^(\d+(?:\.\d+)*)\s', 1), '')) AS code
+  FROM b0 WHERE trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') <> ''),
 f AS (SELECT *, last_value(code IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY block_no ROWS UNBOUNDED PRECEDING) AS section_path FROM b)
-""".replace("{{", "{").replace("}}", "}")
+"""
 
 
 def _blocks(s: SparkSession, d: str) -> DataFrame:
     lines = chunking.lines_as_blocks(table(s, d, "documents").filter("text IS NOT NULL"), "doc_id", "text")
-    code = F.coalesce(T.section_code(F.col("text")), F.nullif(F.regexp_extract("text", r"^([A-Z]{2,3}[ -]\d+(?:\.\d+)+)", 1), F.lit("")))
-    upto = Window.partitionBy("document_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, 0)
-    own = lines.withColumn("_code", code).withColumn("is_title", F.col("_code").isNotNull())
-    return own.withColumn("section_path", F.last("_code", ignorenulls=True).over(upto)).drop("_code").withColumn("page", F.lit(1))
+    own = lines.withColumn("text", F.regexp_replace("text", r"^[A-Z]{2,3}[ -](\d+(\.\d+)+)", "$1")).withColumn("is_title", T.section_code(F.col("text")).isNotNull())
+    return chunking.fill_sections(own).withColumn("page", F.lit(1))
 
 
 @query(_LINES + "SELECT document_id, block_no, section_path FROM f")
@@ -426,7 +423,7 @@ g AS (SELECT document_id, CAST(run AS INT) AS run, min(section_path) AS path, CA
 
 @query(_GROUPS + "SELECT document_id, run, path, n_words, n_blocks FROM g")
 def structural_groups(s, d):
-    return chunking.structural_groups(_blocks(s, d)).select("document_id", "run", "path", "n_words", F.size("blocks").alias("n_blocks"))
+    return chunking.structural_groups(_blocks(s, d)).select("document_id", "run", "path", "n_words", "n_blocks")
 
 
 @query(_GROUPS.replace("WITH t AS", "WITH RECURSIVE t AS", 1) + """, o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY run) AS k FROM g),
@@ -435,9 +432,7 @@ m AS (SELECT document_id, k, path, n_words AS acc, n_blocks AS blocks, n_words >
      CASE WHEN m.done THEN o.n_words ELSE m.acc + o.n_words END >= 100 FROM m JOIN o ON o.document_id = m.document_id AND o.k = m.k + 1)
 SELECT document_id, path, CAST(acc AS INT) AS n_words, CAST(blocks AS INT) AS n_blocks FROM m WHERE done OR k = (SELECT max(k) FROM o WHERE o.document_id = m.document_id)""")
 def structural_merge(s, d):
-    groups = chunking.structural_groups(_blocks(s, d)).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("run", "path", "n_words", "blocks"))).alias("g"))
-    folded = groups.select("document_id", F.explode(chunking.merged(F.transform("g", lambda x: F.struct(x["path"], x["n_words"], x["blocks"])))).alias("m"))
-    return folded.select("document_id", "m.path", "m.n_words", F.size("m.blocks").alias("n_blocks"))
+    return chunking.merged_sections(chunking.structural_groups(_blocks(s, d))).select("document_id", "path", "n_words", "n_blocks")
 
 
 @query()
@@ -449,17 +444,17 @@ def structural_chunks(s, d):
 p AS (SELECT id, w, unnest(range(0, CAST(floor((len(w) - 1) / 800.0) AS INT) + 1)) AS piece FROM w WHERE len(w) > 0)
 SELECT id, CAST(piece AS INT) AS piece, CAST(least(800, len(w) - piece * 800) AS INT) AS n_words, CAST(CASE WHEN piece > 0 THEN 0 END AS INT) AS parent_piece FROM p""")
 def oversize_split(s, d):
-    w = _chunks(s, d).select("id", T.words(F.col("content")).alias("w")).filter("size(w) > 0")
-    pieces = w.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 800).cast("int")), lambda i: F.size(F.slice("w", i * 800 + 1, F.lit(800))))).alias("piece", "n_words"))
-    return pieces.withColumn("parent_piece", F.when(F.col("piece") > 0, 0))
+    blocks = _chunks(s, d).select("id", F.lit(0).alias("block_no"), F.col("page_from").alias("page"), "section_path", F.col("content").alias("text"))
+    pieces = chunking.word_windows(blocks, ["id"], chunking.CEILING, chunking.CEILING)
+    return pieces.select("id", "piece", F.size("words").alias("n_words"), F.when(F.col("piece") > 0, 0).alias("parent_piece"))
 
 
 #: Regions as blocks on pages: a chunk's boxes with its heading as text.
 _REGIONS = """, r AS (SELECT document_id, id, unnest(regions) AS r, heading AS text FROM c WHERE regions IS NOT NULL AND heading IS NOT NULL),
 b AS (SELECT document_id, id, text, r.page AS page, r.bbox AS bbox, row_number() OVER (PARTITION BY document_id ORDER BY id, r.page, r.bbox[2]) AS block_no FROM r),
 a AS (SELECT *, round_even(bbox[1] / 5, 0) AS x, round_even(bbox[2] / 5, 0) AS y FROM b),
-pg AS (SELECT document_id, count(DISTINCT page) AS pages FROM b GROUP BY document_id),
-run AS (SELECT document_id, x, y, regexp_replace(text, '\\d+', '#', 'g') AS t FROM a JOIN pg USING (document_id) GROUP BY document_id, x, y, t, pages HAVING pages >= 2 AND count(DISTINCT page) >= 2 AND count(DISTINCT page) / pages > 0.6)
+pg AS (SELECT document_id, coalesce(max(d.page_count), max(page)) AS pages FROM b LEFT JOIN d ON d.id = b.document_id GROUP BY document_id),
+run AS (SELECT document_id, x, y FROM a JOIN pg USING (document_id) GROUP BY document_id, x, y, pages HAVING pages >= 2 AND count(DISTINCT page) >= 2 AND count(DISTINCT page) / pages > 0.6)
 """
 
 
@@ -469,14 +464,15 @@ def _regions(s: SparkSession, d: str) -> DataFrame:
     return b.withColumn("block_no", F.row_number().over(Window.partitionBy("document_id").orderBy("id", "page", F.col("bbox")[1])))
 
 
-@query(_REGIONS.replace("\\\\d", "\\d") + r"""SELECT document_id, id, page FROM a WHERE NOT EXISTS (SELECT 1 FROM run WHERE run.document_id = a.document_id AND run.x = a.x AND run.y = a.y AND run.t = regexp_replace(a.text, '\d+', '#', 'g'))""")
+@query(_REGIONS + "SELECT document_id, id, page FROM a WHERE NOT EXISTS (SELECT 1 FROM run WHERE run.document_id = a.document_id AND run.x = a.x AND run.y = a.y)")
 def header_footer_filter(s, d):
-    return chunking.without_running_headers(_regions(s, d)).select("document_id", "id", "page")
+    pages = _docs(s, d).select(F.col("id").alias("document_id"), "page_count")
+    return chunking.without_running_headers(_regions(s, d), pages).select("document_id", "id", "page")
 
 
 @query(r""", b AS (SELECT document_id, ordinal AS block_no, id, CAST(token_count AS DOUBLE) AS font_size, coalesce(heading, '') AS text FROM c),
 m AS (SELECT document_id, median(font_size) AS median FROM b WHERE font_size > 0 GROUP BY document_id)
-SELECT id, coalesce(font_size > median, false) OR coalesce(nullif(regexp_extract(text, '^(§\s*\d+[a-z]?)', 1), ''), nullif(regexp_extract(text, '^(\d+(?:\.\d+)*)\.?\s', 1), '')) IS NOT NULL AS is_title FROM b LEFT JOIN m USING (document_id)""")
+SELECT id, coalesce(font_size > median, false) OR coalesce(nullif(regexp_extract(text, '^(§\s*\d+[a-z]?)', 1), ''), nullif(regexp_extract(text, '^(\d+(?:\.\d+)*)\s', 1), '')) IS NOT NULL AS is_title FROM b LEFT JOIN m USING (document_id)""")
 def title_by_median(s, d):
     """The title rule with the word count as the font size."""
     b = _chunks(s, d).select("document_id", F.col("ordinal").alias("block_no"), "id", F.col("token_count").cast("double").alias("font_size"), F.coalesce("heading", F.lit("")).alias("text"), F.lit("text").alias("kind"))
@@ -629,15 +625,13 @@ def precision_at_k(s, d):
 @query(_RUNS + """, a AS (SELECT run_id, CAST(substr(unnest(list_distinct(regexp_extract_all(answer, '\\[(S\\d+)\\]', 1))), 2) AS INT) AS rank FROM r)
 SELECT round(sum(CAST(hit AS INT)) / nullif(count(*), 0), 6) AS citation_precision, count(*) AS n FROM a JOIN m USING (run_id, rank)""")
 def citation_precision(s, d):
-    cited = _runs(s, d).select("run_id", F.explode(T.markers(F.col("answer"))).alias("m")).select("run_id", F.substring("m", 2, 9).cast("int").alias("rank"))
-    return cited.join(_hits(s, d), ["run_id", "rank"]).agg(F.try_divide(F.sum(F.col("hit").cast("int")), F.count(F.lit(1))).alias("citation_precision"), F.count(F.lit(1)).alias("n")).transform(_round("citation_precision"))
+    out = metrics.citation_precision(_runs(s, d).withColumn("_all", F.lit(1)), _hits(s, d), ["_all"])
+    return out.select("citation_precision", F.col("n_cited").alias("n")).transform(_round("citation_precision"))
 
 
 @query(_RUNS + """SELECT config_hash, round(avg(len(list_filter(list_distinct(regexp_extract_all(answer, '\\[S(\\d+)\\]', 1)), lambda x: CAST(x AS INT) > len(retrieved_ids) OR CAST(x AS INT) < 1))), 6) AS rate FROM r WHERE error IS NULL AND retrieved_ids IS NOT NULL GROUP BY config_hash""")
 def hallucinated_rate(s, d):
-    n = F.transform(T.markers(F.col("answer")), lambda m: F.substring(m, 2, 9).cast("int"))
-    bad = F.size(F.filter(n, lambda k: (k > F.size("retrieved_ids")) | (k < 1)))
-    return _runs(s, d).filter("error IS NULL AND retrieved_ids IS NOT NULL").groupBy("config_hash").agg(F.avg(bad).alias("rate")).transform(_round("rate"))
+    return metrics.hallucinated(_runs(s, d), ["config_hash"]).withColumnRenamed("hallucinated", "rate").transform(_round("rate"))
 
 
 @query(_RUNS + f"SELECT run_id, CAST(len(points) - len({_MISSING}) AS INT) AS n_found, CAST(len({_MISSING}) AS INT) AS n_missing FROM r WHERE answer IS NOT NULL")
@@ -668,15 +662,17 @@ def abstention_rates(s, d):
     return evaluation.abstention_rates(_runs(s, d), ["config_hash"]).transform(_round("correct_abstention", "false_abstention"))
 
 
-@query(_RUNS + """SELECT config_hash, round(quantile_cont(CAST(latency_ms['total_ms'] AS DOUBLE), 0.5), 6) AS p50, round(quantile_cont(CAST(latency_ms['total_ms'] AS DOUBLE), 0.95), 6) AS p95 FROM r WHERE error IS NULL GROUP BY config_hash""")
+_PHASES = ("retrieval_ms", "generation_ms", "total_ms")
+
+
+@query(_RUNS + "SELECT config_hash, " + ", ".join(f"round(quantile_cont(CAST(latency_ms['{p}'] AS DOUBLE), {q}), 6) AS {p}_p{n}" for p in _PHASES for n, q in ((50, 0.5), (95, 0.95))) + " FROM r WHERE error IS NULL GROUP BY config_hash")
 def latency_percentiles(s, d):
-    ms = F.col("latency_ms")["total_ms"].cast("double")
-    return _runs(s, d).filter("error IS NULL").groupBy("config_hash").agg(F.percentile(ms, F.lit(0.5)).alias("p50"), F.percentile(ms, F.lit(0.95)).alias("p95")).transform(_round("p50", "p95"))
+    return metrics.latency(_runs(s, d), ["config_hash"]).transform(_round(*(f"{p}_p{n}" for p in _PHASES for n in (50, 95))))
 
 
 @query(_RUNS + "SELECT config_hash, round(avg(CAST(cost_usd AS DOUBLE)), 6) AS cost FROM r GROUP BY config_hash")
 def cost_avg(s, d):
-    return _runs(s, d).groupBy("config_hash").agg(F.avg(F.col("cost_usd").cast("double")).alias("cost")).transform(_round("cost"))
+    return metrics.cost(_runs(s, d), ["config_hash"]).transform(_round("cost"))
 
 
 @query(""", p AS (SELECT * FROM (VALUES (0, 2.0, 5.0), (1, 1.0, 3.0)) AS t(kind, price_in, price_out))
@@ -689,8 +685,7 @@ def cost_from_prices(s, d):
 
 @query(_RUNS + "SELECT category, CAST(sum(found) AS BIGINT) AS hits, count(*) AS n, round(avg(found), 6) AS recall FROM o GROUP BY GROUPING SETS ((), (category))")
 def recall_grouping_sets(s, d):
-    out = _outcomes(s, d).rollup("category").agg(F.sum("found").alias("hits"), F.count(F.lit(1)).alias("n"), F.avg("found").alias("recall"))
-    return out.transform(_round("recall"))
+    return metrics.recall_sets(_outcomes(s, d), "category").transform(_round("recall"))
 
 
 _CATEGORIES = ["requirement_lookup", "cross_reference", "code_lookup", "unanswerable", "conflict"]
@@ -698,7 +693,8 @@ _CATEGORIES = ["requirement_lookup", "cross_reference", "code_lookup", "unanswer
 
 @query(_SCORED + "SELECT config_hash, " + ", ".join(f"round(avg(CASE WHEN category = '{c}' THEN CAST(accurate AS INT) END), 6) AS {c}" for c in _CATEGORIES) + " FROM sc GROUP BY config_hash")
 def accuracy_by_category_pivot(s, d):
-    return _scored(s, d).groupBy("config_hash").pivot("category", _CATEGORIES).agg(F.round(F.avg(F.col("accurate").cast("int")), 6))
+    rates = evaluation.rates_by(_scored(s, d), "config_hash", "category", "accurate")
+    return rates.groupBy("config_hash").pivot("category", _CATEGORIES).agg(F.round(F.first("rate"), 6))
 
 
 _BY_CONFIG = _SCORED + ", t AS (SELECT config_hash, round(avg(CAST(accurate AS INT)), 6) AS accuracy, round(avg(CAST(cost_usd AS DOUBLE)), 6) AS cost FROM sc GROUP BY config_hash)\n"
@@ -710,6 +706,24 @@ def best_per_column(s, d):
     return evaluation.best_flags(t, {"accuracy": True, "cost": False})
 
 
+_LATE = ", ".join(f"round(quantile_cont(CAST(latency_ms['{p}'] AS DOUBLE), {q}) FILTER (WHERE error IS NULL), 6) AS {p}_p{n}" for p in _PHASES for n, q in ((50, 0.5), (95, 0.95)))
+
+
+@query(_SCORED + f""", x AS (SELECT config_hash, count(*) AS n_questions, count(error) AS n_errors, round(avg(CASE WHEN error IS NULL AND should_abstain THEN CAST(abstained AS INT) END), 6) AS correct_abstention,
+  round(avg(CASE WHEN error IS NULL AND NOT should_abstain THEN CAST(abstained AS INT) END), 6) AS false_abstention, {_LATE}, round(avg(CAST(cost_usd AS DOUBLE)), 6) AS cost,
+  round(avg(len(list_filter(list_distinct(regexp_extract_all(answer, '\\[S(\\d+)\\]', 1)), lambda x: CAST(x AS INT) > len(retrieved_ids) OR CAST(x AS INT) < 1))) FILTER (WHERE error IS NULL AND retrieved_ids IS NOT NULL), 6) AS hallucinated FROM r GROUP BY 1),
+y AS (SELECT config_hash, round(avg(found), 6) AS recall, round(avg(reciprocal), 6) AS mrr, round(avg(precision), 6) AS precision FROM o GROUP BY 1),
+a AS (SELECT run_id, config_hash, CAST(substr(unnest(list_distinct(regexp_extract_all(answer, '\\[(S\\d+)\\]', 1))), 2) AS INT) AS rank FROM r),
+z AS (SELECT config_hash, round(sum(CAST(hit AS INT)) / count(*), 6) AS citation_precision, count(*) AS n_cited FROM a JOIN m USING (run_id, rank) GROUP BY 1),
+w AS (SELECT config_hash, round(avg(CAST(accurate AS INT)), 6) AS accuracy, count(*) FILTER (WHERE judge = 0) AS n_judge_errors FROM sc GROUP BY 1)
+SELECT * FROM x LEFT JOIN y USING (config_hash) LEFT JOIN z USING (config_hash) LEFT JOIN w USING (config_hash)""")
+def all_metrics(s, d):
+    """Every metric of each configuration in one row; a judgement of 0 stands for a judge's error."""
+    scored = _scored(s, d).select("run_id", F.col("accurate").alias("correct"), F.when(F.col("judge") == 0, "bad").alias("judge_error"))
+    out = metrics.compute(_runs(s, d), _hits(s, d), scored, ["config_hash"])
+    return out.transform(_round(*(c for c, t in out.dtypes if t == "double")))
+
+
 def _by_question(s: SparkSession, d: str) -> DataFrame:
     return _scored(s, d).groupBy("config_hash", "question_id").agg(F.avg(F.col("accurate").cast("int")).alias("value"))
 
@@ -736,7 +750,7 @@ def paired_bootstrap(s, d):
 @query(_SCORED + "SELECT count(*) AS n, round(avg(CAST((judge = 2) = (len(mis) = 0) AS INT)), 6) AS agreement FROM sc")
 def percent_agreement(s, d):
     own = _scored(s, d).select((F.col("judge") == 2).alias("a"), (F.size("missing") == 0).alias("b"))
-    return own.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("a") == F.col("b")).cast("int")), 6).alias("agreement"))
+    return metrics.agreement(own, "a", "b").transform(_round("agreement"))
 
 
 @query(_SCORED + """, k AS (SELECT judge = 2 AS a, len(mis) = 0 AS b FROM sc), po AS (SELECT count(*) AS n, avg(CAST(a = b AS INT)) AS po, avg(CAST(a AS INT)) AS pa, avg(CAST(b AS INT)) AS pb FROM k)
@@ -765,7 +779,7 @@ def separability_auc(s, d):
 
 @query(_SCORED + "SELECT min(top_score) AS lowest FROM sc WHERE accurate AND NOT should_abstain AND top_score > 0")
 def lowest_correct_score(s, d):
-    return _scored(s, d).filter("accurate AND NOT should_abstain").agg(F.min(F.when(F.col("top_score") > 0, F.col("top_score"))).alias("lowest"))
+    return metrics.lowest_correct(_scored(s, d).withColumn("correct", F.col("accurate")))
 
 
 @query("SELECT id, category FROM (SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY id) AS n FROM eval_questions) WHERE n <= 3")

@@ -24,10 +24,16 @@ def nfc(text: pd.Series) -> pd.Series:
 
 
 def composed(text):
-    """NFC only where a combining mark is present; other texts stay in the JVM."""
+    """NFC only where a combining mark is present. The texts all pass through Python; for large tables see ``compose_rows``."""
     return F.when(text.rlike(r"\p{M}"), nfc(text)).otherwise(text)
 
 
+def compose_rows(df, column: str):
+    """``df`` with NFC in ``column``: only rows with a combining mark go through Python, the others stay in the JVM."""
+    marked = F.coalesce(F.col(column).rlike(r"\p{M}"), F.lit(False))
+    return df.filter(~marked).unionByName(df.filter(marked).withColumn(column, nfc(column)))
+
+
 # --- German stems, after the published description of the Snowball algorithm (with ae, oe, ue as umlauts) ---
 
 _VOWELS = "aeiouyäöü"
@@ -41,6 +47,7 @@ def _regions(word: str) -> tuple[int, int]:
     return max(first, 3), after(first)
 
 
+@functools.lru_cache(500_000)
 def stem(word: str) -> str:
     word = word.lower().replace("ß", "ss")
     for pair, letter in (("ae", "ä"), ("oe", "ö")):
@@ -192,9 +199,16 @@ def hash_embed(dim: int = 1024):
     return embed
 
 
-def bootstrap_interval(values: list[float], resamples: int = 2000, seed: int = 20, level: float = 0.95) -> tuple[float, float, float]:
-    """Mean and percentile interval; the lower index is cut, the upper one rounded half to even."""
-    rng, n = random.Random(seed), len(values)
-    means = sorted(sum(rng.choices(values, k=n)) / n for _ in range(resamples))
-    tail = (1 - level) / 2
-    return sum(values) / n, means[int(tail * resamples)], means[min(resamples - 1, round((1 - tail) * resamples))]
+def bootstrap_interval(values: list[float], resamples: int = 2000, seed: int = 20, level: float = 0.95) -> tuple[float, float, float] | None:
+    """Mean and percentile interval of the mean, None of nothing: each resample draws its places one by one by ``randrange`` from one generator.
+
+    Of the sorted means, the lower end is at the truncated, the upper at the rounded (half to even) share of the last place.
+    """
+    if not 0 < level < 1:
+        raise ValueError("level must lie between 0 and 1")
+    if not values:
+        return None
+    draw, n = random.Random(seed).randrange, len(values)
+    means = sorted(sum([values[draw(n)] for _ in range(n)]) / n for _ in range(resamples))
+    tail, last = (1 - level) / 2, resamples - 1
+    return sum(values) / n, means[int(tail * last)], means[round((1 - tail) * last)]

@@ -91,16 +91,19 @@ def breadcrumb(path: Column, headings: Column) -> Column:
 def section_code(line: Column) -> Column:
     """§ 36a -> §36a, or a leading number that is followed by white space."""
     paragraph = F.regexp_replace(F.regexp_extract(line, r"^(§\s*\d+[a-z]?)", 1), r"\s", "")
-    return F.coalesce(F.nullif(paragraph, F.lit("")), F.nullif(F.regexp_extract(line, r"^(\d+(?:\.\d+)*)\.?\s", 1), F.lit("")))
+    return F.coalesce(F.nullif(paragraph, F.lit("")), F.nullif(F.regexp_extract(line, r"^(\d+(?:\.\d+)*)\s", 1), F.lit("")))
 
 
 def markdown_table(rows: Column) -> Column:
-    """An array of rows of cells as a Markdown table: short rows are filled, line ends in cells become ' / '."""
-    width = F.array_max(F.transform(rows, F.size))
-    clean = F.transform(rows, lambda r: F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s*\n\s*", " / ")))
+    """An array of rows of cells as a Markdown table as wide as its first row: shorter rows are filled, longer ones cut. The lines of a cell
+    are trimmed and joined by ' / ', empty ones left out. No rows give an empty text."""
+    width = F.size(rows[0])
+    parts = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n", -1), lambda x: F.regexp_replace(x, f"^{BLANK}+|{BLANK}+$", "")), lambda x: x != "")
+    clean = F.transform(rows, lambda r: F.slice(F.concat(F.transform(r, lambda c: F.array_join(parts(c), " / ")), F.array_repeat(F.lit(""), F.greatest(width - F.size(r), F.lit(0)))), F.lit(1), width))
     lines = F.transform(clean, lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |")))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")
+    whole = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")
+    return F.when(F.size(rows) > 0, whole).otherwise(F.when(rows.isNotNull(), ""))
 
 
 def cost_usd(prompt: Column, completion: Column, price_in: Column, price_out: Column) -> Column:

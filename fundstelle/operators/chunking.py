@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from fundstelle.functions import text as T
 
@@ -46,13 +48,19 @@ def fill_sections(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("section_path", F.last(code, ignorenulls=True).over(upto))
 
 
-def without_running_headers(blocks: DataFrame, least_pages: int = 2, share: float = 0.6, grid: float = 5.0) -> DataFrame:
-    """Leaves out blocks whose text and rounded place stand on more than ``share`` of the document's pages and at least ``least_pages``."""
-    placed = blocks.withColumn("_x", F.bround(F.col("bbox")[0] / grid)).withColumn("_y", F.bround(F.col("bbox")[1] / grid)).withColumn("_t", F.regexp_replace("text", r"\d+", "#"))
-    pages = blocks.groupBy("document_id").agg(F.count_distinct("page").alias("_pages"))
-    anchors = placed.groupBy("document_id", "_x", "_y", "_t").agg(F.count_distinct("page").alias("_n")).join(pages, "document_id")
-    running = anchors.filter((F.col("_pages") >= least_pages) & (F.col("_n") >= least_pages) & (F.col("_n") / F.col("_pages") > share)).select("document_id", "_x", "_y", "_t")
-    return placed.join(running, ["document_id", "_x", "_y", "_t"], "left_anti").drop("_x", "_y", "_t")
+def without_running_headers(blocks: DataFrame, pages: DataFrame | None = None, least_pages: int = 2, share: float = 0.6, grid: float = 5.0) -> DataFrame:
+    """Leaves out blocks whose rounded place has blocks on more than ``share`` of the document's pages and at least ``least_pages``, whatever they say.
+
+    ``pages(document_id, page_count)`` tells how many pages a document has; without it, or where it is null, the last page with a block counts.
+    """
+    placed = blocks.withColumn("_x", F.bround(F.col("bbox")[0] / grid)).withColumn("_y", F.bround(F.col("bbox")[1] / grid))
+    last = blocks.groupBy("document_id").agg(F.max("page").alias("_pages"))
+    if pages is not None:
+        known = pages.groupBy("document_id").agg(F.max("page_count").alias("_known"))
+        last = last.join(known, "document_id", "left").select("document_id", F.coalesce("_known", "_pages").alias("_pages"))
+    anchors = placed.groupBy("document_id", "_x", "_y").agg(F.count_distinct("page").alias("_n")).join(last, "document_id")
+    running = anchors.filter((F.col("_pages") >= least_pages) & (F.col("_n") >= least_pages) & (F.col("_n") / F.col("_pages") > share)).select("document_id", "_x", "_y")
+    return placed.join(running, ["document_id", "_x", "_y"], "left_anti").drop("_x", "_y")
 
 
 def outside_tables(blocks: DataFrame, tables: DataFrame, tolerance: float = 2.0) -> DataFrame:
@@ -86,55 +94,101 @@ def runs(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return rows.withColumn("_new", new).withColumn("run", F.sum("_new").over(w).cast("int")).drop("_new")
 
 
-def merged(groups: Column, floor: int = FLOOR) -> Column:
-    """Small sections folded into the next: ``groups`` is an array of (path, n_words, blocks array) in order.
+def structural_groups(blocks: DataFrame) -> DataFrame:
+    """``document_id, run, path, n_words, n_blocks, first_block``: runs of blocks of one section."""
+    counted = runs(blocks, "document_id", "block_no", "section_path").withColumn("_n", T.word_count(F.col("text")))
+    return counted.groupBy("document_id", "run").agg(
+        F.first("section_path").alias("path"), F.sum("_n").cast("int").alias("n_words"), F.count(F.lit(1)).cast("int").alias("n_blocks"), F.min("block_no").alias("first_block"),
+    )
 
-    A group is held back until it has ``floor`` words; the next group's path wins, and what is left at the end stands alone.
+
+def merged_groups(groups: DataFrame, floor: int = FLOOR) -> DataFrame:
+    """Adds ``group_no``: small sections are folded into the next, of ``groups(document_id, run, n_words, ...)`` in order of the runs.
+
+    A group is held back until it has ``floor`` words; what is left at a document's end stands alone. Rows stream through in order, and only
+    one count is kept, so a document of any number of sections takes a time in proportion to it.
     """
-    start = F.struct(F.array().cast("array<struct<path:string,n_words:int,blocks:array<int>>>").alias("done"), F.lit(False).alias("held"), F.lit(None).cast("string").alias("path"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("blocks"))
+    ordered = groups.repartition("document_id").sortWithinPartitions("document_id", "run")
 
-    def fold(a: Column, g: Column) -> Column:
-        n, blocks = a["n"] + g["n_words"], F.concat(a["blocks"], g["blocks"])
-        whole = n >= floor
-        finished = F.array_append(a["done"], F.struct(g["path"].alias("path"), n.alias("n_words"), blocks.alias("blocks")))
-        return F.struct(
-            F.when(whole, finished).otherwise(a["done"]).alias("done"), (~whole).alias("held"), F.when(whole, F.lit(None)).otherwise(g["path"]).alias("path"),
-            F.when(whole, 0).otherwise(n).alias("n"), F.when(whole, F.array().cast("array<int>")).otherwise(blocks).alias("blocks"),
-        )
+    def number(batches):
+        document, group, held = None, 0, 0
+        for batch in batches:
+            numbers = []
+            for doc, n in zip(batch["document_id"].to_pylist(), batch["n_words"].to_pylist(), strict=True):
+                if doc != document:
+                    document, group, held = doc, 0, 0
+                numbers.append(group)
+                held += n
+                if held >= floor:
+                    group, held = group + 1, 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int32())], names=[*batch.schema.names, "group_no"])
 
-    return F.aggregate(groups, start, fold, lambda a: F.when(a["held"], F.array_append(a["done"], F.struct(a["path"].alias("path"), a["n"].alias("n_words"), a["blocks"].alias("blocks")))).otherwise(a["done"]))
+    return ordered.mapInArrow(number, T_.StructType([*ordered.schema.fields, T_.StructField("group_no", T_.IntegerType())]))
 
 
-def structural_groups(blocks: DataFrame) -> DataFrame:
-    """``document_id, run, path, n_words, blocks``: runs of blocks of one section."""
-    counted = runs(blocks, "document_id", "block_no", "section_path").withColumn("_n", T.word_count(F.col("text")))
-    return counted.groupBy("document_id", "run").agg(F.first("section_path").alias("path"), F.sum("_n").cast("int").alias("n_words"), F.array_sort(F.collect_list(F.col("block_no").cast("int"))).alias("blocks"))
+def merged_sections(groups: DataFrame, floor: int = FLOOR) -> DataFrame:
+    """``document_id, group_no, path, n_words, n_blocks`` after folding; the last section's path wins."""
+    return merged_groups(groups, floor).groupBy("document_id", "group_no").agg(
+        F.max(F.struct("run", "path"))["path"].alias("path"), F.sum("n_words").cast("int").alias("n_words"), F.sum("n_blocks").cast("int").alias("n_blocks"),
+    )
+
+
+def word_windows(blocks: DataFrame, keys: list[str], window: int, step: int) -> DataFrame:
+    """``keys, piece, words, page_from, page_to, section_path, regions`` over the words of each key's blocks in order of ``block_no``.
+
+    Windows of ``window`` words begin every ``step`` words; the last one ends at the end. A block gives each window it touches its own part, so no
+    row ever holds more than a window. Pages, boxes and the section are those of a window's own words: its first word's section, its blocks' distinct
+    page and box in order. Blocks without words, and keys without any, give nothing.
+    """
+    box = F.col("bbox") if "bbox" in blocks.columns else F.lit(None).cast("array<double>")
+    worded = blocks.select(*keys, F.col("block_no").cast("int").alias("block_no"), "page", "section_path", box.alias("bbox"), T.words(F.col("text")).alias("_w")).withColumn("_n", F.size("_w")).filter("_n > 0")
+    upto = Window.partitionBy(*keys).orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
+    placed = worded.withColumn("_o", F.coalesce(F.sum("_n").over(upto), F.lit(0))).join(worded.groupBy(*keys).agg(F.sum("_n").alias("_all")), keys)
+    last = F.greatest(F.lit(0), F.ceil((F.col("_all") - window) / step))
+    low, high = F.greatest(F.lit(0), F.ceil((F.col("_o") - window + 1) / step)), F.least(last, F.floor((F.col("_o") + F.col("_n") - 1) / step))
+    each = placed.withColumn("_low", low.cast("int")).withColumn("_high", high.cast("int")).filter("_low <= _high").withColumn("piece", F.explode(F.sequence("_low", "_high")))
+    begin = F.greatest(F.col("_o"), F.col("piece") * step)
+    end = F.least(F.col("_o") + F.col("_n"), F.col("piece") * step + window)
+    own = F.slice("_w", (begin - F.col("_o") + 1).cast("int"), (end - begin).cast("int"))
+    parts = F.array_sort(F.collect_list(F.struct("block_no", own.alias("w"), "page", "section_path", "bbox")))
+    whole = each.groupBy(*keys, "piece").agg(parts.alias("p"))
+    region = F.array_distinct(F.transform(F.filter("p", lambda x: x["bbox"].isNotNull()), lambda x: F.struct(x["page"].alias("page"), x["bbox"].alias("bbox"))))
+    return whole.select(
+        *keys, "piece", F.flatten(F.transform("p", lambda x: x["w"])).alias("words"), F.array_min(F.transform("p", lambda x: x["page"])).alias("page_from"),
+        F.array_max(F.transform("p", lambda x: x["page"])).alias("page_to"), F.col("p")[0]["section_path"].alias("section_path"), region.alias("regions"),
+    )
+
+
+def fixed_chunks(blocks: DataFrame, window: int = WINDOW, overlap: float = OVERLAP) -> DataFrame:
+    """``document_id, ordinal, section_path, heading, content, page_from, page_to, token_count, parent_ordinal, regions``: windows over a document's blocks."""
+    out = word_windows(blocks, ["document_id"], window, step_of(window, overlap))
+    return out.select(
+        "document_id", F.col("piece").alias("ordinal"), "section_path", F.lit(None).cast("string").alias("heading"), F.array_join("words", " ").alias("content"),
+        "page_from", "page_to", F.size("words").alias("token_count"), F.lit(None).cast("int").alias("parent_ordinal"), "regions",
+    )
 
 
 def structural_chunks(blocks: DataFrame, floor: int = FLOOR, ceiling: int = CEILING) -> DataFrame:
-    """``document_id, ordinal, section_path, heading, content, page_from, page_to, token_count, parent_ordinal``.
+    """``document_id, ordinal, section_path, heading, content, page_from, page_to, token_count, parent_ordinal, regions``.
 
     Runs of one section, small ones merged, large ones cut at ``ceiling`` words with the first piece as the others' parent; the
-    breadcrumb of headings stands on top of each. A document's blocks are held in one row; they are bounded by one document.
+    breadcrumb of headings stands on top of each. No row holds more than a piece and a document's headings.
     """
-    groups = structural_groups(blocks).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("run", "path", "n_words", "blocks"))).alias("g"))
-    folded = groups.select("document_id", F.posexplode(merged(F.transform("g", lambda x: F.struct(x["path"], x["n_words"], x["blocks"])), floor)).alias("group_no", "g"))
-    members = folded.select("document_id", "group_no", F.col("g.path").alias("section_path"), F.explode("g.blocks").alias("block_no"))
-    texts = members.join(blocks.select("document_id", F.col("block_no").cast("int").alias("block_no"), "text", "page"), ["document_id", "block_no"])
-    worded = texts.withColumn("w", T.words(F.col("text"))).filter(F.size("w") > 0)
-    joined = worded.groupBy("document_id", "group_no", "section_path").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block_no", F.transform("w", lambda x: F.struct(x.alias("t"), F.col("page").alias("p"))).alias("w")))), lambda b: b["w"])).alias("w"))
-    pieces = joined.select("document_id", "group_no", "section_path", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / ceiling).cast("int")), lambda i: F.slice("w", i * ceiling + 1, F.lit(ceiling)))).alias("piece", "w"))
+    own = runs(blocks, "document_id", "block_no", "section_path")
+    grouped = merged_groups(structural_groups(blocks).select("document_id", "run", "path", "n_words"), floor)
+    path = grouped.groupBy("document_id", "group_no").agg(F.max(F.struct("run", "path"))["path"].alias("path"))
+    members = own.join(grouped.select("document_id", "run", "group_no"), ["document_id", "run"])
+    pieces = word_windows(members, ["document_id", "group_no"], ceiling, ceiling).drop("section_path").join(path.withColumnRenamed("path", "section_path"), ["document_id", "group_no"])
     titles = blocks.filter("is_title AND section_path IS NOT NULL").groupBy("document_id", "section_path").agg(F.min_by("text", "block_no").alias("heading"))
     headings = titles.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("section_path", "heading"))).alias("headings"))
     order = Window.partitionBy("document_id").orderBy("group_no", "piece")
     out = pieces.join(headings, "document_id", "left").withColumn("ordinal", F.row_number().over(order) - 1).withColumn("heading", F.when(F.col("section_path").isNotNull(), T.breadcrumb(F.col("section_path"), F.col("headings"))))
-    parent = F.when(F.col("piece") > 0, F.col("ordinal") - F.col("piece"))
-    body = F.array_join(F.transform("w", lambda x: x["t"]), " ")
+    body = F.array_join("words", " ")
     content = F.when(F.col("heading").isNotNull(), F.concat("heading", F.lit("\n\n"), body)).otherwise(body)
     return out.select(
-        "document_id", "ordinal", "section_path", "heading", content.alias("content"), F.array_min(F.transform("w", lambda x: x["p"])).alias("page_from"), F.array_max(F.transform("w", lambda x: x["p"])).alias("page_to"),
-        (F.size("w") + T.word_count(F.col("heading"))).alias("token_count"), parent.alias("parent_ordinal"),
-    )
+        "document_id", "ordinal", "section_path", "heading", content.alias("content"), "page_from", "page_to", (F.size("words") + T.word_count(F.col("heading"))).alias("token_count"),
+        F.when(F.col("piece") > 0, F.col("ordinal") - F.col("piece")).alias("parent_ordinal"), "regions",
+    )
 
 
 def ocr_flag(first: Column, last: Column, ocr_pages: Column) -> Column:

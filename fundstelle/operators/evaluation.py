@@ -124,16 +124,17 @@ def separability(questions: DataFrame) -> DataFrame:
 def bootstrap(values: DataFrame, keys: list[str], value: str, resamples: int = 2000, seed: int = 20) -> DataFrame:
     """``keys, n, mean, low, high`` by group, resampled with Python's generator so that intervals can be replayed.
 
-    ``values`` must be one row per question: a group is collected to one task, so it is meant for question sets.
+    Values are taken in the order of the other columns. ``values`` must be one row per question: a group is collected to one task, so it is
+    meant for question sets. A group without values has n 0 and nulls.
     """
     schema = ", ".join(f"{k} {dict(values.dtypes)[k]}" for k in keys) + ", n int, mean double, low double, high double"
+    order = [c for c in values.columns if c not in keys and c != value] + [value]
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        x = [float(v) for v in part.sort_values(order)[value]]
-        return pd.DataFrame([(*key, len(x), *bootstrap_interval(x, resamples, seed))])
+        x = [float(v) for v in part.dropna(subset=[value]).sort_values(order)[value]]
+        return pd.DataFrame([(*key, len(x), *(bootstrap_interval(x, resamples, seed) or (None, None, None)))])
 
-    order = [c for c in values.columns if c not in keys and c != value] + [value]
-    return values.filter(F.col(value).isNotNull()).groupBy(*keys).applyInPandas(run, schema)
+    return values.groupBy(*keys).applyInPandas(run, schema)
 
 
 def paired(values: DataFrame, config: str, question: str, value: str, baseline: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundstelle.functions import text as T
-from fundstelle.functions.python import composed
+from fundstelle.functions.python import compose_rows
 
 
 def content_hash(text: Column) -> Column:
@@ -38,7 +38,7 @@ def get_or_create(uploads: DataFrame, existing: DataFrame, order: list[Column])
 
 def chunk_rows(chunks: DataFrame, ocr_pages: DataFrame | None = None) -> DataFrame:
     """Rows to store from chunks (document_id, tenant_id, strategy, ordinal, content, page_from, page_to, ...): normal text, hash, id, OCR flag."""
-    out = chunks.withColumn("content_norm", T.normalize_codes(composed(F.col("content")))).withColumn("chunk_hash", content_hash(F.col("content")))
+    out = compose_rows(chunks.withColumn("content_norm", F.col("content")), "content_norm").withColumn("content_norm", T.normalize_codes(F.col("content_norm"))).withColumn("chunk_hash", content_hash(F.col("content")))
     out = out.withColumn("id", F.sha2(F.concat_ws("\x00", "document_id", "strategy", "chunk_hash"), 256))
     if ocr_pages is None:
         return out.withColumn("ocr", F.lit(False))

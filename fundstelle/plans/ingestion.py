@@ -7,23 +7,24 @@ from pyspark.sql import functions as F
 
 from fundstelle.functions.python import hash_embed
 from fundstelle.operators import chunking, ingest
-from fundstelle.sources.sinks import insert_new
+from fundstelle.sources.sinks import existing, insert_new
 
 
 def both_strategies(blocks: DataFrame, tenant_id: str) -> DataFrame:
-    """Chunks of both strategies as rows to store."""
+    """Chunks of both strategies as rows to store, each with the pages, section and boxes of its own words."""
     structural = chunking.structural_chunks(blocks).withColumn("strategy", F.lit("structural"))
-    whole = blocks.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda b: b["text"]), " ").alias("text"), F.min("page").alias("page_from"), F.max("page").alias("page_to"))
-    fixed = chunking.fixed_windows(whole, "document_id", "text").join(whole.drop("text"), "document_id")
-    fixed = fixed.select("document_id", "ordinal", F.lit(None).cast("string").alias("section_path"), F.lit(None).cast("string").alias("heading"), "content", "page_from", "page_to", F.col("n_words").alias("token_count"), F.lit(None).cast("int").alias("parent_ordinal"), F.lit("fixed_500").alias("strategy"))
+    fixed = chunking.fixed_chunks(blocks).withColumn("strategy", F.lit("fixed_500"))
     return ingest.with_parents(ingest.chunk_rows(structural.unionByName(fixed).withColumn("tenant_id", F.lit(tenant_id)))).drop("parent_ordinal")
 
 
 def store(blocks: DataFrame, tenant_id: str, folder: str, model: str = "hash", dim: int = 256) -> None:
-    """Appends new chunks and missing embeddings below ``folder``; a second run adds nothing."""
+    """Appends new chunks and missing embeddings below ``folder``; a second run adds nothing and embeds nothing."""
     spark = blocks.sparkSession
     rows = both_strategies(blocks, tenant_id)
     insert_new(rows, f"{folder}/chunks", ["document_id", "strategy", "chunk_hash"], [F.col("ordinal")])
     stored = spark.read.schema(rows.schema).parquet(f"{folder}/chunks")
-    vectors = stored.select(F.col("id").alias("chunk_id"), F.lit(model).alias("model"), F.lit(dim).alias("dim"), hash_embed(dim)("content_norm").alias("vec"))
-    insert_new(vectors, f"{folder}/embeddings", ["chunk_id", "model"])
+    schema = "chunk_id string, model string, dim int, vec array<float>"
+    embedded = existing(spark, f"{folder}/embeddings", schema)
+    missing = ingest.missing_embeddings(stored.select("id", "content_norm"), embedded, model).dropDuplicates(["id"])
+    vectors = missing.select(F.col("id").alias("chunk_id"), F.lit(model).alias("model"), F.lit(dim).alias("dim"), hash_embed(dim)("content_norm").alias("vec"))
+    vectors.write.mode("append").parquet(f"{folder}/embeddings")

@@ -22,9 +22,9 @@ MAX_TOTAL, MAX_RATIO, LARGE_MEMBER = 500 * 2**20, 200, 2**20
 
 
 def _table(rows: list[list[str]]) -> str:
-    width = max(map(len, rows), default=0)
-    full = [[*r, *[""] * (width - len(r))] for r in rows]
-    lines = ["| " + " | ".join(r) + " |" for r in full]
+    """As wide as the first row: shorter rows are filled, longer ones cut."""
+    width = len(rows[0]) if rows else 0
+    lines = ["| " + " | ".join([*r, *[""] * width][:width]) + " |" for r in rows]
     return "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]]) if lines else ""
 
 

@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundstelle.operators.ingest import new_rows
 
 
-def _existing(df: DataFrame, path: str) -> DataFrame:
-    """The table at ``path`` as it is now; none if there is no such path on its file system."""
-    spark = df.sparkSession
+def existing(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table at ``path`` as it is now; an empty one if there is no such path on its file system."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.schema(df.schema).parquet(path) if there else spark.createDataFrame([], df.schema)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
 def insert_new(df: DataFrame, path: str, keys: list[str], order: list[Column] | None = None) -> None:
     """Appends rows whose key isn't there yet, one per key. Doing it again adds nothing."""
-    new_rows(_existing(df, path), df, keys, order).write.mode("append").parquet(path)
+    new_rows(existing(df.sparkSession, path, df.schema), df, keys, order).write.mode("append").parquet(path)
 
 
 def append_logs(rows: DataFrame, path: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fundstelle.functions import python as P
 from fundstelle.functions import text as T
-from fundstelle.operators import chunking, context, evaluation, ingest, lexical, operations, ranking, vectors
+from fundstelle.operators import chunking, context, evaluation, ingest, lexical, metrics, operations, ranking, vectors
 from fundstelle.tenancy import NotFoundError, TenantScope
 
 
@@ -196,16 +196,38 @@ def test_structural_chunks(spark):
 
 def test_merge_against_a_loop(spark):
     random.seed(5)
-    cases = [[(random.choice(["1", "2", None]), random.choice([10, 60, 120]), [k]) for k in range(random.randint(0, 6))] for _ in range(60)]
-    df = spark.createDataFrame([(n, c) for n, c in enumerate(cases)], "n int, g array<struct<path:string,n_words:int,blocks:array<int>>>")
-    for row in df.select("n", chunking.merged(F.col("g")).alias("m")).collect():
-        wanted, held = [], None
-        for path, n, blocks in cases[row.n]:
-            held = (path, (held[1] if held else 0) + n, (held[2] if held else []) + blocks)
+    cases = [[(random.choice(["1", "2", None]), random.choice([10, 60, 120])) for _ in range(random.randint(0, 6))] for _ in range(60)]
+    df = spark.createDataFrame([(f"d{n}", k, path, words, 1) for n, c in enumerate(cases) for k, (path, words) in enumerate(c)], "document_id string, run int, path string, n_words int, n_blocks int")
+    found = {(r.document_id, r.group_no): (r.path, r.n_words, r.n_blocks) for r in chunking.merged_sections(df).collect()}
+    wanted = {}
+    for n, case in enumerate(cases):
+        out, held = [], None
+        for path, words in case:
+            held = (path, (held[1] if held else 0) + words, (held[2] if held else 0) + 1)
             if held[1] >= 100:
-                wanted.append(held)
+                out.append(held)
                 held = None
-        assert [(m.path, m.n_words, m.blocks) for m in row.m] == wanted + ([held] if held else [])
+        wanted |= {(f"d{n}", k): g for k, g in enumerate(out + ([held] if held else []))}
+    assert found == wanted
+
+
+def test_windows_against_slices(spark):
+    """Words, pages, sections and boxes of fixed windows over blocks, against the words in one list."""
+    random.seed(6)
+    rows = [(f"d{d}", b, " ".join(f"w{d}.{b}.{k}" for k in range(random.choice([0, 1, 5, 30]))), 1 + b // 2, random.choice(["1", "2", None]), [float(b // 3)] * 4) for d in range(8) for b in range(random.randint(0, 9))]
+    df = spark.createDataFrame(rows, "document_id string, block_no int, text string, page int, section_path string, bbox array<double>")
+    got = {(r.document_id, r.ordinal): (r.content, r.page_from, r.page_to, r.section_path, [(x.page, x.bbox) for x in r.regions]) for r in chunking.fixed_chunks(df, 12, 0.25).collect()}
+    wanted = {}
+    for d in {r[0] for r in rows}:
+        words = [(w, r[3], r[4], r[5]) for r in sorted(rows) if r[0] == d for w in r[2].split()]
+        start = n = 0
+        while start < len(words):
+            own = words[start : start + 12]
+            wanted[d, n] = (" ".join(w[0] for w in own), min(w[1] for w in own), max(w[1] for w in own), own[0][2], [(p, list(b)) for p, b in dict.fromkeys((w[1], tuple(w[3])) for w in own)])
+            if start + 12 >= len(words):
+                break
+            start, n = start + 9, n + 1
+    assert got == wanted
 
 
 def test_headers_tables_titles(spark):
@@ -213,10 +235,14 @@ def test_headers_tables_titles(spark):
     b = spark.createDataFrame(rows, "document_id string, page int, block_no int, text string, bbox array<double>, font_size double, kind string")
     assert values(chunking.without_running_headers(b), "text") == [("text 1 anders",), ("text 2 anders",), ("text 3 anders",)]
     assert chunking.without_running_headers(b.filter("page = 1")).count() == 2
+    assert values(chunking.without_running_headers(b, spark.createDataFrame([("d", 5)], "document_id string, page_count int")), "block_no") == [(k,) for k in range(2, 8)]  # 3 of 5 pages are no more than 0.6
     box = spark.createDataFrame([("d", 1, [9.0, 60.0, 60.0, 90.0])], "document_id string, page int, bbox array<double>")
     assert chunking.outside_tables(b, box).count() == 5
     t = spark.createDataFrame([([["a", "b"], ["1\n2"]],)], "r array<array<string>>").select(T.markdown_table(F.col("r")).alias("x")).first().x
     assert t == "| a | b |\n| --- | --- |\n| 1 / 2 |  |"
+    t = spark.createDataFrame([([["a"], ["\n b ", "zu viel"], [None]],)], "r array<array<string>>").select(T.markdown_table(F.col("r")).alias("x")).first().x
+    assert t == "| a |\n| --- |\n| b |\n|  |"
+    assert one(spark, T.section_code(F.col("t")), t="1. Schraube lösen") is None
     assert one(spark, T.section_code(F.col("t")), t="§ 36 a Reifen") == "§36" and one(spark, T.section_code(F.col("t")), t="3.2 Ziel") == "3.2" and one(spark, T.section_code(F.col("t")), t="3.2Ziel") is None
 
 
@@ -282,11 +308,34 @@ def test_auc_and_gate(spark):
     assert swept[0.0].calls_saved == sum(s is None for _, s, _, _ in rows) and swept[0.2].calls_saved == sum(s is None or s < 0.2 for _, s, _, _ in rows)
 
 
-def test_bootstrap_is_reproducible(spark):
-    v = spark.createDataFrame([("c", n, float(n % 3 == 0)) for n in range(30)], "k string, q int, v double")
-    r = evaluation.bootstrap(v, ["k"], "v", 500).first()
+def test_bootstrap_draws_and_cuts_as_described(spark):
+    """Against a plain statement of the rule: randrange for each place, the truncated and the rounded share of the last index."""
+    for n, resamples, level in ((37, 2000, 0.95), (5, 300, 0.9), (1, 50, 0.5)):
+        x = [((k * 7919) % 101) / 101 for k in range(n)]
+        rng, means = random.Random(20), []
+        for _ in range(resamples):
+            means.append(sum(x[rng.randrange(n)] for _ in range(n)) / n)
+        means.sort()
+        tail = (1 - level) / 2
+        assert P.bootstrap_interval(x, resamples, 20, level) == (pytest.approx(sum(x) / n), pytest.approx(means[int(tail * (resamples - 1))]), pytest.approx(means[round((1 - tail) * (resamples - 1))]))
+    assert P.bootstrap_interval([]) is None and P.bootstrap_interval([1.0, 1.0])[1:] == (1.0, 1.0)
+    with pytest.raises(ValueError):
+        P.bootstrap_interval([1.0], level=1.0)
+    v = spark.createDataFrame([("c", n, float(n % 3 == 0)) for n in range(30)] + [("leer", 1, None)], "k string, q int, v double")
+    r, empty = evaluation.bootstrap(v, ["k"], "v", 500).orderBy("k").collect()
     assert (r.n, r["mean"]) == (30, pytest.approx(1 / 3)) and (r.low, r.high) == P.bootstrap_interval([float(n % 3 == 0) for n in range(30)], 500)[1:]
-    assert P.bootstrap_interval([1.0, 1.0])[1:] == (1.0, 1.0)
+    assert (empty.n, empty["mean"], empty.low, empty.high) == (0, None, None, None)
+
+
+def test_matrix(spark):
+    rows = [(c, f"Q{n}", "ab"[n % 2], (n + k) % 3 > 0, None if n == 0 else n % 4 > k) for k, c in enumerate(("base", "other")) for n in range(12)]
+    tables = metrics.matrix(spark.createDataFrame(rows, "config string, question_id string, category string, correct boolean, found boolean"), "config", "base", 200)
+    overall = {r.config: r for r in tables["overall"].collect()}
+    assert overall["base"].n_accuracy == 12 and overall["base"].n_recall == 11 and overall["base"].best_recall and not overall["other"].best_recall
+    assert [r.config for r in tables["paired"].collect()] == ["other"] and tables["recall"].filter("config = 'base'").agg(F.sum("n")).first()[0] == 11
+    page, text = metrics.matrix_html(tables, "config"), metrics.matrix_markdown(tables)
+    assert page.count("<table>") == 4 and "<svg" in page and text.count("## ") == 4
+    assert metrics.ramp(0) == metrics.LIGHT and metrics.ramp(2) == metrics.DARK and metrics.ink(metrics.LIGHT) == "#000000" and metrics.ink(metrics.DARK) == "#ffffff"
 
 
 def test_checkpoint_and_rescore(spark):
