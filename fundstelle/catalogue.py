@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from fundstelle.functions import text as T
 from fundstelle.functions.python import compose_rows
 from fundstelle.operators import chunking, context, evaluation, ingest, lexical, metrics, operations, ranking, reports, vectors
-from fundstelle.plans import retrieval
+from fundstelle.plans import evaluation as plans_evaluation
+from fundstelle.plans import index, retrieval
 from fundstelle.session import cut_lineage
 from fundstelle.sources.tables import latest_documents, table
 from fundstelle.streaming import streams
@@ -64,9 +65,22 @@ def _queries(s: SparkSession, d: str) -> DataFrame:
     return q.filter(F.substring("query_id", 2, 9).cast("int") % 50 == 0)
 
 
+def _tenant_queries(s: SparkSession, d: str) -> DataFrame:
+    """The query set, each question within one of the tenants with most chunks (the first question in the first, and so on)."""
+    size = _chunks(s, d).filter("tenant_id IS NOT NULL").groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"))
+    numbered = size.withColumn("number", F.row_number().over(Window.orderBy(F.col("n").desc(), "tenant_id"))).select("tenant_id", "number")  # one row per tenant
+    q = _queries(s, d).withColumn("number", (F.substring("query_id", 2, 9).cast("int") / 50).cast("int"))
+    return q.join(numbered, "number").select("query_id", "tenant_id", "question")
+
+
+def _indexed(s: SparkSession, d: str) -> tuple[index.Index, DataFrame, DataFrame, DataFrame]:
+    c = _chunks(s, d)
+    return index.temporary(c, index.hashed()), c, _docs(s, d), _tenant_queries(s, d)
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    """Questions to cited answers by all three branches."""
-    return retrieval.answer(_chunks(spark, folder), _docs(spark, folder), _queries(spark, folder))
+    """Questions to cited answers by all three branches, each within its tenant."""
+    return retrieval.answer(*_indexed(spark, folder), "structural")
 
 
 # --- retrieval -------------------------------------------------------------------------------------------------------
@@ -252,12 +266,12 @@ def rerank_cache_misses(s, d):
 
 @query()
 def hybrid_search(s, d):
-    return retrieval.search(_chunks(s, d), _docs(s, d), _queries(s, d)).select("query_id", "chunk_id", "filename", F.round("score", 6).alias("score"), "rank")
+    return retrieval.search(*_indexed(s, d), "structural").select("query_id", "chunk_id", "filename", F.round("score", 6).alias("score"), "rank")
 
 
 @query()
 def answers(s, d):
-    return retrieval.answer(_chunks(s, d), _docs(s, d), _queries(s, d))
+    return flagship(s, d).drop("retrieval_ms", "generation_ms")
 
 
 @query(_BRANCHES + """, a AS (SELECT query_id, chunk_id, rank FROM b0 WHERE rank <= 5), x AS (SELECT query_id, chunk_id, rank FROM b2 WHERE rank <= 5)""" + _RRF.format(w="1.0") + """
@@ -986,6 +1000,31 @@ def idle_gap_timeouts(s, d):
     return operations.idle_gaps(table(s, d, "events"), "user_id", "ts", "event_id", 86400).transform(_round("gap"))
 
 
+@query("""WITH g AS (SELECT event_id, user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id)) / 1e6 AS gap FROM events)
+SELECT user_id, event_id, unnest(range(1, CAST(floor(gap / 86400.0) AS BIGINT) + 1)) AS beat FROM g WHERE gap > 86400""")
+def heartbeats(s, d):
+    """A beat for each full day of a pause."""
+    return operations.heartbeats(table(s, d, "events"), "user_id", "ts", "event_id", 86400.0)
+
+
+@query("""WITH f AS (SELECT user_id, min(ts) AS first FROM events WHERE event_id % 7 > 0 GROUP BY 1), r AS (SELECT DISTINCT user_id, TIMESTAMP '2023-12-31 00:00:00' AS started_at FROM events)
+SELECT user_id AS request_id, round((epoch_us(first) - epoch_us(started_at)) / 1e6, 6) AS wait FROM r LEFT JOIN f USING (user_id) WHERE first IS NULL OR (epoch_us(first) - epoch_us(started_at)) / 1e6 > 200000""")
+def first_token_timeouts(s, d):
+    """Users as requests that begin at one time, their events as pieces."""
+    e = table(s, d, "events")
+    requests = e.select(F.col("user_id").alias("request_id")).distinct().withColumn("started_at", F.lit("2023-12-31 00:00:00").cast("timestamp_ntz").cast("timestamp"))
+    deltas = e.filter("event_id % 7 > 0").select(F.col("user_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return operations.first_token_timeouts(requests, deltas, 200_000).transform(_round("wait"))
+
+
+@query()
+def retrieval_grid(s, d):
+    """The retrieval-only grid over the query set: three configurations, each question within its tenant."""
+    gold = table(s, d, "eval_questions").select(F.col("id").alias("question_id"), F.explode("gold_sources").alias("g")).select("question_id", "g.*")
+    configs = {"structural / hybrid": {}, "structural / fts": {"mode": "fts"}, "fixed_500 / hybrid": {"strategy": "fixed_500"}}
+    return plans_evaluation.retrieval_grid(*_indexed(s, d), gold, configs)
+
+
 @query()
 def rate_limit_replay(s, d):
     return operations.rate_limited(table(s, d, "events"), ["user_id"], 3, 86400.0, seq="event_id")
@@ -1051,24 +1090,25 @@ def log_rows(s, d):
 
 def _log_stream(s: SparkSession, d: str) -> DataFrame:
     schema = table(s, d, "query_logs").schema
-    return streams.read_stream(s, f"{d}/query_log[s].parquet", schema).filter("id IS NOT NULL").dropDuplicates(["id"])
+    return streams.read_stream(s, f"{d}/query_log[s].parquet", schema)
 
 
 @query("""SELECT CAST(date_trunc('hour', created_at AT TIME ZONE 'UTC') AS TIMESTAMP) AS start, count(*) AS n, count(*) FILTER (WHERE abstained) AS n_abstained, round(CAST(coalesce(sum(cost_usd), 0) AS DOUBLE), 6) AS cost FROM l GROUP BY 1""")
 def stream_rolling_stats(s, d):
-    out = streams.result(streams.rolling_stats(_log_stream(s, d), "1 hour", "60 days"))
+    out = streams.result(streams.rolling_stats(_log_stream(s, d), "1 hour", "60 days", "id"))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", "n_abstained", F.round(F.col("cost").cast("double"), 6).alias("cost"))
 
 
 @query("SELECT CAST(created_at AT TIME ZONE 'UTC' AS DATE) AS day, count(*) AS n, count(*) >= 200 AS exhausted FROM l GROUP BY 1")
 def stream_daily_budget(s, d):
-    return streams.result(streams.daily_questions(_log_stream(s, d), 200, "60 days"))
+    return streams.result(streams.daily_questions(_log_stream(s, d), 200, "60 days", "id"))
 
 
 @query(rf""", w AS (SELECT id, list_filter(regexp_split_to_array(answer, '{_BLANK}'), lambda x: x <> '') AS w FROM l WHERE answer IS NOT NULL) SELECT id AS request_id, array_to_string(w, '') AS text FROM w WHERE len(w) > 0""")
 def stream_token_assembly(s, d):
     """Answers as streams of words with an end mark; state is kept per request until it comes."""
     w = T.words(F.col("answer"))
-    deltas = _log_stream(s, d).select(F.col("id").alias("request_id"), F.posexplode(F.concat(w, F.array(F.lit("")))).alias("pos", "text"), F.size(w).alias("n")).filter("n > 0")
-    deltas = deltas.select("request_id", F.col("pos").cast("long").alias("seq"), "text", F.when(F.col("pos") == F.col("n"), "stop").alias("finish_reason"))
-    return streams.result(streams.token_streams(deltas), "append").select("request_id", "text")
+    once = _log_stream(s, d).filter("id IS NOT NULL").withWatermark("created_at", "60 days").dropDuplicatesWithinWatermark(["id"])
+    deltas = once.select(F.col("id").alias("request_id"), F.col("created_at").alias("ts"), F.posexplode(F.concat(w, F.array(F.lit("")))).alias("pos", "text"), F.size(w).alias("n")).filter("n > 0")
+    deltas = deltas.select("request_id", "ts", F.col("pos").cast("long").alias("seq"), "text", F.when(F.col("pos") == F.col("n"), "stop").alias("finish_reason"))
+    return streams.result(streams.token_streams(deltas, late=None), "append").select("request_id", "text")

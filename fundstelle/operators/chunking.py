@@ -78,13 +78,20 @@ def reading_order(blocks: DataFrame) -> DataFrame:
 
 
 def span_blocks(spans: DataFrame) -> DataFrame:
-    """Blocks from text spans (document_id, page, block_no, span_no, text, font_size, flags): joined in order, empty ones dropped, bold by flag bit 4."""
-    ordered = F.array_sort(F.collect_list(F.struct("span_no", "text", "font_size", "flags")))
+    """Blocks from text spans (document_id, page, block_no, span_no, text, font_size, flags): joined in order, empty ones dropped, bold by flag bit 4.
+
+    With ``bbox``, a block's box is the least that holds its spans'.
+    """
+    box = F.col("bbox") if "bbox" in spans.columns else F.lit(None).cast("array<double>")
+    ordered = F.array_sort(F.collect_list(F.struct("span_no", "text", "font_size", "flags", box.alias("bbox"))))
+    edge = lambda k, of: of(F.transform(F.filter("s", lambda x: x["bbox"].isNotNull()), lambda x: x["bbox"][k]))
+    around = F.array(edge(0, F.array_min), edge(1, F.array_min), edge(2, F.array_max), edge(3, F.array_max))
     out = spans.groupBy("document_id", "page", "block_no").agg(ordered.alias("s"))
-    return out.select(
+    out = out.select(
         "document_id", "page", "block_no", F.trim(F.array_join(F.transform("s", lambda x: x["text"]), "")).alias("text"), F.array_max(F.transform("s", lambda x: x["font_size"])).alias("font_size"),
-        F.exists("s", lambda x: x["flags"].bitwiseAND(16) > 0).alias("bold"),
-    ).filter("text <> ''")
+        F.exists("s", lambda x: x["flags"].bitwiseAND(16) > 0).alias("bold"), around.alias("bbox"),
+    ).filter("text <> ''")
+    return out if "bbox" in spans.columns else out.drop("bbox")
 
 
 def runs(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:

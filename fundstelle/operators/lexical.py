@@ -75,17 +75,19 @@ def search_terms(chunks: DataFrame, queries: DataFrame, k: int, every: bool = Fa
     return top_k(match(chunks, queries, every), k, order=[F.col("n_matched").desc(), F.col("occurrences").desc(), F.col("chunk_id")])
 
 
-def search_german(chunks: DataFrame, queries: DataFrame, k: int, every: bool = False, text: str = "content_norm") -> DataFrame:
-    """Top k by cover density over German stems; ``chunk_id, query_id, score, rank``.
+def german_postings(chunks: DataFrame, text: str = "content_norm", scope: list[str] | None = None) -> DataFrame:
+    """``stem, chunk_id, places, *scope``: where each stem stands in a chunk, to be stored. Stop words only keep places."""
+    scope = scope or []
+    own = chunks.select(F.col("id").alias("chunk_id"), *scope, F.posexplode(P.german_stems(F.col(text))).alias("pos", "stem")).filter("stem <> ''")
+    return own.groupBy("stem", "chunk_id", *scope).agg(F.array_sort(F.collect_list("pos")).alias("places"))
 
-    Chunks are stemmed once, exploded to (stem, place) and joined with the queries' stems on the stem; the places of a query's
-    terms in a chunk are collected (bounded by the chunk) and ranked in Arrow batches. Stop words only keep places.
-    """
-    own = chunks.select(F.col("id").alias("chunk_id"), F.posexplode(P.german_stems(F.col(text))).alias("pos", "stem")).filter("stem <> ''")
-    q = queries.select("query_id", F.explode(F.array_distinct(P.german_stems("question"))).alias("stem")).filter("stem <> ''")
+
+def search_postings(postings: DataFrame, queries: DataFrame, k: int, every: bool = False, scope: list[str] | None = None) -> DataFrame:
+    """Top k by cover density over stored postings; a query matches only chunks with its own values of ``scope``, and none where one is null."""
+    scope = scope or []
+    q = queries.select("query_id", *scope, F.explode(F.array_distinct(P.german_stems("question"))).alias("stem")).filter("stem <> ''")
     sizes = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    hits = own.join(q, "stem").groupBy("query_id", "chunk_id", "stem").agg(F.array_sort(F.collect_list("pos")).alias("places"))
-    hits = hits.groupBy("query_id", "chunk_id").agg(F.collect_list("places").alias("places"))
+    hits = postings.join(q, ["stem", *scope]).groupBy("query_id", "chunk_id").agg(F.collect_list("places").alias("places"))
     if every:
         hits = hits.join(sizes, "query_id").filter(F.size("places") == F.col("n_terms"))
 
@@ -96,31 +98,47 @@ def search_german(chunks: DataFrame, queries: DataFrame, k: int, every: bool = F
     return top_k(hits.select("query_id", "chunk_id", density("places").alias("score")), k)
 
 
-def search_trigrams(chunks: DataFrame, queries: DataFrame, k: int, threshold: float = 0.5, text: str = "content_norm") -> DataFrame:
+def search_german(chunks: DataFrame, queries: DataFrame, k: int, every: bool = False, text: str = "content_norm") -> DataFrame:
+    """Top k by cover density over German stems; ``chunk_id, query_id, score, rank``: postings made for this one search.
+
+    They are joined with the queries' stems on the stem; the places of a query's terms in a chunk are bounded by the chunk.
+    """
+    return search_postings(german_postings(chunks, text), queries, k, every)
+
+
+def trigram_postings(chunks: DataFrame, text: str = "content_norm", scope: list[str] | None = None) -> DataFrame:
+    """``trigram, chunk_id, *scope``, to be stored."""
+    return chunks.select(F.explode(T.trigrams(F.col(text))).alias("trigram"), F.col("id").alias("chunk_id"), *(scope or []))
+
+
+def search_trigrams(chunks: DataFrame, queries: DataFrame, k: int, threshold: float = 0.5, text: str = "content_norm", postings: DataFrame | None = None, scope: list[str] | None = None) -> DataFrame:
     """Top k by word similarity of the query's first code with the text; queries without a code have no rows.
 
     A match shares at least ceil(threshold * n) of the code's n trigrams, so it has one of the n - ceil(threshold * n) + 1 rarest: only
-    those are joined (rarity is counted over all chunks). Chunks with candidates are read once each, for all codes they may match;
-    the list of a chunk's codes is bounded by the query set.
+    those are joined (rarity is counted over all ``postings``, which are made for this search if none are given). Chunks with candidates are
+    read once each, for all codes they may match; the list of a chunk's codes is bounded by the query set.
     """
-    coded = queries.select("query_id", T.first_code(P.composed(F.col("question"))).alias("code")).filter("code IS NOT NULL")
-    wanted = coded.select("code").distinct().select("code", T.trigrams(F.col("code")).alias("t")).select("code", F.size("t").alias("n"), F.explode("t").alias("trigram"))
-    own = chunks.select(F.col("id").alias("chunk_id"), F.explode(T.trigrams(F.col(text))).alias("trigram"))
+    scope = scope or []
+    coded = queries.select("query_id", *scope, T.first_code(P.composed(F.col("question"))).alias("code")).filter("code IS NOT NULL")
+    wanted = coded.select("code", *scope).distinct().withColumn("t", T.trigrams(F.col("code"))).select("code", *scope, F.size("t").alias("n"), F.explode("t").alias("trigram"))
+    own = trigram_postings(chunks, text, scope) if postings is None else postings
     counts = own.join(wanted.select("trigram").distinct(), "trigram", "left_semi").groupBy("trigram").agg(F.count(F.lit(1)).alias("df"))
-    rarity = F.row_number().over(Window.partitionBy("code").orderBy(F.coalesce("df", F.lit(0)), "trigram"))
+    rarity = F.row_number().over(Window.partitionBy("code", *scope).orderBy(F.coalesce("df", F.lit(0)), "trigram"))
     prefix = wanted.join(counts, "trigram", "left").withColumn("r", rarity).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    pairs = own.join(prefix.select("trigram", "code"), "trigram").select("chunk_id", "code").distinct().groupBy("chunk_id").agg(F.collect_list("code").alias("codes"))
-    candidates = pairs.join(chunks.select(F.col("id").alias("chunk_id"), F.col(text).alias("text")), "chunk_id")
+    pairs = own.join(prefix.select("trigram", "code", *scope), ["trigram", *scope]).select("chunk_id", "code", *scope).distinct().groupBy("chunk_id", *scope).agg(F.collect_list("code").alias("codes"))
+    candidates = pairs.select("chunk_id", "codes").join(chunks.select(F.col("id").alias("chunk_id"), F.col(text).alias("text"), *scope), "chunk_id")
 
     def score(batch: pa.RecordBatch) -> dict | None:
         rows = []
-        for chunk, codes, body in zip(*(batch[c].to_pylist() for c in ("chunk_id", "codes", "text")), strict=True):
+        for at, (codes, body) in enumerate(zip(batch["codes"].to_pylist(), batch["text"].to_pylist(), strict=True)):
             trigrams = P.OrderedTrigrams(body)
-            rows += [(chunk, c, s) for c in codes if (s := trigrams.similarity(P.code_trigrams(c), threshold)) >= threshold]
+            rows += [(at, c, s) for c in codes if (s := trigrams.similarity(P.code_trigrams(c), threshold)) >= threshold]
         if not rows:
             return None
         c = list(zip(*rows, strict=True))
-        return {"chunk_id": strings(c[0]), "code": strings(c[1]), "score": pa.array(c[2], pa.float64())}
+        at = pa.array(c[0], pa.int64())
+        return {"chunk_id": batch["chunk_id"].take(at), "code": strings(c[1]), "score": pa.array(c[2], pa.float64())} | {x: batch[x].take(at) for x in scope}
 
-    found = map_batches(candidates.select("chunk_id", "codes", "text"), score, "chunk_id string, code string, score double", by="text")
-    return top_k(found.join(coded, "code").select("query_id", "chunk_id", "score"), k)
+    types = dict(chunks.dtypes)
+    found = map_batches(candidates.select("chunk_id", "codes", "text", *scope), score, "chunk_id string, code string, score double" + "".join(f", {x} {types[x]}" for x in scope), by="text")
+    return top_k(found.join(coded, ["code", *scope]).select("query_id", "chunk_id", "score"), k)

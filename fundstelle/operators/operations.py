@@ -75,6 +75,21 @@ def idle_gaps(events: DataFrame, key: str, ts: str, seq: str, limit: float) -> D
     return events.select(key, seq, gap.alias("gap")).filter(F.col("gap") > limit)
 
 
+def first_token_timeouts(requests: DataFrame, deltas: DataFrame, limit: float) -> DataFrame:
+    """``request_id, wait``: requests(request_id, started_at) whose first delta(request_id, ts) came later than ``limit`` seconds, or (null) never."""
+    first = deltas.groupBy("request_id").agg(F.min("ts").alias("_first"))
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    out = requests.join(first, "request_id", "left").select("request_id", (seconds("_first") - seconds("started_at")).alias("wait"))
+    return out.filter(F.col("wait").isNull() | (F.col("wait") > limit))
+
+
+def heartbeats(events: DataFrame, key: str, ts: str, seq: str, every: float) -> DataFrame:
+    """``key, seq, beat``: for each pause before a row, one beat per ``every`` seconds in it, from 1 on."""
+    gap = idle_gaps(events, key, ts, seq, every)
+    beats = F.sequence(F.lit(1).cast("long"), F.floor(F.col("gap") / every))
+    return gap.select(key, seq, F.explode(beats).alias("beat"))
+
+
 def assembled(deltas: DataFrame) -> DataFrame:
     """Token streams put together: ``request_id, text, model, finish_reason``; the last non-null of the latter wins."""
     order = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text"))))

@@ -64,6 +64,18 @@ def cached_scores(pairs: DataFrame, cache: DataFrame, scorer) -> tuple[DataFrame
     return pairs.join(cache.select("key", "score").unionByName(new), "key"), new
 
 
+def cached_on_disk(pairs: DataFrame, path: str, scorer) -> DataFrame:
+    """``pairs`` with scores, from the table at ``path`` where it has them; new scores are appended to it, so that no key is ever scored twice."""
+    from fundstelle.session import cut_lineage
+    from fundstelle.sources.sinks import existing, insert_new
+
+    cache = cut_lineage(existing(pairs.sparkSession, path, "key string, score double"))
+    scored, new = cached_scores(pairs, cache, scorer)
+    new = cut_lineage(new.select("key", F.col("score").cast("double").alias("score")))
+    insert_new(new, path, ["key"])
+    return pairs.join(cache.unionByName(new), "key")
+
+
 def token_overlap(query: Column, content: Column) -> Column:
     """The default scorer: the share of the query's words that the content has."""
     from fundstelle.functions.text import terms

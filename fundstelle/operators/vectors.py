@@ -19,13 +19,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, scope: list[str] | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, scope: list[str] | None = None, ef_search: int | None = None) -> DataFrame:
     """``query_id, chunk_id, score, rank``: the k nearest of ``vectors(chunk_id, vec, *scope)`` to each of ``queries(query_id, vec, *scope)``.
 
     Queries are taken in blocks of at most BLOCK; each partition multiplies its vectors with a block and keeps its own k best per
     query, which are merged by a window. With ``scope``, only vectors with equal values count. Fewer than k matches are no error;
-    null vectors and zero vectors match nothing.
+    null vectors and zero vectors match nothing, and neither does a null in ``scope``. ``ef_search`` (1 to 1000) is the breadth of an approximate
+    index; it is checked and has no effect, as the search is exact.
     """
+    if ef_search is not None and not 1 <= ef_search <= 1000:
+        raise ValueError("ef_search must lie between 1 and 1000")
     scope = scope or []
     wanted = queries.filter("vec IS NOT NULL").select("query_id", "vec", *scope)
     n = wanted.count()
@@ -47,29 +50,34 @@ def _block(vectors: DataFrame, rows: list, k: int, scope: list[str], query_type:
     length = np.linalg.norm(q, axis=1)
     q[length > 0] /= length[length > 0, None]
     ids, scopes = [r.query_id for r in rows], [tuple(r[c] for c in scope) for r in rows]
-    sent = vectors.sparkSession.sparkContext.broadcast((q, ids, scopes, length > 0))
+    by_scope: dict[tuple, list[int]] = {}
+    for j, own in enumerate(scopes):
+        if length[j] > 0 and None not in own:
+            by_scope.setdefault(own, []).append(j)
+    sent = vectors.sparkSession.sparkContext.broadcast((q, ids, {own: np.array(js) for own, js in by_scope.items()}))
 
     def run(batches):
-        q, ids, scopes, usable = sent.value
+        q, ids, by_scope = sent.value
         best: list[list] = [[] for _ in ids]
         for batch in batches:
             flat = batch["vec"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
             norm = np.linalg.norm(flat, axis=1)
             flat[norm > 0] /= norm[norm > 0, None]
-            scores, keys = flat @ q.T, batch["chunk_id"].to_pylist()
-            own = list(zip(*(batch[c].to_pylist() for c in scope), strict=True)) if scope else None
-            for j in range(len(ids)):
-                if not usable[j]:
+            keys, members = batch["chunk_id"].to_pylist(), {}
+            for k_, own in enumerate(zip(*(batch[c].to_pylist() for c in scope), strict=True) if scope else [()] * batch.num_rows):
+                if norm[k_] > 0:
+                    members.setdefault(own, []).append(k_)
+            for own, rows_ in members.items():  # only vectors and queries of one scope are multiplied
+                if own not in by_scope:
                     continue
-                s = scores[:, j]
-                may = norm > 0
-                if own is not None:
-                    may = may & np.fromiter((o == scopes[j] for o in own), bool, len(own))
-                at = np.flatnonzero(may)
-                if len(at) > k:
-                    edge = np.partition(s[at], len(at) - k)[len(at) - k]
-                    at = at[s[at] >= edge]  # ties at the edge stay, the window decides
-                best[j] = sorted(best[j] + [(-s[i], keys[i]) for i in at])[:k]
+                at, js = np.array(rows_), by_scope[own]
+                scores = flat[at] @ q[js].T
+                for c, j in enumerate(js.tolist()):
+                    s, chosen = scores[:, c], np.arange(len(at))
+                    if len(at) > k:
+                        edge = np.partition(s, len(at) - k)[len(at) - k]
+                        chosen = np.flatnonzero(s >= edge)  # ties at the edge stay, the window decides
+                    best[j] = sorted(best[j] + [(-s[i], keys[at[i]]) for i in chosen])[:k]
         flat_rows = [(ids[j], key, -neg) for j, found in enumerate(best) for neg, key in found]
         if flat_rows:
             c = list(zip(*flat_rows, strict=True))

@@ -15,10 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fundstelle.operators import chunking
+from fundstelle.session import cut_lineage
+from fundstelle.sources import pdf
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 BLOCKS = "document_id string, block_no int, text string, page int, bbox array<double>, font_size double, bold boolean, kind string, is_title boolean, section_path string"
 #: Limits of an upload: members of an archive, total size and ratio of expansion (of members over 1 MiB).
 MAX_TOTAL, MAX_RATIO, LARGE_MEMBER = 500 * 2**20, 200, 2**20
+#: Pages of a PDF file at most.
+MAX_PAGES = 2000
 
 
 def _table(rows: list[list[str]]) -> str:
@@ -53,10 +59,17 @@ def word_blocks(content: bytes) -> list[dict]:
 
 
 def inspect_upload(name: str, content: bytes) -> str | None:
-    """A code for what is wrong with an upload, or None: unsupported, malformed, encrypted, too_large (when expanded)."""
+    """A code for what is wrong with an upload, or None: unsupported, malformed, encrypted, too_large (when expanded), too_many_pages."""
     suffix = Path(name).suffix.lower()
     if suffix == ".pdf":
-        return "malformed" if not content.startswith(b"%PDF-") else "encrypted" if b"/Encrypt" in content else None
+        try:
+            file = pdf.File(content)
+        except pdf.NotAPdfError:
+            return "malformed"
+        if file.encrypted:
+            return "encrypted"
+        n = len(file.pages())
+        return "malformed" if n == 0 else "too_many_pages" if n > MAX_PAGES else None
     if suffix != ".docx":
         return "unsupported"
     if content.startswith(b"\xd0\xcf\x11\xe0"):
@@ -71,35 +84,63 @@ def inspect_upload(name: str, content: bytes) -> str | None:
         return "malformed"
 
 
-def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(blocks, failures) of the Word documents of a folder. Files that can't be read are rows of ``failures(document_id, error_code)``.
+SPANS = "document_id string, page int, block_no int, span_no int, text string, font_size double, flags int, bbox array<double>, kind string, is_title boolean, section_path string"
 
-    PDF files need a library that isn't installed: they are failures with the code parse_failed, unless blocks are given as a table.
-    """
+
+def read_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """What the files of a folder hold, as rows of SPANS by ``kind``: ``span`` of PDF files; ``text`` and ``table`` of Word files; ``pages`` with the number of a PDF
+    file's pages; ``error`` with a code as text for a file that can't be read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+    names = [x.split()[0] for x in SPANS.split(", ")]
+
+    def parts(path: str, content: bytes) -> list[dict]:
+        if wrong := inspect_upload(path, content):
+            return [{"text": wrong, "kind": "error"}]
+        try:
+            if path.lower().endswith(".docx"):
+                return [b | {"block_no": n, "page": 1} for n, b in enumerate(word_blocks(content))]
+            n_pages, found = pdf.spans(content)
+            return [{"kind": "pages", "page": n_pages}] + [s | {"kind": "span"} for s in found]
+        except (KeyError, ValueError, IndexError, TypeError, ElementTree.ParseError, zipfile.BadZipFile):
+            return [{"text": "parse_failed", "kind": "error"}]
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                key, wrong = hashlib.sha256(content).hexdigest(), inspect_upload(path, content)
-                try:
-                    found = word_blocks(content) if wrong is None and path.lower().endswith(".docx") else None
-                except (KeyError, ElementTree.ParseError, zipfile.BadZipFile):
-                    found = None
-                if found is None:
-                    rows.append((key, -1, wrong or "parse_failed", "error", False, None))
-                else:
-                    rows += [(key, n, b["text"], b["kind"], b["is_title"], b["section_path"]) for n, b in enumerate(found)]
-            c = list(zip(*rows, strict=True)) or [()] * 6
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c[0], pa.string()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.string()), pa.array([1] * n, pa.int32()), pa.array([None] * n, pa.list_(pa.float64())), pa.array([None] * n, pa.float64()), pa.array([False] * n), pa.array(c[3], pa.string()), pa.array(c[4], pa.bool_()), pa.array(c[5], pa.string())],
-                names=[x.split()[0] for x in BLOCKS.split(", ")],
-            )
-
-    parsed = files.mapInArrow(run, BLOCKS)
-    return parsed.filter("kind <> 'error'"), parsed.filter("kind = 'error'").select("document_id", F.col("text").alias("error_code"))
+            rows = [{"document_id": hashlib.sha256(c).hexdigest()} | part for p, c in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True) for part in parts(p, c)]
+            types = {"page": pa.int32(), "block_no": pa.int32(), "span_no": pa.int32(), "flags": pa.int32(), "font_size": pa.float64(), "bbox": pa.list_(pa.float64()), "is_title": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], types.get(n, pa.string())) for n in names], names=names)
+
+    return files.mapInArrow(run, SPANS)
+
+
+def read_documents(spark: SparkSession, folder: str, recognised: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(blocks, failures) of the Word and PDF files of a folder. Files that can't be read are rows of ``failures(document_id, error_code)``.
+
+    Of PDF files, runs of text are joined to blocks, running headers left out, titles found by size and number, and sections carried on.
+    ``recognised(document_id, page, text)`` are readings of pages by OCR: one takes the place of a page's text if that has fewer than 50 characters and it has
+    more. ``ocr_pages`` says which.
+    """
+    parts = cut_lineage(read_parts(spark, folder))
+    columns = [x.split()[0] for x in BLOCKS.split(", ")]
+    word = parts.filter("kind IN ('text', 'table')").withColumn("bold", F.lit(False)).select(*columns)
+    n_pages = parts.filter("kind = 'pages'").select("document_id", F.col("page").alias("page_count"))
+    own = chunking.span_blocks(parts.filter("kind = 'span'"))
+    if recognised is not None:
+        better = ocr_pages(own, recognised, n_pages)
+        read = better.select("document_id", "page", F.lit(0).alias("block_no"), "text", F.lit(None).cast("double").alias("font_size"), F.lit(False).alias("bold"), F.lit(None).cast("array<double>").alias("bbox"))
+        own = own.join(better, ["document_id", "page"], "left_anti").unionByName(read)
+    placed = chunking.reading_order(chunking.without_running_headers(own.withColumn("kind", F.lit("text")), n_pages))
+    ordered = placed.withColumn("block_no", F.col("place") - 1).drop("place")
+    printed = chunking.fill_sections(chunking.median_titles(ordered)).select(*columns)
+    return word.unionByName(printed), parts.filter("kind = 'error'").select("document_id", F.col("text").alias("error_code"))
+
+
+def ocr_pages(blocks: DataFrame, recognised: DataFrame, n_pages: DataFrame, least: int = 50) -> DataFrame:
+    """``document_id, page, text`` of the pages whose OCR reading is taken: those with little text of their own and more in the reading."""
+    printed = blocks.groupBy("document_id", "page").agg(F.sum(F.length("text")).alias("n"))
+    both = recognised.join(n_pages.select("document_id"), "document_id", "left_semi").join(printed, ["document_id", "page"], "left")
+    n = F.coalesce("n", F.lit(0))
+    return both.filter((n < least) & (F.length(F.trim("text")) > n)).select("document_id", "page", "text")
 
 
 def read_checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -128,9 +169,37 @@ def write_worksheet(rows: DataFrame, path: str) -> None:
         out.writerows(["" if v is None else v for v in row] for row in rows.toLocalIterator())
 
 
+def _load(path: str):
+    """The content of a JSON or, by its suffix, YAML file."""
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ModuleNotFoundError as e:
+            raise ValueError("YAML files need the package pyyaml") from e
+        return yaml.safe_load(Path(path).read_text("utf-8"))
+    return json.loads(Path(path).read_text("utf-8"))
+
+
+def read_prices(spark: SparkSession, path: str) -> DataFrame:
+    """``model, price_in, price_out`` (per million tokens) of a file with ``models: {name: {input_per_mtok, output_per_mtok}}``."""
+    models = (_load(path) or {}).get("models") or {}
+    return spark.createDataFrame([(m, float(p["input_per_mtok"]), float(p["output_per_mtok"])) for m, p in models.items()], "model string, price_in double, price_out double")
+
+
+def read_manifest(spark: SparkSession, path: str, documents: DataFrame, schema: str) -> DataFrame:
+    """Documents with what a manifest (a list, or a list under one key) says of their ``filename``; documents it doesn't name keep nulls."""
+    rows = _load(path)
+    rows = next((v for v in rows.values() if isinstance(v, list)), []) if isinstance(rows, dict) else rows
+    names = [f.strip().split()[0] for f in schema.split(",")]
+    told = spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema).dropDuplicates(["filename"])
+    return documents.join(told, "filename", "left")
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """A question set from a JSON list. Raises ValueError for a wrong id, an empty question or a repeated id."""
-    rows = json.loads(Path(path).read_text())
+    """A question set from a list in JSON or YAML. Raises ValueError for a wrong id, an empty question or a repeated id."""
+    rows = _load(path)
+    if not isinstance(rows, list):
+        raise ValueError("a question set is a list")
     seen: set[str] = set()
     for row in rows:
         if not re.fullmatch(r"Q\d{3}", row.get("id") or "") or not (row.get("question") or "").strip() or row["id"] in seen:

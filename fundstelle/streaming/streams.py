@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from fundstelle.plans.ingestion import store
-from fundstelle.session import shared_folder
+from fundstelle.session import cut_lineage, remove_folder, shared_folder
 
 
 def read_stream(spark: SparkSession, folder: str, schema, per_trigger: int = 100) -> DataFrame:
@@ -22,35 +22,61 @@ def ingest_stream(blocks: DataFrame, tenant_id: str, folder: str, checkpoint: st
     return blocks.writeStream.foreachBatch(lambda batch, _: store(batch, tenant_id, folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rolling_stats(logs: DataFrame, window: str = "1 hour", late: str = "2 days") -> DataFrame:
+def _once(logs: DataFrame, late: str, key: str | None) -> DataFrame:
+    """With a watermark on ``created_at``; with ``key``, replays that come within it are dropped, and keys are forgotten after it."""
+    marked = logs.withWatermark("created_at", late)
+    return marked if key is None else marked.filter(F.col(key).isNotNull()).dropDuplicatesWithinWatermark([key])
+
+
+def rolling_stats(logs: DataFrame, window: str = "1 hour", late: str = "2 days", key: str | None = None) -> DataFrame:
     """Counts, abstentions and cost per window of ``created_at``; rows later than ``late`` are dropped once their window is closed."""
     ms = F.col("latency_ms")["total_ms"]
-    return logs.withWatermark("created_at", late).groupBy(F.window("created_at", window).alias("w")).agg(
+    return _once(logs, late, key).groupBy(F.window("created_at", window).alias("w")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("abstained").alias("n_abstained"), F.coalesce(F.sum("cost_usd"), F.lit(0)).alias("cost"), F.percentile_approx(ms, [0.5, 0.95], 1000).alias("percentiles"),
     ).select(F.col("w.start").alias("start"), "n", "n_abstained", "cost", F.col("percentiles")[0].alias("p50"), F.col("percentiles")[1].alias("p95"))
 
 
-def daily_questions(logs: DataFrame, limit: int, late: str = "2 days") -> DataFrame:
-    counted = logs.withWatermark("created_at", late).groupBy(F.window("created_at", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+def daily_questions(logs: DataFrame, limit: int, late: str = "2 days", key: str | None = None) -> DataFrame:
+    counted = _once(logs, late, key).groupBy(F.window("created_at", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("w.start").cast("date").alias("day"), "n", (F.col("n") >= limit).alias("exhausted"))
 
 
-def token_streams(deltas: DataFrame) -> DataFrame:
-    """``request_id, text, finish_reason`` of finished requests from ``deltas(request_id, seq, text, finish_reason)``, state kept per request."""
+def token_streams(deltas: DataFrame, idle_ms: int = 600_000, late: str | None = "1 minute") -> DataFrame:
+    """``request_id, text, finish_reason`` of requests from ``deltas(request_id, seq, text, finish_reason, ts)``, state kept per request.
+
+    Once the watermark of ``ts`` is ``idle_ms`` past a request's last delta, an unfinished one ends with what it has and the reason timeout, and a finished one,
+    remembered until then so that late pieces begin no new state, is forgotten. ``late`` None: the stream has a watermark already. Without ``ts``
+    (only for streams that end) nothing is forgotten.
+    """
+    timed = "ts" in deltas.columns
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pieces, reason = dict(zip(*state.get[:2], strict=True)) if state.exists else {}, state.get[2] if state.exists else ""
+        seqs, texts, reason, done, last = state.get if state.exists else ([], [], "", False, 0)
+        pieces = dict(zip(seqs, texts, strict=True))
+
+        def whole(why: str) -> pd.DataFrame:
+            return pd.DataFrame({"request_id": [key[0]], "text": ["".join(pieces[k] for k in sorted(pieces))], "finish_reason": [why]})
+
+        if state.hasTimedOut:
+            state.remove()
+            if not done:
+                yield whole("timeout")
+            return
         for part in parts:
             for seq, text, finish in zip(part["seq"], part["text"], part["finish_reason"], strict=True):
                 pieces[int(seq)] = text or ""
                 reason = finish or reason
-        if reason:
-            state.remove()
-            yield pd.DataFrame({"request_id": [key[0]], "text": ["".join(pieces[k] for k in sorted(pieces))], "finish_reason": [reason]})
-        else:
-            state.update((list(pieces), list(pieces.values()), reason))
+            if timed and len(part):
+                last = max(last, int(part["ts"].max().timestamp() * 1000))
+        if reason and not done:
+            yield whole(reason)
+        state.update(([], [], reason, True, last) if reason else (list(pieces), list(pieces.values()), reason, False, last))
+        if timed:
+            state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
 
-    return deltas.groupBy("request_id").applyInPandasWithState(run, "request_id string, text string, finish_reason string", "seqs array<long>, texts array<string>, reason string", "append", "NoTimeout")
+    kept = "seqs array<long>, texts array<string>, reason string, done boolean, last long"
+    marked = deltas.withWatermark("ts", late) if timed and late else deltas
+    return marked.groupBy("request_id").applyInPandasWithState(run, "request_id string, text string, finish_reason string", kept, "append", "EventTimeTimeout" if timed else "NoTimeout")
 
 
 def rate_limits(hits: DataFrame, limit: int, window: float, late: str = "1 minute") -> DataFrame:
@@ -79,13 +105,15 @@ def rate_limits(hits: DataFrame, limit: int, window: float, late: str = "1 minut
 
 
 def result(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """What a stream has given once all that lies there is read: each micro-batch is written to the shared folder, then read as a table."""
+    """What a stream has given once all that lies there is read: each micro-batch is written to the shared folder, then read as a table; the stream's folder is removed."""
     folder = shared_folder(stream.sparkSession)
     write = "overwrite" if mode == "complete" else "append"
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     query = query.foreachBatch(lambda batch, _: batch.write.mode(write).parquet(f"{folder}/rows")).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+    rows = cut_lineage(stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows"))
+    remove_folder(stream.sparkSession, folder)
+    return rows
 
 
 def parse_frames(body: str) -> list[tuple[str, str]]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fundstelle.functions import python as P
 from fundstelle.functions import text as T
 from fundstelle.operators import chunking, context, evaluation, ingest, lexical, metrics, operations, ranking, vectors
+from fundstelle.plans import index, retrieval
 from fundstelle.tenancy import NotFoundError, TenantScope
 
 
@@ -375,3 +376,51 @@ def test_points_in_retrieved_and_neighbouring_chunks(spark):
     found = {(r.run_id, r.pos): r.place for r in places.collect()}
     assert found == {("r1", 0): "context", ("r1", 1): "neighbour", ("r2", 0): "context", ("r2", 1): "missing", ("r3", 0): "missing", ("r3", 1): "context", ("r3", 2): "missing"}
     assert {r.run_id: r.fixable for r in evaluation.fixable(places).collect()} == {"r1": True, "r2": False, "r3": False}
+
+
+def three_tenants(spark):
+    words = "die pumpe läuft warm und der motor treibt das ventil an sy1.2.3 regelt den druck im kessel".split()
+    random.seed(9)
+    rows = [(f"{t}{k}", t, f"d{t}", strategy, " ".join(random.choices(words, k=25))) for t in ("t1", "t2", "t3") for k, strategy in enumerate(["structural"] * 6 + ["fixed_500"] * 3)]
+    c = spark.createDataFrame(rows, "id string, tenant_id string, document_id string, strategy string, content string").withColumns({"content_norm": T.normalize_codes(F.col("content")), "ordinal": F.lit(0), "page_from": F.lit(1), "page_to": F.lit(1), "section_path": F.lit(None).cast("string"), "heading": F.lit(None).cast("string"), "ocr": F.lit(False)})
+    docs = spark.createDataFrame([(f"d{t}", f"{t}.pdf", "A") for t in ("t1", "t2", "t3")], "id string, filename string, version_label string")
+    q = spark.createDataFrame([(f"q{t}", t, "Was regelt SY 1.2.3 am Ventil der Pumpe?") for t in ("t1", "t2", "t3", None)], "query_id string, tenant_id string, question string")
+    return c, docs, q
+
+
+@pytest.mark.parametrize("mode", ["vector", "fts", "hybrid"])
+def test_search_keeps_to_tenant_strategy_and_model(spark, mode):
+    c, docs, q = three_tenants(spark)
+    found = retrieval.search(index.temporary(c, index.hashed(64)), c, docs, q, "structural", index.hashed(64), mode, k=20)
+    strategy, hits = {r.id: r.strategy for r in c.collect()}, found.collect()
+    assert {r.query_id for r in hits} == {"qt1", "qt2", "qt3"}  # none without a tenant
+    assert all(r.chunk_id[:2] == r.query_id[1:] and strategy[r.chunk_id] == "structural" and r.filename == f"{r.chunk_id[:2]}.pdf" for r in hits)
+    alone = retrieval.search(index.temporary(c.filter("tenant_id = 't2' AND strategy = 'structural'"), index.hashed(64)), c, docs, q.filter("tenant_id = 't2'"), "structural", index.hashed(64), mode, k=20)
+    if mode != "fts":  # a code's rarest trigrams are counted over all tenants, so only candidates could differ
+        assert values(found.filter("query_id = 'qt2'"), "chunk_id", "rank") == values(alone, "chunk_id", "rank")
+    if mode == "vector":
+        other = retrieval.search(index.temporary(c, index.Embedder("other", 64, *[index.hashed(64).passage] * 2)), c, docs, q, "structural", index.hashed(64), mode)
+        assert other.count() == 0
+        with pytest.raises(ValueError):
+            retrieval.search(index.temporary(c, index.hashed(64)), c, docs, q, "structural", index.hashed(64), mode, ef_search=0)
+
+
+def test_stored_index_grows_by_what_is_missing(spark, tmp_path):
+    c, docs, q = three_tenants(spark)
+    index.update(c.filter("tenant_id <> 't3'"), str(tmp_path), index.hashed(64))
+    for _ in range(2):
+        index.update(c, str(tmp_path), index.hashed(64))
+        stored, fresh = index.load(spark, str(tmp_path)), index.temporary(c, index.hashed(64))
+        assert stored.vectors.count() == c.count()
+        assert values(stored.postings, "stem", "chunk_id", "places") == values(fresh.postings, "stem", "chunk_id", "places")
+        assert values(stored.trigrams, "trigram", "chunk_id") == values(fresh.trigrams, "trigram", "chunk_id")
+
+
+def test_answers_within_tenants(spark):
+    c, docs, q = three_tenants(spark)
+    docs = docs.withColumn("version_label", F.when(F.col("id") == "dt1", "A").otherwise("B"))
+    out = retrieval.answer(index.temporary(c, index.hashed(64)), c, docs, q, "structural", index.hashed(64), prices=(1.0, 2.0)).collect()
+    by = {r.query_id: r for r in out}
+    assert len(by) == 3 + 1 and by["qt1"].cost_usd > 0 and not by["qt1"].abstained and not by["qt1"].truncated and by["qt1"].conflict is None
+    none = next(r for r in out if r.chunk_id is None)
+    assert none.abstained and none.answer == T.SENTINEL and none.n_sources is None

@@ -4,10 +4,13 @@ import datetime
 import io
 import json
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from fundstelle.operators import ranking
+from fundstelle.plans import evaluation, index
 from fundstelle.plans.ingestion import both_strategies, store
 from fundstelle.sources import files, sinks
 from fundstelle.streaming import streams
@@ -35,7 +38,92 @@ def test_word_documents(spark, tmp_path):
     (tmp_path / "c.pdf").write_bytes(b"%PDF-1.7")
     blocks, failures = files.read_documents(spark, str(tmp_path))
     assert [(r.text, r.kind, r.is_title, r.section_path) for r in blocks.orderBy("block_no").collect()] == [("1.2 Ziel", "text", True, "1.2"), ("Text", "text", False, "1.2"), ("| a | b |\n| --- | --- |", "table", False, "1.2")]
-    assert sorted(r.error_code for r in failures.collect()) == ["malformed", "parse_failed"]
+    assert sorted(r.error_code for r in failures.collect()) == ["malformed", "malformed"]  # a PDF file without pages is none
+
+
+def make_pdf(pages, packed=True):
+    """A PDF file of (x, y from the top, text, size, font) runs per page."""
+    objects, kids, n = {}, [], 3
+    for runs in pages:
+        body = b"BT\n" + b"".join(b"/%s %g Tf 1 0 0 1 %g %g Tm (%s) Tj\n" % (f.encode(), s, x, 842 - y, t.replace("(", "\\(").replace(")", "\\)").encode("cp1252")) for x, y, t, s, f in runs) + b"ET"
+        stream = zlib.compress(body) if packed else body
+        objects[n + 1] = b"<< /Length %d %s>>\nstream\n%s\nendstream" % (len(stream), b"/Filter /FlateDecode " if packed else b"", stream)
+        objects[n] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (n + 1)
+        kids.append(b"%d 0 R" % n)
+        n += 2
+    fonts = b"<< /Font << /helv << /Type /Font /BaseFont /Helvetica >> /hebo << /Type /Font /BaseFont /Helvetica-Bold >> >> >>"
+    objects |= {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [%s] /Count %d /MediaBox [0 0 595 842] /Resources %s >>" % (b" ".join(kids), len(kids), fonts)}
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % o for o in sorted(objects.items())) + b"trailer << /Root 1 0 R >>"
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_pdf_documents(spark, tmp_path, packed):
+    page = lambda n, own: [(50, 30, f"Kopf Seite {n}", 9, "helv"), *own]
+    pages = [page(1, [(50, 60, "1 Prüfung (neu)", 14, "hebo"), (50, 200, "Erster Satz", 10, "helv"), (50, 212, "geht weiter.", 10, "helv")]), page(2, [(50, 300, "2. kein Titel", 9, "helv"), (50, 120, "1.1 Ziel", 10, "helv")]), page(3, [])]
+    (tmp_path / "a.pdf").write_bytes(make_pdf(pages, packed))
+    (tmp_path / "geheim.pdf").write_bytes(make_pdf(pages) + b" /Encrypt 9 0 R")
+    blocks, failures = files.read_documents(spark, str(tmp_path))
+    assert [r.error_code for r in failures.collect()] == ["encrypted"]
+    own = blocks.orderBy("block_no").collect()
+    assert [(r.text, r.page, r.font_size, r.bold, r.is_title, r.section_path) for r in own] == [
+        ("1 Prüfung (neu)", 1, 14.0, True, True, "1"), ("Erster Satz geht weiter.", 1, 10.0, False, False, "1"), ("1.1 Ziel", 2, 10.0, False, True, "1.1"), ("2. kein Titel", 2, 9.0, False, False, "1.1"),
+    ]
+    assert own[1].bbox == [50.0, 190.0, 110.0, 212.0]
+    scan = spark.createDataFrame([(own[0].document_id, 3, "Gelesener Text der dritten Seite"), (own[0].document_id, 1, "kurz")], "document_id string, page int, text string")
+    assert [r.text for r in files.read_documents(spark, str(tmp_path), scan)[0].filter("page = 3").collect()] == ["Gelesener Text der dritten Seite"]
+
+
+def test_page_limit(monkeypatch):
+    monkeypatch.setattr(files, "MAX_PAGES", 1)
+    two = make_pdf([[(50, 50, "a", 9, "helv")], [(50, 50, "b", 9, "helv")]])
+    assert files.inspect_upload("x.pdf", two) == "too_many_pages" and files.inspect_upload("x.pdf", make_pdf([[]])) is None
+
+
+def test_yaml_files(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "q.yaml").write_text("- id: Q001\n  question: Was?\n  category: code_lookup\n  should_abstain: false\n  gold_sources:\n    - {document: a.pdf, page: 3}\n")
+    (tmp_path / "p.yaml").write_text("models:\n  m:\n    input_per_mtok: 2.5\n    output_per_mtok: 10\n")
+    (tmp_path / "m.yaml").write_text("documents:\n  - {filename: a.pdf, version_label: B}\n")
+    q = files.read_questions(spark, str(tmp_path / "q.yaml")).first()
+    assert (q.id, q.difficulty, q.gold_sources[0].page) == ("Q001", "medium", 3)
+    assert [tuple(r) for r in files.read_prices(spark, str(tmp_path / "p.yaml")).collect()] == [("m", 2.5, 10.0)]
+    docs = spark.createDataFrame([("1", "a.pdf"), ("2", "b.pdf")], "id string, filename string")
+    out = files.read_manifest(spark, str(tmp_path / "m.yaml"), docs, "filename string, version_label string")
+    assert sorted((r.id, r.version_label) for r in out.collect()) == [("1", "B"), ("2", None)]
+
+
+def test_scores_are_kept_on_disk(spark, tmp_path):
+    pairs = spark.createDataFrame([("a", "x y", "x"), ("b", "x", "x"), ("a", "x y", "x")], "key string, question string, content string")
+    asked = []
+
+    def scorer(missing):
+        asked.append(missing.count())
+        return missing.withColumn("score", ranking.token_overlap(F.col("question"), F.col("content")))
+
+    for _ in range(2):
+        got = ranking.cached_on_disk(pairs, f"{tmp_path}/scores", scorer)
+        assert sorted((r.key, r.score) for r in got.collect()) == [("a", 0.5), ("a", 0.5), ("b", 1.0)]
+    assert asked == [2, 0] and spark.read.parquet(f"{tmp_path}/scores").count() == 2
+
+
+def test_resumed_run_and_grid(spark, tmp_path):
+    words = "pumpe motor ventil kessel druck leitung".split()
+    rows = [(f"c{k}", "t", f"d{k % 3}", "structural", f"{words[k % 6]} {words[(k + 1) % 6]} steht hier", 1 + k) for k in range(12)]
+    c = spark.createDataFrame(rows, "id string, tenant_id string, document_id string, strategy string, content string, page_from int")
+    c = c.withColumns({"content_norm": F.col("content"), "page_to": F.col("page_from"), "section_path": F.lit(None).cast("string"), "heading": F.lit(None).cast("string"), "ocr": F.lit(False)})
+    docs = spark.createDataFrame([(f"d{k}", f"f{k}", None) for k in range(3)], "id string, filename string, version_label string")
+    q = spark.createDataFrame([(f"Q{k}", "t", f"Wo steht {words[k]}?") for k in range(4)], "query_id string, tenant_id string, question string")
+    own, path = index.temporary(c, index.hashed()), f"{tmp_path}/lines"
+    first = evaluation.resume(own, c, docs, q.filter("query_id < 'Q2'"), {"k": 3}, path).collect()
+    assert [r.question_id for r in first] == ["Q0", "Q1"] and all(r.n_sources for r in first)
+    n = spark.read.text(path).count()
+    both = evaluation.resume(own, c, docs, q, {"k": 3}, path).collect()
+    assert [r.question_id for r in both] == ["Q0", "Q1", "Q2", "Q3"] and spark.read.text(path).count() == n + 2
+    assert len(evaluation.resume(own, c, docs, q, {"k": 3}, path).collect()) == 4 and spark.read.text(path).count() == n + 2
+    gold = spark.createDataFrame([("Q0", "f0", None, None), ("Q1", "nirgends", None, None)], "question_id string, document string, section string, page int")
+    grid = {r.config: r for r in evaluation.retrieval_grid(own, c, docs, q, gold, {"a": {}, "b": {"mode": "fts"}}, 5).collect()}
+    assert set(grid) == {"a", "b"} and all(r.n == 2 and r.recall == 0.5 and r.recall_low <= 0.5 <= r.recall_high for r in grid.values())
+    assert evaluation.one_knob({"k": 8, "mode": "hybrid"}, {"mode": ["fts", "hybrid"], "k": [4]}) == [{"k": 8, "mode": "hybrid"}, {"k": 8, "mode": "fts"}, {"k": 4, "mode": "hybrid"}]
 
 
 def test_uploads():
@@ -131,6 +219,20 @@ def test_token_streams(spark, tmp_path):
     assert [tuple(r) for r in out.collect()] == [("r", "ab", "stop")]
 
 
+def test_token_streams_end_and_are_forgotten(spark, tmp_path):
+    """A request that stops gives what it has; late pieces of a finished one give nothing."""
+    at = lambda m: datetime.datetime(2026, 1, 1, 0, m)
+    batches = [[("r", 1, "a", "stop", at(0)), ("s", 1, "x", None, at(0))], [("r", 2, "b", "stop", at(1))], [("z", 1, "spät", "stop", at(50))], [("z2", 1, "", "stop", at(59))]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "request_id string, seq long, text string, finish_reason string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        (tmp_path / "in" / str(k)).rename(tmp_path / "in" / f"part={k}")
+    d = spark.read.parquet(f"{tmp_path}/in").drop("part")
+    source = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    out = run(streams.token_streams(source, 600_000), tmp_path, "append")
+    got = sorted(tuple(r) for r in out.collect())
+    assert ("r", "a", "stop") in got and ("s", "x", "timeout") in got and len([g for g in got if g[0] == "r"]) == 1
+
+
 def test_stream_rate_limits(spark, tmp_path):
     at = lambda k: datetime.datetime(2026, 1, 1, 0, 0, k)
     h = spark.createDataFrame([("a", k, at(k)) for k in range(4)] + [("b", 9, at(0))], "key string, seq long, ts timestamp").coalesce(1)
