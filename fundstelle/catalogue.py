@@ -112,10 +112,7 @@ def knn_filtered_by_model(s, d):
 @query(_VEC.format(on="true").replace("q.vec_id % 50 = 0", "q.vec_id = 0"))
 def knn_topk_single(s, d):
     e, q = _vectors(s, d)
-    one = F.broadcast(q.filter("query_id = 0").select("query_id", F.col("vec").alias("_q")))  # one row
-    scored = e.crossJoin(one).select("query_id", "chunk_id", vectors.cosine(F.col("_q"), F.col("vec")).alias("score"))
-    top = scored.orderBy(F.col("score").desc(), "chunk_id").limit(10)
-    return ranking.top_k(top, 10).withColumn("score", F.round("score", 6))
+    return vectors.nearest(e, q.filter("query_id = 0"), 10).withColumn("score", F.round("score", 6))
 
 
 _TERMS = r"""list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"""
@@ -194,11 +191,19 @@ def word_similarity_topk(s, d):
     return lexical.search_trigrams(_chunks(s, d), _queries(s, d), 10)
 
 
-#: Three rankings that SQL can make too: by matched terms, by similar length, by code number.
-_BRANCHES = _MATCH + """,
+#: The three rankings of a search in forms that SQL has too: matched terms, cosine of stored embeddings, trigrams in common with the heading.
+#: An embedding belongs to the least chunk whose number (a digest of its id) names it, a question's has its own number.
+_BRANCHES = _MATCH + rf""",
+e AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS len FROM embeddings), ne AS (SELECT count(*) AS n FROM embeddings),
+ce AS (SELECT CAST(('0x' || substr(md5(id), 1, 6)) AS BIGINT) % (SELECT n FROM ne) AS vec_id, min(id) AS chunk_id FROM c GROUP BY 1),
+cs AS (SELECT query_id, chunk_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) * x[2])) / (a.len * b.len) AS score
+  FROM q JOIN e a ON a.vec_id = CAST(substr(query_id, 2) AS INT) % (SELECT n FROM ne) CROSS JOIN ce JOIN e b ON b.vec_id = ce.vec_id),
+tw AS (SELECT id AS chunk_id, unnest(list_distinct({_TERMS.format('heading')})) AS w FROM c), qw AS (SELECT query_id, unnest(list_distinct({_TERMS.format('question')})) AS w FROM q),
+tt AS (SELECT DISTINCT chunk_id, substr('  ' || w || ' ', CAST(i AS INT), 3) AS t FROM tw, unnest(range(1, len(w) + 2)) AS u(i)), qt AS (SELECT DISTINCT query_id, substr('  ' || w || ' ', CAST(i AS INT), 3) AS t FROM qw, unnest(range(1, len(w) + 2)) AS u(i)),
+tc AS (SELECT query_id, chunk_id, count(*) AS n FROM tt JOIN qt USING (t) GROUP BY ALL),
 b0 AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n_matched DESC, occurrences DESC, chunk_id) AS rank FROM m) WHERE rank <= 40),
-b1 AS (SELECT * FROM (SELECT query_id, id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(length(content) - 10 * length(question)), id) AS rank FROM c, q) WHERE rank <= 40),
-b2 AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY occurrences DESC, chunk_id) AS rank FROM m) WHERE rank <= 40),
+b1 AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM cs) WHERE rank <= 40),
+b2 AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, chunk_id) AS rank FROM tc) WHERE rank <= 40),
 u AS (SELECT *, 0 AS b FROM b0 UNION ALL SELECT *, 1 FROM b1 UNION ALL SELECT *, 2 FROM b2)
 """
 
@@ -206,11 +211,15 @@ u AS (SELECT *, 0 AS b FROM b0 UNION ALL SELECT *, 1 FROM b1 UNION ALL SELECT *,
 def _branches(s: SparkSession, d: str) -> list[DataFrame]:
     c, q = _chunks(s, d), _queries(s, d)
     m = lexical.match(c, q, every=False)
-    near = c.select(F.col("id").alias("chunk_id"), F.length("content").alias("n")).crossJoin(F.broadcast(q))  # the query set: one in 50 of 300 questions
+    e = table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    n = F.lit(e.count())
+    owners = c.select("id", (F.conv(F.substring(F.md5("id"), 1, 6), 16, 10).cast("long") % n).alias("vec_id")).groupBy("vec_id").agg(F.min("id").alias("chunk_id"))
+    asked = q.select("query_id", (F.substring("query_id", 2, 9).cast("long") % n).alias("vec_id")).join(e, "vec_id").select("query_id", "vec")
+    trigrams = lexical.trigram_postings(c, "heading").join(q.select("query_id", F.explode(T.trigrams(F.col("question"))).alias("trigram")), "trigram")
     return [
         ranking.top_k(m, 40, order=[F.col("n_matched").desc(), F.col("occurrences").desc(), F.col("chunk_id")]),
-        ranking.top_k(near, 40, order=[F.abs(F.col("n") - 10 * F.length("question")), F.col("chunk_id")]),
-        ranking.top_k(m, 40, order=[F.col("occurrences").desc(), F.col("chunk_id")]),
+        vectors.nearest(owners.join(e, "vec_id").select("chunk_id", "vec"), asked, 40).select("query_id", "chunk_id", "rank"),
+        ranking.top_k(trigrams.groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("n")), 40, order=[F.col("n").desc(), F.col("chunk_id")]).select("query_id", "chunk_id", "rank"),
     ]
 
 
@@ -449,9 +458,22 @@ def structural_merge(s, d):
     return chunking.merged_sections(chunking.structural_groups(_blocks(s, d))).select("document_id", "path", "n_words", "n_blocks")
 
 
-@query()
+@query(_GROUPS.replace("WITH t AS", "WITH RECURSIVE t AS", 1) + f""", o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY run) AS k FROM g),
+m AS (SELECT document_id, k, n_words AS acc, n_words >= 100 AS done FROM o WHERE k = 1
+  UNION ALL SELECT o.document_id, o.k, CASE WHEN m.done THEN o.n_words ELSE m.acc + o.n_words END, CASE WHEN m.done THEN o.n_words ELSE m.acc + o.n_words END >= 100 FROM m JOIN o ON o.document_id = m.document_id AND o.k = m.k + 1),
+gn AS (SELECT o.document_id, o.run, o.k, o.path, coalesce(sum(CAST(done AS INT)) OVER (PARTITION BY o.document_id ORDER BY o.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM m JOIN o ON o.document_id = m.document_id AND o.k = m.k),
+gp AS (SELECT document_id, grp, list(path ORDER BY k)[-1] AS path FROM gn GROUP BY ALL),
+gw AS (SELECT g1.document_id, grp, flatten(list(list_filter(regexp_split_to_array(text, '{_BLANK}'), lambda x: x <> '') ORDER BY block_no)) AS w FROM g1 JOIN gn ON gn.document_id = g1.document_id AND gn.run = g1.run GROUP BY ALL),
+tt AS (SELECT document_id, section_path, min_by(text, block_no) AS heading FROM f WHERE code IS NOT NULL GROUP BY ALL),
+pp AS (SELECT document_id, path, unnest(range(1, len(string_split(path, '.')) + 1)) AS n FROM (SELECT DISTINCT document_id, path FROM gp WHERE path IS NOT NULL)),
+bc AS (SELECT pp.document_id, path, string_agg(heading, ' > ' ORDER BY n) AS heading FROM pp JOIN tt ON tt.document_id = pp.document_id AND tt.section_path = array_to_string(string_split(path, '.')[1:CAST(n AS INT)], '.') GROUP BY ALL),
+pc AS (SELECT document_id, grp, w, unnest(range(0, CAST(ceil(len(w) / 800.0) AS INT))) AS piece FROM gw WHERE len(w) > 0),
+oc AS (SELECT pc.document_id, piece, gp.path AS path, bc.heading, w[CAST(piece * 800 + 1 AS INT):CAST(piece * 800 + 800 AS INT)] AS w, row_number() OVER (PARTITION BY pc.document_id ORDER BY pc.grp, piece) - 1 AS ordinal
+  FROM pc JOIN gp ON gp.document_id = pc.document_id AND gp.grp = pc.grp LEFT JOIN bc ON bc.document_id = pc.document_id AND bc.path = gp.path)
+SELECT document_id, CAST(ordinal AS INT) AS ordinal, path AS section_path, heading, CASE WHEN heading IS NULL THEN '' ELSE heading || chr(10) || chr(10) END || array_to_string(w, ' ') AS content, 1 AS page_from, 1 AS page_to,
+CAST(len(w) + CASE WHEN heading IS NULL THEN 0 ELSE len(list_filter(regexp_split_to_array(heading, '{_BLANK}'), lambda x: x <> '')) END AS INT) AS token_count, CAST(CASE WHEN piece > 0 THEN ordinal - piece END AS INT) AS parent_ordinal FROM oc""")
 def structural_chunks(s, d):
-    return chunking.structural_chunks(_blocks(s, d))
+    return chunking.structural_chunks(_blocks(s, d)).drop("regions")
 
 
 @query(rf""", w AS (SELECT id, ordinal, list_filter(regexp_split_to_array(content, '{_BLANK}'), lambda x: x <> '') AS w FROM c),
@@ -873,7 +895,8 @@ def judge_parse(s, d):
 @query(""", k AS (SELECT DISTINCT config_hash FROM query_logs) SELECT config_hash, id AS question_id FROM k, eval_questions""")
 def experiment_grid(s, d):
     configs = table(s, d, "query_logs").select("config_hash").distinct()
-    return configs.crossJoin(F.broadcast(table(s, d, "eval_questions").select(F.col("id").alias("question_id"))))  # the fixed question set of 300 rows
+    ids = [r.id for r in table(s, d, "eval_questions").select("id").collect()]  # the fixed question set of 300 rows
+    return configs.select("config_hash", F.explode(F.lit(ids)).alias("question_id"))
 
 
 @query(_RUNS + """, a AS (SELECT config_hash, question_id FROM r GROUP BY ALL), k AS (SELECT DISTINCT config_hash FROM query_logs)

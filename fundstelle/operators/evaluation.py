@@ -84,11 +84,12 @@ def abstention_rates(runs: DataFrame, keys: list[str]) -> DataFrame:
 def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """``n, agreement, kappa`` of two raters; 1 if chance agreement is 1."""
     both = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    total, n_a, n_b = Window.partitionBy(), both.groupBy(F.col("a").alias("label")).agg(F.sum("n").alias("n_a")), both.groupBy(F.col("b").alias("label")).agg(F.sum("n").alias("n_b"))
-    observed = both.agg(F.sum("n").alias("n"), (F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)) / F.sum("n")).alias("po"))
-    chance = n_a.join(n_b, "label").agg(F.coalesce(F.sum(F.col("n_a").cast("double") * F.col("n_b")), F.lit(0.0)).alias("s"))
-    pe = F.col("s") / (F.col("n").cast("double") * F.col("n"))
-    return observed.crossJoin(F.broadcast(chance)).select("n", F.col("po").alias("agreement"), F.when(pe == 1, 1.0).otherwise((F.col("po") - pe) / (1 - pe)).alias("kappa"))
+    n_a, n_b = both.groupBy(F.col("a").alias("label")).agg(F.sum("n").alias("n_a")), both.groupBy(F.col("b").alias("label")).agg(F.sum("n").alias("n_b"))
+    counted = both.select("n", F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0).alias("same"), F.lit(0.0).alias("chance"))
+    chance = n_a.join(n_b, "label").select(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("same"), (F.col("n_a").cast("double") * F.col("n_b")).alias("chance"))
+    total = counted.unionByName(chance).agg(F.sum("n").alias("n"), F.sum("same").alias("same"), F.sum("chance").alias("chance"))
+    po, pe = F.try_divide(F.col("same"), F.col("n")), F.try_divide(F.col("chance"), F.col("n").cast("double") * F.col("n"))
+    return total.select("n", po.alias("agreement"), F.when(pe == 1, 1.0).otherwise(F.try_divide(po - pe, 1 - pe)).alias("kappa"))
 
 
 def gate_sweep(questions: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -149,9 +150,9 @@ def rates_by(outcomes: DataFrame, label: str, category: str, value: str) -> Data
 
 
 def best_flags(table: DataFrame, columns: dict[str, bool]) -> DataFrame:
-    """Adds ``best_<column>`` for each column (True: larger is better); all ties win, nulls don't."""
-    best = table.agg(*((F.max(c) if up else F.min(c)).alias(f"_{c}") for c, up in columns.items()))
-    return table.crossJoin(F.broadcast(best)).withColumns({f"best_{c}": F.coalesce(F.col(c) == F.col(f"_{c}"), F.lit(False)) for c in columns}).drop(*(f"_{c}" for c in columns))  # one row
+    """Adds ``best_<column>`` for each column (True: larger is better); all ties win, nulls don't. ``table`` has a row per configuration, which one task holds."""
+    every = Window.partitionBy()
+    return table.withColumns({f"best_{c}": F.coalesce(F.col(c) == (F.max(c) if up else F.min(c)).over(every), F.lit(False)) for c, up in columns.items()})
 
 
 def latest_lines(lines: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
