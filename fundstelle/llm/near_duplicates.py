@@ -271,13 +271,14 @@ def similar_pairs(df: DataFrame, key: str, text: str, shingle: int = SHINGLE, si
 
 
 def groups(df: DataFrame, key: str, text: str, shingle: int = SHINGLE, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``key, group_id, n_texts``: each key with the least class of its group and how many different texts the group has.
+    """``key, group_id, n_texts``: each key with the least key of its group and how many different texts the group has.
 
     Groups are connected parts of the links between different texts; copies are members of their text's class and aren't expanded. Texts
-    without enough words are groups of their own. Null keys and texts have no row.
+    without enough words are grouped with their copies only. Null keys and texts have no row.
     """
     members, texts = _texts(df, key, text)
     labels = connected_classes(texts, shingle, similarity, least_words)
     counted = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n_texts"))
-    placed = members.join(labels.join(counted, "label"), "class", "left")
-    return placed.select("key", F.coalesce("label", "class").alias("group_id"), F.coalesce("n_texts", F.lit(1)).alias("n_texts"))
+    placed = cut_lineage(members.join(labels.join(counted, "label"), "class", "left").select("key", F.coalesce("label", "class").alias("label"), F.coalesce("n_texts", F.lit(1)).alias("n_texts")))
+    least = placed.groupBy("label").agg(F.min("key").alias("group_id"))
+    return placed.join(least, "label").select("key", "group_id", "n_texts")

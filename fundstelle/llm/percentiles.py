@@ -23,9 +23,9 @@ def _gamma(accuracy: float) -> float:
 
 
 def bucket(value: Column, accuracy: float = ACCURACY) -> Column:
-    """Signed bucket: 2k + 1 shifted so that buckets order as their values do; 0 for the value 0, null for null and NaN.
+    """Signed bucket: _BASE + k for a value x > 0, -(_BASE + k) for x < 0, with k = ceil(log_g |x|) > -_BASE; 0 for the value 0, null for null and NaN.
 
-    The bucket of x > 0 is BASE + k, of x < 0 -(BASE + k), with k from -BASE + 1 on.
+    So buckets order as their values do.
     """
     k = F.ceil(F.log(F.abs(value)) / F.lit(math.log(_gamma(accuracy)))).cast("int") + F.lit(_BASE)
     return F.when(value > 0, k).when(value < 0, -k).when(value == 0, F.lit(0))
@@ -43,19 +43,37 @@ def sketch(df: DataFrame, keys: list[str], metrics: dict[str, Column], accuracy:
     """
     clean = {m: F.when(~F.isnan(c.cast("double")), c.cast("double")) for m, c in metrics.items()}
     each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), bucket(c, accuracy).alias("bucket")) for m, c in clean.items())))
-    return df.select(*keys, each.alias("_m")).select(*keys, "_m.metric", "_m.bucket").groupBy(*keys, "metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    counted = df.select(*keys, each.alias("_m")).select(*keys, "_m.metric", "_m.bucket").groupBy(*keys, "metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    return _told(counted, keys, accuracy)
+
+
+def _told(sketched: DataFrame, keys: list[str], accuracy: float | None) -> DataFrame:
+    """The sketch with its accuracy in the metadata of ``bucket``, which written tables keep."""
+    told = F.col("bucket") if accuracy is None else F.col("bucket").alias("bucket", metadata={"accuracy": accuracy})
+    return sketched.select(*keys, "metric", told, "n")
+
+
+def accuracy_of(sketched: DataFrame) -> float | None:
+    """The accuracy a sketch was made with; None if it doesn't tell."""
+    return sketched.schema["bucket"].metadata.get("accuracy")
 
 
 def merge(sketches: list[DataFrame], keys: list[str]) -> DataFrame:
-    """One sketch of several, or of one by fewer keys (per day to overall): equal buckets add up."""
-    return reduce(DataFrame.unionByName, (s.select(*keys, "metric", "bucket", "n") for s in sketches)).groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
+    """One sketch of several, or of one by fewer keys (per day to overall): equal buckets add up. Sketches of different accuracies are refused."""
+    known = {a for s in sketches if (a := accuracy_of(s)) is not None}
+    if len(known) > 1:
+        raise ValueError(f"sketches of different accuracies: {sorted(known)}")
+    whole = reduce(DataFrame.unionByName, (s.select(*keys, "metric", "bucket", "n") for s in sketches)).groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
+    return _told(whole, keys, next(iter(known), None))
 
 
 def percentiles(sketched: DataFrame, keys: list[str], shares: dict[str, float], accuracy: float = ACCURACY) -> DataFrame:
     """``keys, metric, n_values, n_null`` and a column per share: the value at rank floor(share * (n - 1)) + 1.
 
-    A group without values has null percentiles. The window runs over buckets, not over values.
+    A group without values has null percentiles. The window runs over buckets, not over values. ``accuracy`` must be the sketch's.
     """
+    if accuracy_of(sketched) not in (None, accuracy):
+        raise ValueError(f"the sketch has the accuracy {accuracy_of(sketched)}")
     group = Window.partitionBy(*keys, "metric")
     g = _gamma(accuracy)
     size = F.pow(F.lit(g), (F.abs("bucket") - _BASE).cast("double")) * (2 / (1 + g))

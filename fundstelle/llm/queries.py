@@ -174,7 +174,21 @@ n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
 common AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b USING (shingle) WHERE a.id < b.id GROUP BY a.id, b.id)
 SELECT a AS chunk_id_a, b AS chunk_id_b FROM common JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k >= 0.5 * (x.n + y.n - k)"""
 
+_P1_CLEANED = f"""
+WITH found AS ({_P1}), gone AS (SELECT chunk_id, list(line_no) AS gone FROM found GROUP BY 1), texts AS (SELECT id AS chunk_id, first(content) AS content FROM chunks WHERE id IS NOT NULL GROUP BY 1)
+SELECT chunk_id, CASE WHEN gone IS NULL THEN content ELSE array_to_string(list_filter(string_split(content, chr(10)), lambda x, i: NOT list_contains(gone, CAST(i - 1 AS INT))), chr(10)) END AS content
+FROM texts LEFT JOIN gone USING (chunk_id)"""
+
+_P4_GROUPS = f"""
+WITH RECURSIVE pairs AS ({_P4}), texts AS (SELECT id, first(content) AS content FROM chunks WHERE id IS NOT NULL AND content IS NOT NULL GROUP BY 1),
+links AS (SELECT chunk_id_a AS a, chunk_id_b AS b FROM pairs UNION SELECT chunk_id_b, chunk_id_a FROM pairs UNION SELECT x.id, y.id FROM texts x JOIN texts y ON x.content = y.content),
+reach AS (SELECT id AS a, id AS b FROM texts UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+part AS (SELECT a AS chunk_id, min(b) AS group_id FROM reach GROUP BY a), sizes AS (SELECT group_id, count(DISTINCT content) AS n_texts FROM part JOIN texts ON id = chunk_id GROUP BY 1)
+SELECT chunk_id, group_id, n_texts FROM part JOIN sizes USING (group_id)"""
+
 ORACLE: dict[str, str] = {
+    "p1_cleaned": _P1_CLEANED,
+    "p4_groups": _P4_GROUPS,
     "p3_found": _P3,
     "p4_found": _P4,
     "p1_found": _P1,

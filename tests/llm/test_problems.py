@@ -123,6 +123,15 @@ def test_log_rows(spark):
     assert got == sorted([("a", 5, None), ("a", 7, None), ("a", 7, None), (None, None, None), ("a", None, None)], key=repr)
 
 
+def test_sketches_of_different_accuracies_are_refused(spark):
+    df = spark.createDataFrame([("g", 5.0)], "g string, v double")
+    fine, coarse = (percentiles.sketch(df, ["g"], {"v": F.col("v")}, a) for a in (0.01, 0.05))
+    assert percentiles.accuracy_of(percentiles.merge([fine, fine], ["g"])) == 0.01
+    for wrong in (lambda: percentiles.merge([fine, coarse], ["g"]), lambda: percentiles.percentiles(coarse, ["g"], {"p": 0.5}, 0.01)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
 def test_day_sketches_combine(spark):
     whole = rows(Q.QUERIES["p2_by_day"](spark, SMALL), "day", "metric", "p50", "p95", "p99")
     direct = rows(percentiles.percentiles(percentiles.log_sketch(spark.read.parquet(f"{SMALL}/query_logs.parquet"), ["day"]), ["day"], percentiles.SHARES), "day", "metric", "p50", "p95", "p99")
@@ -255,7 +264,7 @@ def test_groups_are_the_parts_of_all_pairs(spark):
     pairs = defaultdict(set)
     for k, g in found.items():
         pairs[g, wanted[k] if len(WORD.findall(content[k])) >= 40 else content[k]].add(k)
-    assert len({g for g, _ in pairs}) == len({w for _, w in pairs}) == len(pairs)
+    assert len({g for g, _ in pairs}) == len({w for _, w in pairs}) == len(pairs) and all(g == min(members) for (g, _), members in pairs.items())
 
 
 def test_many_variants_cost_few_tries(spark, monkeypatch):
