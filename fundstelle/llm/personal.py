@@ -296,7 +296,7 @@ def _triples(kinds: np.ndarray) -> np.ndarray:
 
 
 #: Shares of words whose identity is hidden in training: of names, and of other words with a capital; and of these the share of which only the shape is seen.
-HIDDEN_NAMES, HIDDEN_OTHERS, BARE = 0.65, 0.4, 0.3
+HIDDEN_NAMES, HIDDEN_OTHERS, BARE = 0.75, 0.5, 0.45
 
 
 @functools.lru_cache(4)

@@ -213,3 +213,51 @@ Das Ohmsche Gesetz verknüpft Strom und Spannung.
 Die Anlage Nord meldet Störung 302 an Kanal 7.
 Wasser, Strom und Gas werden getrennt abgerechnet.
 """
+
+#: A second set, written after the table was finished and not used to change it.
+UNSEEN = """
+Die Abnahme übernahm diesmal {n:Gerold Wichmann}, weil der Chef krank war.
+Nachmittags telefonierte ich lange mit {n:Marlene Sprenger} aus der Buchhaltung.
+Der Betriebsrat wählte {n:Hakan Toprak} zum Sprecher.
+{n:Frau |Eickhoff} hat das Ventil bereits bestellt.
+An der Pressekonferenz nahmen {n:Ansgar Hüls} und {n:Teresa Monti} teil.
+Falls {n:Herr |Kalthoff} anruft, bin ich in der Werkstatt.
+Die Schweißnähte prüft {n:Jannik Overhage} mit Ultraschall.
+Im Protokoll fehlt die Unterschrift von {n:Wolfram Siebert}.
+{n:Dorothea Lampe} leitete den Versuch, {n:P. Rennert} schrieb mit.
+Kennt jemand die Adresse von {n:Friedhelm Tacke}?
+Unsere Auszubildende {n:Shirin Rahimi} baut den Prüfstand um.
+Der Vermieter, {n:Heribert Nagel}, wohnt {a:Am Bleichgraben 7}.
+Das teilte {n:Staatssekretärin |Beatrix Sander} am Freitag mit.
+Herzlichst\\n{n:Cordula Weidlich}
+Lieber {n:Konstantin}, bitte bring die Schlüssel mit.
+{n:Terhart, Sonja} (Einkauf) hat zugesagt.
+Beim Abbau half auch {n:Nachbar |Wessels}.
+Ohne die Notizen von {n:Magnus Ahlers} wären wir verloren.
+Rückgabe an {n:Tilman Roloff}, {a:Kiefernweg 33}, 29525 Uelzen.
+{n:Hannelore Pütz} erreichte man nie, auch nicht unter {p:0202 7719044}.
+Fragen zur Charge beantwortet {n:Dr. |Ruth Angermann} ({e:ruth.angermann@chemie.example}).
+We owe the idea to {n:Harold Winslow} and {n:Beatrice Okafor}.
+{n:Ms |Delacroix} will chair the session on Thursday.
+The gauge was read by {n:Tobin Marsh} twice a day.
+After the accident {n:Leila Haddad} called the control room.
+Sincerely,\\n{n:Cyril Dunmore}\\n{a:18 Harcourt Road}
+Contact {n:Nadia Petrov} on {p:+44 20 7946 0777}.
+Our office moved to {a:62 Granary Row} last spring.
+Sie finden uns in der {a:Sophienstraße 21}, gleich neben der Post.
+Der Tatort liegt {a:Hinter der Kelter 4}.
+Umleitung ab {a:Dresdner Straße 155} bis zum Kreisel.
+Wer die Nummer {p:0911/553 20 17} wählt, landet beim Notdienst.
+SMS bitte an {p:0170 4492018}.
+Antworten Sie ausschließlich an {e:umfrage2026@institut.example}.
+Die Kaution wurde auf {i} eingezahlt.
+Geben Sie beim Zoll {i} an.
+Die Kupplung läuft trocken und pfeift bei Kälte.
+Am Nordtor wird im Herbst ein neuer Kran montiert.
+Kapitel 7 behandelt Werkstoffe, Kapitel 8 Schmierung.
+The red lamp means that the pump has stopped.
+Die Messreihe 12 wurde ohne Befund beendet.
+Zwei Bolzen M12 und eine Mutter fehlen noch.
+Die Schicht beginnt um sechs und endet um zwei.
+Der Zander-Filter und das Otto-Verfahren gelten als veraltet.
+"""

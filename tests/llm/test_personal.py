@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 
 from fundstelle.llm import crf, labelled, personal
 from fundstelle.llm.identity import card_check, iban_check, insurance_check, tax_check
-from tests.llm.sentences import SENTENCES
+from tests.llm.sentences import SENTENCES, UNSEEN
 
 _KIND = {"n": "name", "a": "address", "p": "phone", "e": "email", "i": "id_number"}
 
 
-def parsed():
+def parsed(sentences=SENTENCES):
     """(text, [(start, end, kind)]) of each sentence; numbers are made with right check digits. Titles before the bar aren't part of a name."""
     make, out = labelled._Maker([], [], random.Random(99)), []
-    for line in SENTENCES.strip().split("\n"):
+    for line in sentences.strip().split("\n"):
         line, *named = line.replace("\\n", "\n").split("|{n:") if "|{n:" in line and line.endswith("}") and not line.startswith("{") else [line.replace("\\n", "\n")]
         text, marks, at = "", [], 0
         for m in re.finditer(r"\{([napei])(?::([^{}]*))?\}", line):
@@ -60,6 +60,12 @@ def test_sentences_apart_from_the_frames(scorer):
         assert right[kind] / found[kind] >= precision, (kind, right, found)
 
 
+def test_sentences_not_seen_before(scorer):
+    right, found, wanted = counts(scorer, parsed(UNSEEN))
+    assert wanted["name"] >= 25 and right["name"] / wanted["name"] >= 0.75 and right["name"] / found["name"] >= 0.8, (right, found, wanted)
+    assert all(right[k] / wanted[k] >= 0.8 for k in ("address", "phone", "email", "id_number")), (right, wanted)
+
+
 def test_field_on_held_out_rows(scorer):
     right, found, wanted = counts(scorer, labelled.rows(["Anna", "Otto", "Milla"], ["Feder", "Bruchwinkel", "Kornhof"], 900, seed=77))
     assert right.total() / found.total() > 0.93 and right.total() / wanted.total() > 0.93
