@@ -13,7 +13,7 @@ Only documents at least half of whose distinct chunks are marked as scanned are
 5. paragraphs are put together by windows over the lines (``paragraphs``).
 
 All counts are taken by key with partial aggregation; texts are handled chunk by chunk, so no document or group is collected. Pairs of
-neighbours are counted only for possible printed forms, which a Bloom filter of fixed size tells.
+neighbours are counted only where a scanned text asks for them, which a Bloom filter of fixed size tells.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from fundstelle.functions.arrow import ints, longs, map_batches, strings
 from fundstelle.llm.bloom import filter_of, may_hold
-from fundstelle.llm.text import WORD, WordHashes
+from fundstelle.llm.text import WORD, WordHashes, mix64
 from fundstelle.session import cut_lineage, small_side
 
 #: Pairs of what was printed and what is read for it.
@@ -223,7 +223,6 @@ class _Parts:
         dropped = self.furniture.groupBy(F.col("chunk_id").alias("id")).agg(F.collect_list("line_no").alias("furniture"))
         self.with_furniture = cut_lineage(base.join(dropped, "id", "left"))
         self.texts, self.raw = texts, raw
-        self.body = map_batches(self.with_furniture, _body, "chunk_id string, line_no int, kind string, word string, here int, rest_line int, before string, after string", by="content")
         read = map_batches(self.with_furniture, _count_body, "word string, n long", by="content").groupBy("word").agg(F.sum("n").alias("n_read"))
         # Words of unscanned texts are all words less those of scanned ones, repeated rows included in both.
         every = map_batches(texts, _count_words, "word string, n long", by="content")
@@ -231,23 +230,44 @@ class _Parts:
         clean = every.unionByName(inside).groupBy("word").agg(F.sum("n").alias("n_clean"))
         words = clean.join(read, "word", "full").select("word", F.coalesce("n_clean", F.lit(0)).alias("n_clean"), F.coalesce("n_read", F.lit(0)).alias("n_read"))
         self.words = cut_lineage(words.filter("n_clean > 0 OR n_read > 0"))
+        self.misread = small_side(misread_words(self))
+        self.body = cut_lineage(_body(self.with_furniture, self.misread))
 
 
-def _body(batch: pa.RecordBatch) -> dict | None:
-    rows = []
-    for key, text, furniture in zip(*(batch[c].to_pylist() for c in ("id", "content", "furniture")), strict=True):
-        ends, found = body_words(text.split("\n"), set(furniture or ()))
-        rows += [(key, k, "hyphen", None, 0, k, None, None) for k in ends]
-        beside = neighbours([(w, number) for _, w, _, _, number in found])
-        for (k, w, here, rest, number), (before, after) in zip(found, beside, strict=True):
-            if number and not w.isdigit():
-                rows.append((key, k, "digits", w, here, rest, before, after))
-            elif not number and len(w) > 1:
-                rows.append((key, k, "word", w, here, rest, before, after))
-    if not rows:
-        return None
-    c = list(zip(*rows, strict=True))
-    return {"chunk_id": strings(c[0]), "line_no": ints(c[1]), "kind": strings(c[2]), "word": strings(c[3]), "here": ints(c[4]), "rest_line": ints(c[5]), "before": strings(c[6]), "after": strings(c[7])}
+def _hash_filter(words: DataFrame, column: str):
+    """A Bloom filter of a column of words, sent to the workers."""
+    known = WordHashes()
+
+    def hashed(batch: pa.RecordBatch) -> dict:
+        return {"h": longs(known.of(batch[column].to_pylist()).view(np.int64))}
+
+    return words.sparkSession.sparkContext.broadcast(filter_of(map_batches(words.select(column).distinct(), hashed, "h long"), "h", BITS))
+
+
+def _body(with_furniture: DataFrame, misread: DataFrame) -> DataFrame:
+    """``chunk_id, line_no, kind, word, here, rest_line, before, after``: lines that end inside a word (hyphen), numbers with letters (digits), and words that
+    may be misread forms (word; a filter tells, the join with the forms decides). All other words are left out here."""
+    sent, known = _hash_filter(misread, "word"), WordHashes()
+
+    def run(batch: pa.RecordBatch) -> dict | None:
+        rows = []
+        for key, text, furniture in zip(*(batch[c].to_pylist() for c in ("id", "content", "furniture")), strict=True):
+            ends, found = body_words(text.split("\n"), set(furniture or ()))
+            rows += [(key, k, "hyphen", None, 0, k, None, None) for k in ends]
+            held = may_hold(sent.value, known.of([f[1] for f in found]))
+            wanted = [n for n, (_, w, _, _, number) in enumerate(found) if (not w.isdigit() if number else held[n] and len(w) > 1)]
+            if wanted:
+                beside = neighbours([(w, number) for _, w, _, _, number in found])
+                for n in wanted:
+                    k, w, here, rest, number = found[n]
+                    rows.append((key, k, "digits" if number else "word", w, here, rest, *beside[n]))
+        if not rows:
+            return None
+        c = list(zip(*rows, strict=True))
+        return {"chunk_id": strings(c[0]), "line_no": ints(c[1]), "kind": strings(c[2]), "word": strings(c[3]), "here": ints(c[4]), "rest_line": ints(c[5]), "before": strings(c[6]), "after": strings(c[7])}
+
+    schema = "chunk_id string, line_no int, kind string, word string, here int, rest_line int, before string, after string"
+    return map_batches(with_furniture, run, schema, by="content")
 
 
 def _count_body(batch: pa.RecordBatch) -> dict:
@@ -296,29 +316,42 @@ def misread_words(parts: _Parts) -> DataFrame:
     return map_batches(pairs.select("word", "form", "n_form"), explained, "word string, printed string, places array<int>, cost int, n_form long")
 
 
-def _clean_pairs(parts: _Parts, forms: DataFrame) -> DataFrame:
-    """``printed, side, neighbour, n``: how often unscanned texts have a neighbour before (side b) or after (side a) one of the forms."""
+def _pair_keys(form: np.ndarray, neighbour: np.ndarray, side: int) -> np.ndarray:
+    """Hashes of forms with a neighbour before (side 1) or after (side 2) them."""
+    return mix64(form ^ mix64(neighbour + np.uint64(side)))
+
+
+def _clean_pairs(parts: _Parts, asked: DataFrame) -> DataFrame:
+    """``printed, side, neighbour, n`` of ``asked(printed, side, neighbour)``: how often unscanned texts have the neighbour before (side b) or after (side a)
+    the form. A filter of what is asked tells which of a text's neighbours are counted at all."""
     known = WordHashes()
 
     def hashed(batch: pa.RecordBatch) -> dict:
-        return {"h": longs(known.of(batch["printed"].to_pylist()).view(np.int64))}
+        form, beside = (known.of(batch[c].to_pylist()) for c in ("printed", "neighbour"))
+        before = np.array([x == "b" for x in batch["side"].to_pylist()])
+        return {"h": longs(np.where(before, _pair_keys(form, beside, 1), _pair_keys(form, beside, 2)).view(np.int64))}
 
-    sent = parts.texts.sparkSession.sparkContext.broadcast(filter_of(map_batches(forms, hashed, "h long"), "h", BITS))
+    sent = parts.texts.sparkSession.sparkContext.broadcast(filter_of(map_batches(asked, hashed, "h long"), "h", BITS))
 
     def count(batch: pa.RecordBatch) -> dict:
-        n: Counter = Counter()
-        for text in batch["content"].to_pylist():
-            found = WORD.findall(_NUMBER_RUN.sub(MASK, text))
-            held = np.flatnonzero(may_hold(sent.value, known.of(found))).tolist()
-            n.update((found[k], "b", found[k - 1]) for k in held if k)
-            n.update((found[k], "a", found[k + 1]) for k in held if k + 1 < len(found))
+        each = [WORD.findall(_NUMBER_RUN.sub(MASK, text)) for text in batch["content"].to_pylist()]
+        found = [w for own in each for w in own]
+        h, n = known.of(found), Counter()
+        inner = np.ones(max(0, len(found) - 1), bool)
+        ends = np.cumsum([len(own) for own in each])
+        inner[[e - 1 for e in ends[:-1] if 0 < e < len(found)]] = False  # the last word of a text and the first of the next
+        for side, name in ((1, "b"), (2, "a")):
+            form, beside = (h[1:], h[:-1]) if side == 1 else (h[:-1], h[1:])
+            for k in np.flatnonzero(inner & may_hold(sent.value, _pair_keys(form, beside, side))).tolist():
+                n[(found[k + 1], name, found[k]) if side == 1 else (found[k], name, found[k + 1])] += 1
         c = list(zip(*n, strict=True)) if n else ((), (), ())
         return {"printed": strings(c[0]), "side": strings(c[1]), "neighbour": strings(c[2]), "n": longs(n.values())}
 
     schema = "printed string, side string, neighbour string, n long"
     every = map_batches(parts.texts, count, schema, by="content")
     inside = map_batches(parts.raw, count, schema, by="content").withColumn("n", -F.col("n"))
-    return every.unionByName(inside).groupBy("printed", "side", "neighbour").agg(F.sum("n").alias("n")).filter("n > 0")
+    counted = every.unionByName(inside).groupBy("printed", "side", "neighbour").agg(F.sum("n").alias("n")).filter("n > 0")
+    return counted.join(asked, ["printed", "side", "neighbour"], "left_semi")
 
 
 _NUMBER_RUN = re.compile(r"(?<![^\W_])\d+(?:[.,]\d+)*(?![^\W_])")
@@ -330,15 +363,13 @@ def misread_places_in_texts(parts: _Parts) -> DataFrame:
     Of several forms that may have been printed, those that unscanned texts have beside the same neighbours come first, then the least misread,
     then the most frequent. A number with letters that unscanned texts have too (or a letter alone) counts only if they have a number beside one of its neighbours.
     """
-    misread = small_side(misread_words(parts))
     of_digits = F.lit(MASK).alias("printed"), F.array().cast("array<int>").alias("places"), F.lit(0).alias("cost"), F.lit(0).cast("long").alias("n_form")
     at = ["chunk_id", "line_no", "rest_line", "here", "word", "kind", "before", "after"]
     body = parts.body.filter("kind <> 'hyphen'").select(*at)
-    found = cut_lineage(body.filter("kind = 'word'").join(misread, "word").select(*at, "printed", "places", "cost", "n_form").unionByName(body.filter("kind = 'digits'").select(*at, *of_digits)))
-    clean = small_side(_clean_pairs(parts, found.select("printed").distinct()))
+    found = cut_lineage(body.filter("kind = 'word'").join(parts.misread, "word").select(*at, "printed", "places", "cost", "n_form").unionByName(body.filter("kind = 'digits'").select(*at, *of_digits)))
     asked = found.select("printed", F.explode(F.array(F.struct(F.lit("b").alias("side"), F.col("before").alias("neighbour")), F.struct(F.lit("a").alias("side"), F.col("after").alias("neighbour")))).alias("q"))
-    asked = asked.select("printed", "q.side", "q.neighbour").filter("neighbour IS NOT NULL").distinct()
-    held = asked.join(clean, ["printed", "side", "neighbour"])
+    asked = cut_lineage(asked.select("printed", "q.side", "q.neighbour").filter("neighbour IS NOT NULL").distinct())
+    held = cut_lineage(_clean_pairs(parts, asked))
     support = [held.filter(F.col("side") == side).select("printed", F.col("neighbour").alias(name), F.col("n").alias(f"n_{name}")) for side, name in (("b", "before"), ("a", "after"))]
     both = found.join(small_side(support[0]), ["printed", "before"], "left").join(small_side(support[1]), ["printed", "after"], "left")
     sides = F.col("n_before").isNotNull().cast("int") + F.col("n_after").isNotNull().cast("int")
