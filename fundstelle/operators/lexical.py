@@ -14,6 +14,7 @@ from fundstelle.functions import python as P
 from fundstelle.functions import text as T
 from fundstelle.functions.arrow import map_batches, strings
 from fundstelle.operators.ranking import top_k
+from fundstelle.session import cut_lineage, small_side
 
 
 def parse_web(text: str) -> dict[str, list]:
@@ -44,10 +45,36 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def match(chunks: DataFrame, queries: DataFrame, every: bool, text: str = "content_norm") -> DataFrame:
     """``query_id, chunk_id, n_matched, occurrences``: chunks with all, or with any, of a query's terms."""
+    if every:
+        asked = queries.select("query_id", F.array_distinct(T.terms(F.col("question"))).alias("need"), F.array().cast("array<string>").alias("never"))
+        own = chunks.select(F.col("id").alias("chunk_id"), T.terms(F.col(text)).alias("terms"))
+        occurrences = F.size(F.filter("held", lambda x: F.array_contains("need", x))).cast("long")
+        return _holding(own, cut_lineage(asked.distinct())).select("query_id", "chunk_id", F.size("need").cast("long").alias("n_matched"), occurrences.alias("occurrences"))
     wanted = query_terms(queries)
     each = chunks.select(F.col("id").alias("chunk_id"), F.explode(T.terms(F.col(text))).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("n"))
     found = each.join(wanted, "term").groupBy("query_id", "chunk_id", "n_terms").agg(F.count(F.lit(1)).alias("n_matched"), F.sum("n").alias("occurrences"))
-    return (found.filter("n_matched = n_terms") if every else found).select("query_id", "chunk_id", "n_matched", "occurrences")
+    return found.select("query_id", "chunk_id", "n_matched", "occurrences")
+
+
+def _holding(own: DataFrame, asked: DataFrame) -> DataFrame:
+    """``query_id, chunk_id, need, held``: chunks of ``own(chunk_id, terms)`` that have all of ``need`` and none of ``never``, both distinct arrays of ``asked(query_id, need, never)``, which is read several times; an empty ``need`` matches nothing.
+
+    Terms of any query get numbers, and each chunk keeps its own as ``held``. A match has the rarest term of its query, so chunks are joined on that one only, and the
+    others are tested in the join: pairs that don't match are never shuffled. Up to ``SMALL_ROWS`` terms and queries are sent to the executors, more are joined by shuffling.
+    """
+    numbers = small_side(asked.select(F.explode(F.concat("need", "never")).alias("term")).distinct().withColumn("number", F.monotonically_increasing_id()))
+    each = own.select("chunk_id", F.explode("terms").alias("term")).join(numbers, "term")
+    held = cut_lineage(each.groupBy("chunk_id").agg(F.collect_list("number").alias("held")))
+    probes = held.select("chunk_id", "held", F.explode(F.array_distinct("held")).alias("rarest"))
+    counts = probes.groupBy(F.col("rarest").alias("number")).agg(F.count(F.lit(1)).alias("df"))
+    tagged = F.concat(F.transform("need", lambda x: F.struct(x.alias("term"), F.lit(True).alias("must"))), F.transform("never", lambda x: F.struct(x.alias("term"), F.lit(False).alias("must"))))
+    terms = asked.withColumn("t", F.explode(tagged)).select("query_id", "need", "never", "t.*").join(numbers.join(counts, "number"), "term")
+    ranked = F.array_sort(F.collect_list(F.when(F.col("must"), F.struct("df", "number"))))
+    numbered = terms.groupBy("query_id", "need", "never").agg(ranked.alias("ranked"), F.collect_list(F.when(~F.col("must"), F.col("number"))).alias("never_held"))
+    whole = numbered.filter("size(ranked) = size(need) AND size(need) > 0").select("query_id", F.col("ranked.number").alias("need"), F.col("never_held").alias("never"))
+    sides = small_side(whole.select("query_id", F.col("need")[0].alias("rarest"), F.coalesce(F.get("need", F.lit(1)), F.col("need")[0]).alias("second"), "need", "never"))
+    others = F.array_contains("held", F.col("second")) & F.forall("need", lambda x: F.array_contains("held", x)) & ~F.arrays_overlap("held", "never")
+    return probes.join(sides, "rarest").filter(others).select("query_id", "chunk_id", "need", "held")
 
 
 def match_web(chunks: DataFrame, queries: DataFrame, text: str = "content_norm") -> DataFrame:

@@ -118,6 +118,17 @@ def test_full_text(spark):
     assert values(lexical.search_german(c, q, 5, every=True), "chunk_id") == [("1",)]
 
 
+def test_all_terms_are_tested_in_the_join(spark, monkeypatch):
+    c = spark.createDataFrame([("1", "die prüfung der bremse die"), ("2", "bremse"), ("3", "prüfung die bremse prüfung")], "id string, content_norm string")
+    q = spark.createDataFrame([("q", "Prüfung Bremse die"), ("q", "Prüfung Bremse die"), ("o", "bremse"), ("x", "bremse achse")], "query_id string, question string")
+    expected = [("o", "1", 1, 1), ("o", "2", 1, 1), ("o", "3", 1, 1), ("q", "1", 3, 4), ("q", "3", 3, 4)]
+    found = lexical.match(c, q, True)
+    assert values(found, "query_id", "chunk_id", "n_matched", "occurrences") == expected
+    assert "Exchange hashpartitioning(query_id" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(lexical, "small_side", lexical.cut_lineage)  # as with too many queries to send
+    assert values(lexical.match(c, q, True), "query_id", "chunk_id", "n_matched", "occurrences") == expected
+
+
 def test_trigram_search(spark):
     c = spark.createDataFrame([("1", "siehe lh3.2.1 dort"), ("2", "nichts"), ("3", None)], "id string, content_norm string")
     q = spark.createDataFrame([("q", "Was sagt LH-3.2.1?"), ("n", "kein code")], "query_id string, question string")
