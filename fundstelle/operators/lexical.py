@@ -6,7 +6,7 @@ import re
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -56,6 +56,12 @@ def match(chunks: DataFrame, queries: DataFrame, every: bool, text: str = "conte
     return found.select("query_id", "chunk_id", "n_matched", "occurrences")
 
 
+def _runs(n: int) -> Column:
+    """All runs of ``n`` consecutive words of the column ``terms``, a blank between."""
+    runs = F.transform(F.sequence(F.lit(1), F.size("terms") - n + 1), lambda i: F.array_join(F.slice("terms", i, n), " "))
+    return F.when(F.size("terms") >= n, runs).otherwise(F.array().cast("array<string>"))
+
+
 def _holding(own: DataFrame, asked: DataFrame) -> DataFrame:
     """``query_id, chunk_id, need, held``: chunks of ``own(chunk_id, terms)`` that have all of ``need`` and none of ``never``, both distinct arrays of ``asked(query_id, need, never)``, which is read several times; an empty ``need`` matches nothing.
 
@@ -80,7 +86,7 @@ def _holding(own: DataFrame, asked: DataFrame) -> DataFrame:
 def match_web(chunks: DataFrame, queries: DataFrame, text: str = "content_norm") -> DataFrame:
     """``query_id, chunk_id`` for web-style queries: all words, quoted phrases as consecutive words, no -word. A query of only -words matches nothing.
 
-    Candidates come from the equi join on all required terms; phrases and exclusions are then tested on the chunk's own terms.
+    Phrases are terms of several words, which are looked up like words: the same runs of words are taken from the chunks, for each length that a phrase has.
     """
     parsed = StructType([StructField("must", ArrayType(StringType())), StructField("must_not", ArrayType(StringType())), StructField("phrases", ArrayType(ArrayType(StringType())))])
 
@@ -89,12 +95,11 @@ def match_web(chunks: DataFrame, queries: DataFrame, text: str = "content_norm")
         return pd.DataFrame([parse_web(q or "") for q in question], columns=["must", "must_not", "phrases"])
 
     q = queries.select("query_id", parse("question").alias("p")).select("query_id", "p.*")
-    required = q.select("query_id", F.array_join(F.concat("must", F.flatten("phrases")), " ").alias("question"))
-    found = match(chunks, required, True, text).select("query_id", "chunk_id").join(q.select("query_id", "must_not", "phrases"), "query_id")
-    own = chunks.select(F.col("id").alias("chunk_id"), T.terms(F.col(text)).alias("terms"))
-    line = F.concat(F.lit(" "), F.array_join("terms", " "), F.lit(" "))
-    held = F.forall("phrases", lambda p: F.contains(line, F.concat(F.lit(" "), F.array_join(p, " "), F.lit(" "))))
-    return found.join(own, "chunk_id").filter(held & ~F.arrays_overlap("terms", "must_not")).select("query_id", "chunk_id")
+    need = F.array_distinct(F.concat(T.terms(F.array_join("must", " ")), F.transform("phrases", lambda p: F.array_join(p, " "))))
+    asked = cut_lineage(q.select("query_id", need.alias("need"), F.array_distinct("must_not").alias("never")).distinct())
+    lengths = asked.select(F.explode("need").alias("term")).select(F.size(F.split("term", " ")).alias("n")).filter("n > 1").distinct().collect()
+    own = chunks.select(F.col("id").alias("chunk_id"), T.terms(F.col(text)).alias("terms")).select("chunk_id", F.concat("terms", *[_runs(r["n"]) for r in lengths]).alias("terms"))
+    return _holding(own, asked).select("query_id", "chunk_id")
 
 
 def search_terms(chunks: DataFrame, queries: DataFrame, k: int, every: bool = False) -> DataFrame:

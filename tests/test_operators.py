@@ -109,6 +109,14 @@ def test_web_search(spark):
     assert values(lexical.match_web(c, q), "query_id", "chunk_id") == [("q", "1")]
 
 
+def test_web_phrases_of_any_length(spark):
+    c = spark.createDataFrame([("1", "Die rote, lange Linie der Bremse"), ("2", "rote linie lange linie"), ("3", "lange linie"), ("4", "rote lange linie alt")], "id string, content_norm string")
+    rows = [("two", '"lange linie"'), ("two", '"lange linie"'), ("three", '"rote lange linie" -alt'), ("mixed", 'bremse "die rote lange linie" "linie der"'), ("apart", '"rote linie der"'), ("none", '"lange linie" -linie')]
+    found = lexical.match_web(c, spark.createDataFrame(rows, "query_id string, question string"))
+    assert values(found, "query_id", "chunk_id") == [("mixed", "1"), ("three", "1"), ("two", "1"), ("two", "2"), ("two", "3"), ("two", "4")]
+    assert "Exchange hashpartitioning(query_id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_full_text(spark):
     c = spark.createDataFrame([("1", "die prüfung der bremse"), ("2", "bremse"), ("3", None), ("4", "")], "id string, content_norm string")
     q = spark.createDataFrame([("q", "Prüfung Bremse"), ("e", ""), ("n", None)], "query_id string, question string")
