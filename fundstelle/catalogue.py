@@ -1130,8 +1130,8 @@ def stream_daily_budget(s, d):
 @query(rf""", w AS (SELECT id, list_filter(regexp_split_to_array(answer, '{_BLANK}'), lambda x: x <> '') AS w FROM l WHERE answer IS NOT NULL) SELECT id AS request_id, array_to_string(w, '') AS text FROM w WHERE len(w) > 0""")
 def stream_token_assembly(s, d):
     """Answers as streams of words with an end mark; state is kept per request until it comes."""
-    w = T.words(F.col("answer"))
     once = _log_stream(s, d).filter("id IS NOT NULL").withWatermark("created_at", "60 days").dropDuplicatesWithinWatermark(["id"])
-    deltas = once.select(F.col("id").alias("request_id"), F.col("created_at").alias("ts"), F.posexplode(F.concat(w, F.array(F.lit("")))).alias("pos", "text"), F.size(w).alias("n")).filter("n > 0")
+    split = once.select(F.col("id").alias("request_id"), F.col("created_at").alias("ts"), T.words(F.col("answer")).alias("w")).filter("size(w) > 0")  # once per answer, not per word
+    deltas = split.select("request_id", "ts", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "text"), F.size("w").alias("n"))
     deltas = deltas.select("request_id", "ts", F.col("pos").cast("long").alias("seq"), "text", F.when(F.col("pos") == F.col("n"), "stop").alias("finish_reason"))
     return streams.result(streams.token_streams(deltas, late=None), "append").select("request_id", "text")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -41,8 +44,32 @@ def daily_questions(logs: DataFrame, limit: int, late: str = "2 days", key: str
     return counted.select(F.col("w.start").cast("date").alias("day"), "n", (F.col("n") >= limit).alias("exhausted"))
 
 
+#: Requests whose state is kept in one row: Python is called once per group instead of once per request, and a micro-batch rewrites only the groups it touches.
+GROUPS = 1024
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring deltas of one request and ``ts`` whose ``seq`` goes on by one as one row: ``first`` and the ``lengths`` of the pieces of ``text``, and the last reason that isn't empty."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        seq, text = batch["seq"].to_numpy(zero_copy_only=False), pc.fill_null(batch["text"], "")
+        starts = np.concatenate([[True], seq[1:] != seq[:-1] + 1])
+        for c in [x for x in ("request_id", "ts") if x in batch.schema.names]:
+            starts[1:] |= pc.fill_null(pc.not_equal(batch[c][1:], batch[c][:-1]), True).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(starts)
+        ends = np.append(at, batch.num_rows).astype(np.int32)
+        told = np.flatnonzero(pc.fill_null(pc.not_equal(batch["finish_reason"], ""), False).to_numpy(zero_copy_only=False))
+        last = np.searchsorted(told, ends[1:]) - 1
+        last = np.where((last >= 0) & (np.append(told, 0)[last] >= at), np.append(told, 0)[last], -1)
+        columns = {c: batch[c].take(pa.array(at)) for c in batch.schema.names if c in ("request_id", "ts")}
+        lengths = pa.ListArray.from_arrays(pa.array(ends), pc.utf8_length(text).cast(pa.int32()))
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), text), "")
+        yield pa.RecordBatch.from_pydict(columns | {"first": batch["seq"].take(pa.array(at)), "lengths": lengths, "text": whole, "finish_reason": batch["finish_reason"].take(pa.array(last, mask=last < 0))})
+
+
 def token_streams(deltas: DataFrame, idle_ms: int = 600_000, late: str | None = "1 minute") -> DataFrame:
-    """``request_id, text, finish_reason`` of requests from ``deltas(request_id, seq, text, finish_reason, ts)``, state kept per request.
+    """``request_id, text, finish_reason`` of requests from ``deltas(request_id, seq, text, finish_reason, ts)``, state kept per request, for ``GROUPS`` groups of requests.
 
     Once the watermark of ``ts`` is ``idle_ms`` past a request's last delta, an unfinished one ends with what it has and the reason timeout, and a finished one,
     remembered until then so that late pieces begin no new state, is forgotten. ``late`` None: the stream has a watermark already. Without ``ts``
@@ -51,32 +78,47 @@ def token_streams(deltas: DataFrame, idle_ms: int = 600_000, late: str | None =
     timed = "ts" in deltas.columns
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seqs, texts, reason, done, last = state.get if state.exists else ([], [], "", False, 0)
-        pieces = dict(zip(seqs, texts, strict=True))
-
-        def whole(why: str) -> pd.DataFrame:
-            return pd.DataFrame({"request_id": [key[0]], "text": ["".join(pieces[k] for k in sorted(pieces))], "finish_reason": [why]})
-
-        if state.hasTimedOut:
+        kept: dict[str, tuple] = {}  # pieces, reason, done, until
+        for request, seqs, texts, reason, done, until in zip(*state.get, strict=True) if state.exists else ():
+            kept[request] = dict(zip(seqs, texts, strict=True)), reason, done, until
+        now, fresh = state.getCurrentWatermarkMs() if timed else 0, set()
+        for part in () if state.hasTimedOut else parts:
+            ends = part["ts"].astype("datetime64[ms]").astype("int64").to_numpy() + idle_ms if timed else np.zeros(len(part), int)
+            for request, first, lengths, text, finish, end in zip(part["request_id"], part["first"].to_numpy().tolist(), part["lengths"], part["text"], part["finish_reason"], ends.tolist(), strict=True):
+                pieces, reason, done, until = kept.get(request) or ({}, "", False, 0)
+                at = 0
+                for seq, length in enumerate(lengths.tolist(), first):
+                    pieces[seq] = text[at : at + length]
+                    at += length
+                kept[request] = pieces, finish or reason, done, max(until, end, now + 1)
+                fresh.add(request)
+        out = []
+        for request, (pieces, reason, done, until) in list(kept.items()):
+            over = timed and until < now and request not in fresh
+            if (reason or over) and not done:
+                out.append((request, "".join(pieces[k] for k in sorted(pieces)), reason or "timeout"))
+            if over:
+                del kept[request]
+            elif reason:
+                kept[request] = {}, reason, True, until
+        if kept:
+            rows = [(request, list(pieces), list(pieces.values()), reason, done, until) for request, (pieces, reason, done, until) in kept.items()]
+            state.update(tuple(map(list, zip(*rows, strict=True))))
+            if timed:
+                state.setTimeoutTimestamp(max(min(r[-1] for r in rows), now + 1))
+        else:
             state.remove()
-            if not done:
-                yield whole("timeout")
-            return
-        for part in parts:
-            for seq, text, finish in zip(part["seq"], part["text"], part["finish_reason"], strict=True):
-                pieces[int(seq)] = text or ""
-                reason = finish or reason
-            if timed and len(part):
-                last = max(last, int(part["ts"].max().timestamp() * 1000))
-        if reason and not done:
-            yield whole(reason)
-        state.update(([], [], reason, True, last) if reason else (list(pieces), list(pieces.values()), reason, False, last))
-        if timed:
-            state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
-
-    kept = "seqs array<long>, texts array<string>, reason string, done boolean, last long"
+        if out:
+            yield pd.DataFrame(out, columns=["request_id", "text", "finish_reason"])
+
+    state_of = "requests array<string>, seqs array<array<long>>, texts array<array<string>>, reasons array<string>, done array<boolean>, until array<long>"
     marked = deltas.withWatermark("ts", late) if timed and late else deltas
-    return marked.groupBy("request_id").applyInPandasWithState(run, "request_id string, text string, finish_reason string", kept, "append", "EventTimeTimeout" if timed else "NoTimeout")
+    rows = marked.select(F.col("request_id").cast("string").alias("request_id"), F.col("seq").cast("long").alias("seq"), "text", "finish_reason", *["ts"] * timed)
+    combined = rows.mapInArrow(_runs, "request_id string, " + "ts timestamp, " * timed + "first long, lengths array<int>, text string, finish_reason string")
+    if timed:  # the watermark's mark is lost in Python
+        combined = combined.withColumn("ts", F.col("ts").alias("ts", metadata=marked.schema["ts"].metadata))
+    grouped = combined.withColumn("group", F.pmod(F.xxhash64("request_id"), F.lit(GROUPS))).groupBy("group")
+    return grouped.applyInPandasWithState(run, "request_id string, text string, finish_reason string", state_of, "append", "EventTimeTimeout" if timed else "NoTimeout")
 
 
 def rate_limits(hits: DataFrame, limit: int, window: float, late: str = "1 minute") -> DataFrame:

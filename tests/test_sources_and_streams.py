@@ -233,6 +233,18 @@ def test_token_streams_end_and_are_forgotten(spark, tmp_path):
     assert ("r", "a", "stop") in got and ("s", "x", "timeout") in got and len([g for g in got if g[0] == "r"]) == 1
 
 
+def test_token_streams_share_groups(spark, tmp_path, monkeypatch):
+    """Python is called per group of requests, not per request; pieces of requests mixed over micro-batches come together."""
+    monkeypatch.setattr(streams, "GROUPS", 2)
+    rows = [(f"r{k}", seq, None if seq == 2 else f"{k}ä{seq}", "stop" if seq == 3 else None) for seq in (1, 2, 3) for k in range(9)]
+    for at, part in enumerate((rows[:14], rows[14:])):
+        spark.createDataFrame(part, "request_id string, seq long, text string, finish_reason string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/part={at}")
+    d = spark.read.parquet(f"{tmp_path}/in").drop("part")
+    source = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    out = run(streams.token_streams(source), tmp_path, "append")
+    assert sorted(tuple(r) for r in out.collect()) == [(f"r{k}", f"{k}ä1{k}ä3", "stop") for k in range(9)]
+
+
 def test_stream_rate_limits(spark, tmp_path):
     at = lambda k: datetime.datetime(2026, 1, 1, 0, 0, k)
     h = spark.createDataFrame([("a", k, at(k)) for k in range(4)] + [("b", 9, at(0))], "key string, seq long, ts timestamp").coalesce(1)
