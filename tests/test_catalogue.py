@@ -57,3 +57,8 @@ def test_context_of_every_chunk(spark):
 
 def test_entry(spark):
     assert catalogue.flagship(spark, FOLDER).count() > 0
+
+
+def test_sections_by_id_shuffle_no_pairs(spark):
+    found = catalogue.QUERIES["fts_all_by_id"](spark, "/root/testdata/sf0.001")
+    assert "Exchange hashpartitioning(query_id" not in found._jdf.queryExecution().executedPlan().toString()
