@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -14,7 +15,7 @@ from fundstelle.functions import python as P
 from fundstelle.functions import text as T
 from fundstelle.functions.arrow import map_batches, strings
 from fundstelle.operators.ranking import top_k
-from fundstelle.session import cut_lineage, small_side
+from fundstelle.session import SMALL_ROWS, cut_lineage, small_side
 
 
 def parse_web(text: str) -> dict[str, list]:
@@ -62,14 +63,23 @@ def _runs(n: int) -> Column:
     return F.when(F.size("terms") >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
+def _sent(df: DataFrame, side: DataFrame, on: str) -> DataFrame:
+    """``df`` joined with ``side``, which is already written: it is sent to the executors, in blocks of some ``SMALL_ROWS`` rows if it has more. ``df`` is read once per block and never shuffled."""
+    blocks = max(1, -(-side.count() // SMALL_ROWS))
+    if blocks == 1:
+        return df.join(F.broadcast(side), on)
+    block = F.pmod(F.xxhash64(*side.columns), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [df.join(F.broadcast(side.filter(block == n)), on) for n in range(blocks)])
+
+
 def _holding(own: DataFrame, asked: DataFrame) -> DataFrame:
     """``query_id, chunk_id, need, held``: chunks of ``own(chunk_id, terms)`` that have all of ``need`` and none of ``never``, both distinct arrays of ``asked(query_id, need, never)``, which is read several times; an empty ``need`` matches nothing.
 
     Terms of any query get numbers, and each chunk keeps its own as ``held``. A match has the rarest term of its query, so chunks are joined on that one only, and the
-    others are tested in the join: pairs that don't match are never shuffled. Up to ``SMALL_ROWS`` terms and queries are sent to the executors, more are joined by shuffling.
+    others are tested in the join: pairs that don't match are never shuffled. Terms and queries are sent to the executors, in blocks where they are many, so neither words nor probes of chunks are shuffled.
     """
     numbers = small_side(asked.select(F.explode(F.concat("need", "never")).alias("term")).distinct().withColumn("number", F.monotonically_increasing_id()))
-    each = own.select("chunk_id", F.explode("terms").alias("term")).join(numbers, "term")
+    each = _sent(own.select("chunk_id", F.explode("terms").alias("term")), numbers, "term")
     held = cut_lineage(each.groupBy("chunk_id").agg(F.collect_list("number").alias("held")))
     probes = held.select("chunk_id", "held", F.explode(F.array_distinct("held")).alias("rarest"))
     counts = probes.groupBy(F.col("rarest").alias("number")).agg(F.count(F.lit(1)).alias("df"))
@@ -78,9 +88,9 @@ def _holding(own: DataFrame, asked: DataFrame) -> DataFrame:
     ranked = F.array_sort(F.collect_list(F.when(F.col("must"), F.struct("df", "number"))))
     numbered = terms.groupBy("query_id", "need", "never").agg(ranked.alias("ranked"), F.collect_list(F.when(~F.col("must"), F.col("number"))).alias("never_held"))
     whole = numbered.filter("size(ranked) = size(need) AND size(need) > 0").select("query_id", F.col("ranked.number").alias("need"), F.col("never_held").alias("never"))
-    sides = small_side(whole.select("query_id", F.col("need")[0].alias("rarest"), F.coalesce(F.get("need", F.lit(1)), F.col("need")[0]).alias("second"), "need", "never"))
+    sides = cut_lineage(whole.select("query_id", F.col("need")[0].alias("rarest"), F.coalesce(F.get("need", F.lit(1)), F.col("need")[0]).alias("second"), "need", "never"))
     others = F.array_contains("held", F.col("second")) & F.forall("need", lambda x: F.array_contains("held", x)) & ~F.arrays_overlap("held", "never")
-    return probes.join(sides, "rarest").filter(others).select("query_id", "chunk_id", "need", "held")
+    return _sent(probes, sides, "rarest").filter(others).select("query_id", "chunk_id", "need", "held")
 
 
 def match_web(chunks: DataFrame, queries: DataFrame, text: str = "content_norm") -> DataFrame:

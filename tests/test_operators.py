@@ -137,6 +137,22 @@ def test_all_terms_are_tested_in_the_join(spark, monkeypatch):
     assert values(lexical.match(c, q, True), "query_id", "chunk_id", "n_matched", "occurrences") == expected
 
 
+def test_many_queries_shuffle_no_probes(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "small_side", lexical.cut_lineage)  # as with too many terms and queries to send at once
+    monkeypatch.setattr(lexical, "SMALL_ROWS", 2, raising=False)
+    c = spark.createDataFrame([("1", "die prüfung der bremse die"), ("2", "bremse"), ("3", "prüfung die bremse prüfung"), ("4", None)], "id string, content_norm string")
+    rows = [("q", "Prüfung Bremse die"), ("q", "Prüfung Bremse die"), ("o", "bremse"), ("p", "Bremse"), ("d", "der die"), ("x", "bremse achse"), ("e", "")]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = lexical.match(c, spark.createDataFrame(rows, "query_id string, question string"), True)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        wanted = [("d", "1"), ("o", "1"), ("o", "2"), ("o", "3"), ("p", "1"), ("p", "2"), ("p", "3"), ("q", "1"), ("q", "3")]
+        assert values(found, "query_id", "chunk_id") == wanted and "hashpartitioning(rarest" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_trigram_search(spark):
     c = spark.createDataFrame([("1", "siehe lh3.2.1 dort"), ("2", "nichts"), ("3", None)], "id string, content_norm string")
     q = spark.createDataFrame([("q", "Was sagt LH-3.2.1?"), ("n", "kein code")], "query_id string, question string")
